@@ -136,7 +136,7 @@ def attach_lags_by_join(
         .where(F.col(ts).isNotNull())
         .distinct()
         .select(ts, F.explode(F.sequence(F.lit(0), F.lit(spec.count - 1))).alias("_k"))
-        .withColumn("_u", micros(ts) - F.col("_k") * F.lit(step_us))
+        .withColumn("_u", micros(ts) - F.col("_k").cast("bigint") * F.lit(step_us))
     )
     if spec.half_even:
         lagged = lagged.withColumn("_u", half_even_index("_u", spec.unit_us) * F.lit(spec.unit_us))
@@ -272,7 +272,7 @@ def attach_nearest_lags(
         .where(F.col(ts).isNotNull())
         .distinct()
         .select(ts, F.explode(F.sequence(F.lit(0), F.lit(spec.count - 1))).alias("_k"))
-        .withColumn("_u", micros(ts) - F.col("_k") * F.lit(step_us))
+        .withColumn("_u", micros(ts) - F.col("_k").cast("bigint") * F.lit(step_us))
     )
     if spec.half_even:
         lagged = lagged.withColumn("_u", half_even_index("_u", spec.unit_us) * F.lit(spec.unit_us))

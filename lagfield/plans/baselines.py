@@ -18,9 +18,9 @@ GRADIENT_FIRST, GRADIENT_LAST, GRADIENT_COUNT = -20.0, 50.0, 701
 
 def polynomial_model(df: DataFrame, ts: str = TIME) -> DataFrame:
     """Day and night rows with s_L, T_0, G_0 and the model temperature ``Te_model``."""
-    rows = df.withColumn("part", H.day_part(ts)).where(F.col("part").isin("Day", "Night"))
+    rows = df.withColumn("day_part", H.day_part(ts)).where(F.col("day_part").isin("Day", "Night"))
     rows = rows.withColumn("s_L", G.foot_sine_squared("GLAT", "Altitude"))
-    rows = rows.withColumns({"T_0": H.base_value("part", "s_L", "T0"), "G_0": H.base_value("part", "s_L", "G0")})
+    rows = rows.withColumns({"T_0": H.base_value("day_part", "s_L", "T0"), "G_0": H.base_value("day_part", "s_L", "G0")})
     return rows.withColumn("Te_model", H.temperature_at("Altitude", "T_0", "G_0", "ILAT"))
 
 
@@ -39,22 +39,20 @@ def fit_gradient(profile: str, ilat: str) -> Column:
     """
     terms = F.array(*[H.line_term(F.lit(float(h)), G.l_shell(ilat)) for h in PROFILE_HEIGHTS])
     t0 = F.get(profile, F.lit(0))
-    # Everything that does not depend on the candidate is bound once per row.
-    bound = F.transform(F.array(F.struct(t0.alias("t"), terms.alias("c"), F.col(profile).alias("y"))), lambda r: _search(r))
+    # What does not depend on the candidate is bound once per row, as lambda input.
+    points = F.arrays_zip(terms.alias("c"), F.col(profile).alias("y"))
+    bound = F.transform(F.array(F.struct(t0.alias("t"), points.alias("points"))), _search)
     return F.round(F.get(bound, F.lit(0)), 1)
 
 
 def _search(row: Column) -> Column:
-    t = row["t"]
-    pairs = F.arrays_zip(row["c"].alias("c"), row["y"].alias("y"))
-
     def error(g: Column) -> Column:
-        miss = lambda p: p["y"] - t * F.pow(1.0 + F.try_divide(g, t) * p["c"], F.lit(2.0 / 7.0))
-        return F.aggregate(pairs, F.lit(0.0), lambda s, p: s + miss(p) * miss(p))
+        x = F.try_divide(g, row["t"])
+        curve = lambda p: row["t"] * F.pow(1.0 + x * p["c"], F.lit(2.0 / 7.0))
+        return F.aggregate(row["points"], F.lit(0.0), lambda s, p: s + F.pow(p["y"] - curve(p), F.lit(2.0)))
 
     scored = F.transform(gradient_grid(), lambda g: F.struct(error(g).alias("e"), g.alias("g")))
-    usable = F.filter(scored, lambda s: ~F.isnan(s["e"]) & s["e"].isNotNull())
-    return F.array_min(usable)["g"]
+    return F.array_min(F.filter(scored, lambda s: s["e"] < F.lit(float("inf"))))["g"]
 
 
 def fitted_model(df: DataFrame, profile: str = "profile") -> DataFrame:
@@ -71,9 +69,9 @@ def centre_curves(
     Needs columns ``T_ref`` and ``best_G0`` (fitted model). A centre lacking any of
     the means is left out.
     """
-    v = df.where(F.col("ILAT").between(15, 55)).withColumn("part", H.day_part(ts))
+    v = df.where(F.col("ILAT").between(15, 55)).withColumn("day_part", H.day_part(ts))
     v = v.withColumn("s", G.latitude_sine_squared("GLAT"))
-    v = v.withColumns({"v1_T0": H.base_value("part", "s", "T0"), "v1_G0": H.base_value("part", "s", "G0")})
+    v = v.withColumns({"v1_T0": H.base_value("day_part", "s", "T0"), "v1_G0": H.base_value("day_part", "s", "G0")})
     names = ["v1_T0", "v1_G0", "T_ref", "best_G0"]
     wide = wide_centre_means(nearest_centre_means(v, ts, "ILAT", names), names).na.drop()
     heights = numeric_grid(df.sparkSession, 0, last_height, step, "h")
@@ -94,7 +92,7 @@ def centre_curves(
 
 def height_sweep(params: DataFrame, first: int = 1000, last: int = 14900, step: int = 100) -> DataFrame:
     """Te over height for each (t0, g0, ilat) row; heights expand inside the row."""
-    h = F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(step))).cast("double").alias("h")
+    h = F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(step)).cast("array<double>")).alias("h")
     return params.select("*", h).withColumn("te", H.temperature_at("h", "t0", "g0", "ilat"))
 
 

@@ -54,6 +54,10 @@ def anchored_grid(
     when more than the threshold is missing."""
     base = times.withColumnRenamed(ts, TIME)
     features = wide(mask_placeholders(add_index_features(base, series, method="nearest")))
+    # Every time meets every altitude, so shares per time equal shares per grid row;
+    # the check runs before the cross join, on a table smaller by the altitude count.
+    inputs = [c for c in [*feature_columns(), sm_longitude] if c in features.columns]
+    features = guard_missing(features, inputs, threshold_percent)
     alt = numeric_grid(times.sparkSession, low, high, step, "Altitude")
     grid = features.crossJoin(F.broadcast(alt))
     pos = G.dipole_position("Altitude", F.lit(ANCHOR_SHELL), sm_longitude)
@@ -67,5 +71,4 @@ def anchored_grid(
         }
     )
     stand_in = {"GLAT": F.degrees("mag_lat_rad"), "XXLAT": F.lit(ANCHOR_LATITUDE), "XXLON": F.lit(ANCHOR_LONGITUDE)}
-    grid = grid.withColumns({c: e for c, e in stand_in.items() if c not in grid.columns})
-    return guard_missing(grid, feature_columns(), threshold_percent)
+    return grid.withColumns({c: e for c, e in stand_in.items() if c not in grid.columns})

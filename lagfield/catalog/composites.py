@@ -109,7 +109,7 @@ def preprocess_sql() -> str:
 def _(t):
     wide = dataset.wide(dataset.add_index_features(keyed_purchases(t), series_of(t)))
     out = preprocess(wide, MEANS, STDS, feature_columns())
-    return out.select("id", *[F.round(c, 6).alias(c) for c in feature_columns()])
+    return out.selectExpr("id", *[f"round({c}, 6) AS {c}" for c in feature_columns()])
 
 
 # -- baselines ----------------------------------------------------------------------

@@ -55,8 +55,13 @@ SCALERS = {
 
 
 def z_score(x, mean, std) -> Column:
-    """(x - mean) / std; x unchanged where std is zero or missing."""
-    x, mean, std = _c(x), F.lit(mean), F.lit(std)
+    """(x - mean) / std; x unchanged where std is zero or missing.
+
+    ``mean`` and ``std`` are numbers or columns.
+    """
+    x = _c(x)
+    if not isinstance(std, Column):
+        return (x - F.lit(mean)) / F.lit(float(std)) if std else x
     usable = std.isNotNull() & (std != 0)
     return F.when(usable, (x - mean) / F.nullif(std, F.lit(0.0))).otherwise(x)
 

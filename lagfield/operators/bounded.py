@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagfield.session import scratch
+
 SMALL_ROWS = 50_000
 
 
@@ -23,3 +25,17 @@ def pin_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     if len(rows) > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema, verifySchema=False))
+
+
+def settle(df: DataFrame, small: bool) -> DataFrame:
+    """Evaluate a result once that several later steps read.
+
+    A result already known to be small is pinned; any other is written as a table
+    below the shared folder, which also cuts its lineage: it survives lost executors
+    without recomputation.
+    """
+    if small:
+        return pin_if_small(df)
+    path = scratch(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

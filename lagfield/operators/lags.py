@@ -84,15 +84,20 @@ def _look_up(rows: DataFrame, ts: str, blocks: DataFrame, out: str, spec: LagSpe
     return keyed.join(b, ["_p", "_b"], "left").select(*rows.columns, vector.alias(out))
 
 
-def block_bytes(series: DataFrame, ts: str, spec: LagSpec) -> int:
-    """Upper bound of the packed size: grid points spanned, times eight, plus tails."""
-    ends = series.agg(F.min(micros(ts)).alias("a"), F.max(micros(ts)).alias("b")).first()
-    if ends.a is None:
-        return 0
-    points = (ends.b - ends.a) // spec.unit_us + 1
-    m = _block_entries(spec)
-    blocks = points // (spec.step * m) + 3
-    return 8 * blocks * spec.step * (m + spec.count)
+def block_bytes(groups: Sequence[tuple[DataFrame, str, str, str, LagSpec]]) -> int:
+    """Upper bound of the packed size of all groups, from the spans of their series:
+    grid points spanned, times eight, plus the repeated tails. One small job."""
+    spans = None
+    for i, (series, ts, *_) in enumerate(groups):
+        one = series.agg(F.min(micros(ts)).alias("a"), F.max(micros(ts)).alias("b")).select(F.lit(i).alias("i"), "a", "b")
+        spans = one if spans is None else spans.unionByName(one)
+    total = 0
+    for r in spans.where("a IS NOT NULL").collect():  # one row per group
+        spec = groups[r.i][-1]
+        m = _block_entries(spec)
+        blocks = ((r.b - r.a) // spec.unit_us + 1) // (spec.step * m) + 3
+        total += 8 * blocks * spec.step * (m + spec.count)
+    return total
 
 
 def attach_lags(
@@ -110,8 +115,7 @@ def attach_lags(
     for *_, spec in groups:
         if spec.half_even and (spec.step % 2) and spec.count > 1:
             raise ValueError("half-even rounding of odd steps needs attach_lags_by_join")
-    sizes = [block_bytes(s, t, spec) for s, t, _, _, spec in groups]
-    fits = sum(sizes) <= broadcast_bytes
+    fits = block_bytes(groups) <= broadcast_bytes
     base = rows if fits else rows.select(ts).distinct()
     for series, s_ts, value, out, spec in groups:
         blocks = series_blocks(series, s_ts, value, spec)
@@ -164,14 +168,17 @@ def attach_instant(
 
 
 def widen(df: DataFrame, arrays: dict[str, int]) -> DataFrame:
-    """Replace lag arrays by numbered columns ``name_0…``, in one projection."""
+    """Replace lag arrays by numbered columns ``name_0…``, in one projection.
+
+    SQL text, since a wide row built expression by expression is slow to plan.
+    """
     cols = []
     for c in df.columns:
         if c in arrays:
-            cols += [F.get(c, F.lit(i)).alias(f"{c}_{i}") for i in range(arrays[c])]
+            cols += [f"get(`{c}`, {i}) AS `{c}_{i}`" for i in range(arrays[c])]
         else:
-            cols.append(F.col(c))
-    return df.select(*cols)
+            cols.append(f"`{c}`")
+    return df.selectExpr(*cols)
 
 
 # -- nearest ----------------------------------------------------------------

@@ -1,10 +1,10 @@
 """Exact percentiles without holding a group in one task.
 
-Two passes. A mergeable sketch brackets each wanted percentile between two values;
-then rows below the bracket are only counted, and rows inside it (a fraction of a
-percent) are reduced to distinct values with counts. Those are cut into sub-bins,
-and only the sub-bins holding the wanted ranks are ordered. A value shared by a
-third of all rows is one row after the map-side combine.
+Two passes. A mergeable sketch brackets each wanted percentile between two values.
+Then one aggregate reduces every row to a small key: the number of brackets lying
+above it and, inside a bracket (a fraction of a percent of the rows), its value.
+Counts below each bracket and the exact order statistics inside follow from that
+table. A value shared by a third of all rows is one row after the map-side combine.
 """
 
 from __future__ import annotations
@@ -15,88 +15,110 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lagfield.operators.bounded import pin_if_small
+from lagfield.operators.bounded import SMALL_ROWS, pin_if_small, settle
 
 SKETCH_ACCURACY = 5000
 MARGIN = 4.0 / SKETCH_ACCURACY
 SUB_BINS = 1024
 
 
-def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """(by…, p, value): percentiles with linear interpolation between order statistics."""
-    by = list(by)
-    data = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(
-        *by, F.col(value).cast("double").alias("v")
-    )
-    low_p = [max(0.0, p - MARGIN) for p in probs]
-    high_p = [min(1.0, p + MARGIN) for p in probs]
-    sketch = data.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("v").alias("_min"),
-        F.max("v").alias("_max"),
-        F.approx_percentile("v", F.array(*[F.lit(p) for p in low_p + high_p]), F.lit(SKETCH_ACCURACY)).alias("_q"),
-    )
+def _sketch(data: DataFrame, by: Sequence[str], probs: Sequence[float], extra: Sequence[Column] = ()) -> DataFrame:
+    """One row per group: count and, per percentile, an enclosing pair of values."""
+    low = [max(0.0, p - MARGIN) for p in probs]
+    high = [min(1.0, p + MARGIN) for p in probs]
+    points = ", ".join(f"{p!r}D" for p in low + high)
     k = len(probs)
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(float(p)).alias("p"),
-                (F.lit(float(p)) * (F.col("_n") - 1)).alias("rank"),
-                (F.col("_min") if low_p[i] <= 0 else F.get("_q", F.lit(i))).alias("lo"),
-                (F.col("_max") if high_p[i] >= 1 else F.get("_q", F.lit(k + i))).alias("hi"),
-            )
-            for i, p in enumerate(probs)
-        ]
+    sketched = data.groupBy(*by).agg(
+        F.expr("count(1)").alias("_n"),
+        F.expr("min(v)").alias("_min"),
+        F.expr("max(v)").alias("_max"),
+        F.expr(f"approx_percentile(v, array({points}), {SKETCH_ACCURACY})").alias("_q"),
+        *extra,
     )
-    brackets = pin_if_small(sketch.select(*by, wanted.alias("_w")))
-    tagged = _same_keys(data, brackets, by) if by else data.crossJoin(brackets)
+    ends = [
+        f"struct({p!r}D AS p, {p!r}D * (_n - 1) AS rank,"
+        f" {'_min' if low[i] <= 0 else f'_q[{i}]'} AS lo, {'_max' if high[i] >= 1 else f'_q[{k + i}]'} AS hi)"
+        for i, p in enumerate(probs)
+    ]
+    return sketched.selectExpr("*", f"array({', '.join(ends)}) AS _w").drop("_q")
 
-    # Pass two: rows below each bracket are counted, distinct values inside it kept.
-    below = tagged.groupBy(*by).agg(
-        *[F.count_if(F.col("v") < F.get("_w", F.lit(i))["lo"]).alias(f"_b{i}") for i in range(k)]
-    )
-    per_p = [F.struct(F.lit(float(p)).alias("p"), F.col(f"_b{i}").alias("_below")) for i, p in enumerate(probs)]
-    below = below.select(*by, F.inline(F.array(*per_p)))
-    inside = F.filter("_w", lambda w: (F.col("v") >= w["lo"]) & (F.col("v") <= w["hi"]))
-    share = F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo"))
-    values = (
-        tagged.select(*by, "v", F.inline(inside))
-        .withColumn("_bin", F.coalesce(F.least(F.floor(share * SUB_BINS), F.lit(SUB_BINS - 1)), F.lit(0)))
-        .groupBy(*by, "p", "rank", "_bin", "v")
+
+def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by…, p, value): percentiles with linear interpolation between order statistics."""
+    by, probs = list(by), sorted(float(p) for p in probs)
+    data = _values(df, value, by)
+    return _pick(data, pin_if_small(_sketch(data, by, probs)), by, probs)
+
+
+def _values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    data = df.select(*by, F.col(value).cast("double").alias("v"))
+    return data.where("v IS NOT NULL AND NOT isnan(v)")
+
+
+def _pick(data: DataFrame, sketch: DataFrame, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    k = len(probs)
+    # Rows inside brackets are at most this many, ties aside: 2 margins each.
+    total = sketch.agg(F.sum("_n").alias("n")).first().n or 0
+    few = total * min(1.0, 3 * MARGIN * k) <= SMALL_ROWS // 2
+
+    w = sketch.select(*by, "_w")
+    tagged = _same_keys(data, w, by) if by else data.crossJoin(w)
+    above = " + ".join(f"CAST(v < _w[{i}].lo AS int)" for i in range(k))
+    inside = " OR ".join(f"(v >= _w[{i}].lo AND v <= _w[{i}].hi)" for i in range(k))
+    reduced = (
+        tagged.selectExpr(*by, f"{above} AS _m", f"CASE WHEN {inside} THEN v END AS v")
+        .groupBy(*by, "_m", "v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
+    reduced = settle(reduced, small=few)
+
+    # Brackets ascend with p, so a row lies below the last ``_m`` of them.
+    counted = ", ".join(f"struct({p!r}D AS p, sum(IF(_m >= {k - i}, _c, 0L)) AS below)" for i, p in enumerate(probs))
+    below = reduced.groupBy(*by).agg(F.expr(f"array({counted})").alias("_below"))
+    meta = _same_keys(w, below, by) if by else w.crossJoin(below)
+    meta = pin_if_small(meta.selectExpr(*by, "arrays_zip(_w, _below) AS _z"))
+
+    points = reduced.where("v IS NOT NULL")
+    points = _same_keys(points, meta, by) if by else points.crossJoin(meta)
+    points = points.selectExpr(*by, "v", "_c", "explode(_z) AS z").where("v >= z._w.lo AND v <= z._w.hi")
+    share = "try_divide(v - z._w.lo, z._w.hi - z._w.lo)"
+    points = points.selectExpr(
+        *by,
+        "z._w.p AS p",
+        "z._w.rank AS rank",
+        "z._below.below AS _below",
+        "v",
+        "_c",
+        f"coalesce(least(floor({share} * {SUB_BINS}), {SUB_BINS - 1}), 0) AS _bin",
+    )
 
     # The sub-bins (at most SUB_BINS per bracket) that hold the wanted ranks.
     key = [*by, "p", "rank"]
     run = W.partitionBy(*key).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    bins = values.groupBy(*key, "_bin").agg(F.sum("_c").alias("_m"))
-    bins = bins.withColumn("_before", F.coalesce(F.sum("_m").over(run), F.lit(0)))
-    bins = _same_keys(bins, pin_if_small(below), [*by, "p"])
-    start = F.col("_below") + F.col("_before")
-    covers = lambda r: (start <= r) & (r < start + F.col("_m"))
-    hits = bins.where(covers(F.floor("rank")) | covers(F.ceil("rank"))).select(*key, "_bin", start.alias("_start"))
+    bins = points.groupBy(*key, "_below", "_bin").agg(F.sum("_c").alias("_m"))
+    bins = bins.withColumn("_start", F.col("_below") + F.coalesce(F.sum("_m").over(run), F.lit(0)))
+    covers = lambda r: f"(_start <= {r} AND {r} < _start + _m)"
+    hits = bins.where(f"{covers('floor(rank)')} OR {covers('ceil(rank)')}").select(*key, "_bin", "_start")
 
     # Exact order statistics inside those bins.
     order = W.partitionBy(*key, "_bin").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    placed = _same_keys(values, pin_if_small(hits), [*key, "_bin"]).withColumn("_end", F.sum("_c").over(order))
-    first = F.col("_start") + F.col("_end") - F.col("_c")
-    holds = lambda r: (first <= r) & (r < F.col("_start") + F.col("_end"))
+    placed = _same_keys(points, pin_if_small(hits), [*key, "_bin"]).withColumn("_end", F.sum("_c").over(order))
+    holds = lambda r: f"_start + _end - _c <= {r} AND {r} < _start + _end"
     picked = placed.groupBy(*key).agg(
-        F.max(F.when(holds(F.floor("rank")), F.col("v"))).alias("_lo"),
-        F.max(F.when(holds(F.ceil("rank")), F.col("v"))).alias("_hi"),
+        F.expr(f"max(CASE WHEN {holds('floor(rank)')} THEN v END)").alias("_lo"),
+        F.expr(f"max(CASE WHEN {holds('ceil(rank)')} THEN v END)").alias("_hi"),
+    )
+    value = (
+        "CASE WHEN _lo IS NULL OR _hi IS NULL THEN CAST(raise_error('percentile outside its bracket') AS double)"
+        " ELSE _lo + (rank - floor(rank)) * (_hi - _lo) END AS value"
     )
-    exact = F.col("_lo") + (F.col("rank") - F.floor("rank")) * (F.col("_hi") - F.col("_lo"))
-    missed = F.col("_lo").isNull() | F.col("_hi").isNull()
-    failed = F.raise_error(F.lit("percentile outside its bracket")).cast("double")
-    return picked.select(*by, "p", F.when(missed, failed).otherwise(exact).alias("value"))
+    return picked.selectExpr(*by, "p", value)
 
 
 def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on keys where null equals null; the key columns of the left stay."""
     renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in keys})
-    cond = F.lit(True)
-    for c in keys:
-        cond = cond & left[c].eqNullSafe(renamed[f"_r_{c}"])
+    cond = F.expr(" AND ".join(f"`{c}` <=> `_r_{c}`" for c in keys))
     return left.join(renamed, cond).drop(*[f"_r_{c}" for c in keys])
 
 
@@ -109,18 +131,18 @@ def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataF
 
 
 def describe(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """(column, statistic, value): count, mean, sample std, min, percentiles, max."""
-    long = melt(df, columns)
-    base = long.groupBy("column").agg(
-        F.count("value").cast("double").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    """(column, statistic, value): count, mean, sample std, min, percentiles, max.
+
+    The plain statistics ride along with the sketch, so the table is read twice."""
+    data, probs = melt(df, columns).withColumnRenamed("value", "v"), sorted(float(p) for p in probs)
+    sketch = _sketch(data, ["column"], probs, [F.expr("avg(v)").alias("_mean"), F.expr("stddev_samp(v)").alias("_std")])
+    sketch = pin_if_small(sketch)
+    base = sketch.selectExpr(
+        "`column`",
+        "stack(5, 'count', CAST(_n AS double), 'mean', _mean, 'std', _std, 'min', _min, 'max', _max) AS (statistic, value)",
     )
-    base = base.unpivot(["column"], ["count", "mean", "std", "min", "max"], "statistic", "value")
-    points = exact_percentiles(long, "value", probs, ["column"]).select(
-        "column", F.concat(F.lit("p"), F.col("p").cast("string")).alias("statistic"), "value"
+    points = _pick(data, sketch, ["column"], probs).selectExpr(
+        "`column`", "concat('p', CAST(p AS string)) AS statistic", "value"
     )
     return base.unionByName(points)
 

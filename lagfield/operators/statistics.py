@@ -15,38 +15,24 @@ from lagfield.schema import ABSOLUTE_THRESHOLDS, RELATIVE_THRESHOLDS
 def pooled_stats(df: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
     """(name, mean, std): mean and population std over all cells of each group.
 
-    A group lists scalar columns, array columns, or both. Every row is folded to
-    count, sum and sum of squares about a pilot value before aggregation, so one
-    scan with map-side partial sums serves all groups. Nulls are skipped.
+    A group lists scalar columns, array columns, or both. Cells are unfolded inside
+    the scan and aggregated at once (moments merge, so partial results combine before
+    the shuffle of one row per group and task). Nulls and NaN are skipped.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    folded, rows = [], []
-    for g, cols in groups.items():
-        parts = [F.col(c) if isinstance(kinds[c], T.ArrayType) else F.array(F.col(c)) for c in cols]
-        cells = F.filter(F.concat(*parts), lambda x: x.isNotNull() & ~F.isnan(x))
-        folded.append(cells.cast("array<double>").alias(g))
-    # A pilot near the data keeps the sum of squares well conditioned.
-    pilot = df.select(*folded).agg(*[F.avg(F.get(g, F.lit(0))).alias(f"p_{g}") for g in groups])
-    cells = df.select(*folded).crossJoin(F.broadcast(pilot))
-    aggs = []
-    for g in groups:
-        p = F.col(f"p_{g}")
-        aggs += [
-            F.sum(F.size(g)).alias(f"n_{g}"),
-            F.sum(F.aggregate(g, F.lit(0.0), lambda s, x: s + (x - p))).alias(f"s_{g}"),
-            F.sum(F.aggregate(g, F.lit(0.0), lambda s, x: s + (x - p) * (x - p))).alias(f"q_{g}"),
-            F.first(f"p_{g}").alias(f"p_{g}"),
-        ]
-        n, s, q = F.col(f"n_{g}"), F.col(f"s_{g}"), F.col(f"q_{g}")
-        shift = F.try_divide(s, n)
-        rows.append(
-            F.struct(
-                F.lit(g).alias("name"),
-                (F.col(f"p_{g}") + shift).alias("mean"),
-                F.sqrt(F.greatest(F.try_divide(q, n) - shift * shift, F.lit(0.0))).alias("std"),
-            )
-        )
-    return cells.agg(*aggs).select(F.inline(F.array(*rows)))
+
+    def part(c: str) -> str:
+        return f"CAST(`{c}` AS array<double>)" if isinstance(kinds[c], T.ArrayType) else f"array(CAST(`{c}` AS double))"
+
+    packs = ", ".join(
+        f"struct('{g}' AS name, concat({', '.join(part(c) for c in cols)}) AS cells)" for g, cols in groups.items()
+    )
+    cells = df.selectExpr(f"inline(array({packs}))").selectExpr("name", "explode(cells) AS v")
+    return (
+        cells.where("v IS NOT NULL AND NOT isnan(v)")
+        .groupBy("name")
+        .agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    )
 
 
 def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:

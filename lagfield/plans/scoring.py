@@ -26,28 +26,33 @@ def preprocess(
     fill: bool = True,
 ) -> DataFrame:
     """Scale position columns, z-score index columns by group (or by their own
-    statistics), then turn what is still missing into zero. One projection each."""
+    statistics), then turn what is still missing into zero.
+
+    Index columns may be wide or lag arrays. The wide ones are SQL text in a single
+    projection: hundreds of expressions built one by one are slow to plan.
+    """
     kinds = {f.name: f.dataType for f in df.schema.fields}
+    present = [c for c in inputs if c in kinds]
+    arrays = [c for c in present if isinstance(kinds[c], T.ArrayType)]
     number = set(numeric_columns(df))
-    new: dict[str, Column] = {}
-    for c in inputs:
-        if c not in kinds:
-            continue
-        if isinstance(kinds[c], T.ArrayType):
-            if c in means and stds.get(c):
-                new[c] = M.z_score_array(c, means[c], stds[c])
-            continue
-        x = F.col(c).cast("double") if c in number else to_number(c)
-        if c in M.SCALERS:
-            new[c] = M.SCALERS[c](x)
-        elif _group(c) in means:
-            new[c] = M.z_score(x, means[_group(c)], stds.get(_group(c)))
-        elif c in means:
-            new[c] = M.z_score(x, means[c], stds.get(c))
-        else:
-            new[c] = x
-    out = df.withColumns(new)
-    return fill_zero(out, [c for c in inputs if c in kinds]) if fill else out
+    scaled = {
+        c: M.SCALERS[c](F.col(c).cast("double") if c in number else to_number(c)) for c in present if c in M.SCALERS
+    }
+    scaled.update({c: M.z_score_array(c, means[c], stds[c]) for c in arrays if c in means and stds.get(c)})
+    out = df.withColumns(scaled)
+    if arrays and fill:
+        out = fill_zero(out, arrays)
+
+    def text(c: str) -> str:
+        if c not in present or c in arrays:
+            return f"`{c}`"
+        e = f"`{c}`" if c in scaled or c in number else f"try_cast(`{c}` AS double)"
+        name = _group(c) if _group(c) in means else c
+        if c not in scaled and name in means and stds.get(name):
+            e = f"({e} - {means[name]!r}D) / {stds[name]!r}D"
+        return f"coalesce(nanvl({e}, 0D), 0D) AS `{c}`" if fill else f"{e} AS `{c}`"
+
+    return out.selectExpr(*[text(c) for c in out.columns])
 
 
 def normalize_by_column(

@@ -17,6 +17,10 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# Static, so for the session builder: call-site capture costs milliseconds for each
+# column expression built in Python, and feature tables have hundreds of columns.
+BUILDER_SETTINGS = {**SETTINGS, "spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():

@@ -2,96 +2,87 @@
 
 Bin limits come from a one-row aggregate that is cross-joined (one row, by
 construction), so limits and counts are one plan and nothing is collected. Bin
-edges follow ``low + i * (high - low) / n``; the last bin is closed.
+edges follow ``low + i * (high - low) / n``; the last bin is closed. Counts combine
+before the shuffle, so a hot bin sends one row per task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def bin_index(x: Column, low: Column, high: Column, n: int) -> Column:
-    """0-based bin, null outside [low, high]. The quotient is corrected against the
-    actual edges, so values on an edge fall where a search over the edges puts them.
-    A degenerate range is widened by half a unit on each side."""
-    flat = low == high
-    lo = F.when(flat, low - 0.5).otherwise(low)
-    hi = F.when(flat, high + 0.5).otherwise(high)
-    width = (hi - lo) / n
-    guess = F.least(F.floor((x - lo) / (hi - lo) * n), F.lit(n - 1))
-    fixed = (
-        F.when(x < lo + guess * width, guess - 1)
-        .when((x >= lo + (guess + 1) * width) & (guess < n - 1), guess + 1)
-        .otherwise(guess)
-    )
-    return F.when((x >= lo) & (x <= hi), fixed).cast("int")
+def with_bins(df: DataFrame, axes: Sequence[tuple[str, str, str, str]], n: int) -> DataFrame:
+    """Keep rows inside the range of every axis and add each axis' 0-based bin.
 
+    An axis is (value, low, high, output) of column names, low < high. The quotient is
+    corrected against the actual edges, so a value on an edge falls where a search over
+    the edges puts it. Two projections: the first guess is computed once per row.
+    """
+    inside = " AND ".join(f"`{x}` >= `{lo}` AND `{x}` <= `{hi}`" for x, lo, hi, _ in axes)
+    guesses = [
+        f"CAST(least(floor((`{x}` - `{lo}`) / (`{hi}` - `{lo}`) * {n}), {n - 1}) AS int) AS `_g_{out}`"
+        for x, lo, hi, out in axes
+    ]
+    edges = [f"(`{hi}` - `{lo}`) / {n} AS `_w_{out}`" for _, lo, hi, out in axes]
+    fixed = [
+        f"CASE WHEN `{x}` < `{lo}` + `_g_{out}` * `_w_{out}` THEN `_g_{out}` - 1"
+        f" WHEN `_g_{out}` < {n - 1} AND `{x}` >= `{lo}` + (`_g_{out}` + 1) * `_w_{out}` THEN `_g_{out}` + 1"
+        f" ELSE `_g_{out}` END AS `{out}`"
+        for x, lo, hi, out in axes
+    ]
+    guessed = df.where(inside).selectExpr("*", *guesses, *edges)
+    return guessed.selectExpr(*[f"`{c}`" for c in df.columns], *fixed)
+
+
+def limits(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """One row of ``<tag>_low`` and ``<tag>_high``; a single-valued range is widened by
+    half a unit on either side. Empty when there is no value."""
+    aggs, ends = [], []
+    for tag, c in columns.items():
+        aggs += [F.min(c).cast("double").alias(f"{tag}_a"), F.max(c).cast("double").alias(f"{tag}_b")]
+        ends += [
+            f"IF({tag}_a = {tag}_b, {tag}_a - 0.5D, {tag}_a) AS {tag}_low",
+            f"IF({tag}_a = {tag}_b, {tag}_b + 0.5D, {tag}_b) AS {tag}_high",
+        ]
+    known = " AND ".join(f"{tag}_a IS NOT NULL" for tag in columns)
+    return F.broadcast(df.agg(*aggs).where(known).selectExpr(*ends))
 
-def bin_edge(i: Column, low: Column, high: Column, n: int) -> Column:
-    return low + i * ((high - low) / n)
 
-
-def _limits(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    aggs = []
-    for tag, c in columns.items():
-        aggs += [F.min(c).alias(f"{tag}_low"), F.max(c).alias(f"{tag}_high")]
-    return F.broadcast(df.agg(*aggs))
+def _all_bins(lim: DataFrame, bins: int) -> DataFrame:
+    """Every bin of axis x with its edges."""
+    step = f"((x_high - x_low) / {bins})"
+    frame = lim.selectExpr(f"explode(sequence(0, {bins - 1})) AS bin", "x_low", "x_high")
+    return frame.selectExpr("bin", f"x_low + bin * {step} AS low", f"x_low + (bin + 1) * {step} AS high")
 
 
 def histogram(df: DataFrame, x: str, bins: int = 50) -> DataFrame:
     """(bin, low, high, n) over [min, max] of x; empty bins included."""
     data = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("x"))
-    lim = _limits(data, {"x": "x"})
-    counts = (
-        data.crossJoin(lim)
-        .groupBy(bin_index(F.col("x"), F.col("x_low"), F.col("x_high"), bins).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    frame = lim.where("x_low IS NOT NULL").select(
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
-        F.col("x_low").alias("_a"),
-        F.col("x_high").alias("_b"),
-    )
-    return frame.join(counts, "bin", "left").select(
-        "bin",
-        bin_edge(F.col("bin"), F.col("_a"), F.col("_b"), bins).alias("low"),
-        bin_edge(F.col("bin") + 1, F.col("_a"), F.col("_b"), bins).alias("high"),
-        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
-    )
+    lim = limits(data, {"x": "x"})
+    binned = with_bins(data.crossJoin(lim), [("x", "x_low", "x_high", "bin")], bins)
+    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    return _all_bins(lim, bins).join(counts, "bin", "left").selectExpr("bin", "low", "high", "coalesce(n, 0L) AS n")
 
 
 def histogram_2d(df: DataFrame, x: str, y: str, bins: int = 100, by: Sequence[str] = ()) -> DataFrame:
     """(by…, x_bin, y_bin, n), non-empty cells only; each axis over its own range."""
-    data = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    cells = data.crossJoin(_limits(data, {"x": x, "y": y}))
-    return cells.groupBy(
-        *by,
-        bin_index(F.col(x), F.col("x_low"), F.col("x_high"), bins).alias("x_bin"),
-        bin_index(F.col(y), F.col("y_low"), F.col("y_high"), bins).alias("y_bin"),
-    ).agg(F.count(F.lit(1)).alias("n"))
+    data = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("x"), F.col(y).alias("y"))
+    cells = data.crossJoin(limits(data, {"x": "x", "y": "y"}))
+    binned = with_bins(cells, [("x", "x_low", "x_high", "x_bin"), ("y", "y_low", "y_high", "y_bin")], bins)
+    return binned.groupBy(*by, "x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def binned_mean(df: DataFrame, x: str, v: str, bins: int = 50) -> DataFrame:
     """(bin, centre, mean): mean of v in equal bins of x; null for an empty bin."""
     data = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(v).alias("v"))
-    lim = _limits(data, {"x": "x"})
-    means = (
-        data.crossJoin(lim)
-        .groupBy(bin_index(F.col("x"), F.col("x_low"), F.col("x_high"), bins).alias("bin"))
-        .agg(F.avg("v").alias("mean"))
-    )
-    frame = lim.where("x_low IS NOT NULL").select(
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
-        F.col("x_low").alias("_a"),
-        F.col("x_high").alias("_b"),
-    )
-    edge = lambda i: bin_edge(i, F.col("_a"), F.col("_b"), bins)
-    return frame.join(means, "bin", "left").select(
-        "bin", ((edge(F.col("bin")) + edge(F.col("bin") + 1)) / 2).alias("centre"), "mean"
-    )
+    lim = limits(data, {"x": "x"})
+    binned = with_bins(data.crossJoin(lim), [("x", "x_low", "x_high", "bin")], bins)
+    means = binned.groupBy("bin").agg(F.avg("v").alias("mean"))
+    return _all_bins(lim, bins).join(means, "bin", "left").selectExpr("bin", "(low + high) / 2 AS centre", "mean")
 
 
 def shared_histogram(
@@ -100,19 +91,13 @@ def shared_histogram(
     """(split, pred_bin, obs_bin, n) with one square range for all splits, taken from
     the reference split: the joint min and max of both columns. Negative values are
     invalid; pairs outside the range are not counted."""
-    valid = df.where((F.col(observed) >= 0) & (F.col(predicted) >= 0))
-    ref = valid.where(F.col(split) == reference)
-    lim = ref.agg(
-        F.least(F.min(observed), F.min(predicted)).alias("low"),
-        F.greatest(F.max(observed), F.max(predicted)).alias("high"),
-    )
-    cells = valid.crossJoin(F.broadcast(lim))
-    at = lambda c: bin_index(F.col(c), F.col("low"), F.col("high"), bins)
-    return (
-        cells.groupBy(split, at(predicted).alias("pred_bin"), at(observed).alias("obs_bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("pred_bin IS NOT NULL AND obs_bin IS NOT NULL")
+    valid = df.where((F.col(observed) >= 0) & (F.col(predicted) >= 0)).select(split, observed, predicted)
+    ref = valid.where(F.col(split) == reference).select(F.explode(F.array(observed, predicted)).alias("x"))
+    cells = valid.crossJoin(limits(ref, {"x": "x"}))
+    binned = with_bins(
+        cells, [(predicted, "x_low", "x_high", "pred_bin"), (observed, "x_low", "x_high", "obs_bin")], bins
     )
+    return binned.groupBy(split, "pred_bin", "obs_bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def parameter_heatmaps(
@@ -126,46 +111,25 @@ def parameter_heatmaps(
 
     ``te_limits`` is a one-row (low, high) frame, usually percentiles. A parameter
     whose range is missing or not increasing uses its own min and max. ``max_n`` is
-    the largest cell over all parameters. One scan: parameters are unpivoted.
+    the largest cell over all parameters.
+
+    The Te bin is found once per row; each parameter's bin follows in the same
+    projection, and only (param, bins) triples are unfolded.
     """
-    good = df.where(F.col(te).isNotNull() & (F.col(te) > 0) & ~F.isnan(te))
-    params = list(ranges)
-    lims = []
-    for p in params:
-        r = ranges[p]
-        if r is not None and r[1] > r[0]:
-            lims += [F.lit(float(r[0])).alias(f"{p}_low"), F.lit(float(r[1])).alias(f"{p}_high")]
-        else:
-            lims += [F.min(p).cast("double").alias(f"{p}_low"), F.max(p).cast("double").alias(f"{p}_high")]
-    lim = good.agg(F.count(F.lit(1)).alias("_n"), *lims).drop("_n")
-    points = good.crossJoin(F.broadcast(lim)).crossJoin(F.broadcast(te_limits))
-    melted = points.select(
-        F.col(te).alias("y"),
-        F.col("low").alias("y_low"),
-        F.col("high").alias("y_high"),
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(p).alias("param"),
-                        F.col(p).cast("double").alias("x"),
-                        F.col(f"{p}_low").alias("x_low"),
-                        F.col(f"{p}_high").alias("x_high"),
-                    )
-                    for p in params
-                ]
-            )
-        ),
-    ).where("x IS NOT NULL AND x_high > x_low")
-    counts = (
-        melted.groupBy(
-            "param",
-            bin_index(F.col("x"), F.col("x_low"), F.col("x_high"), bins).alias("x_bin"),
-            bin_index(F.col("y"), F.col("y_low"), F.col("y_high"), bins).alias("y_bin"),
-        )
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("x_bin IS NOT NULL AND y_bin IS NOT NULL")
+    keep = f"`{te}` IS NOT NULL AND `{te}` > 0 AND NOT isnan(`{te}`)"
+    good = df.where(keep).selectExpr(f"`{te}` AS y", *[f"CAST(`{p}` AS double) AS `{p}`" for p in ranges])
+    own = {p: p for p, r in ranges.items() if r is None or not r[1] > r[0]}
+    points = good.crossJoin(F.broadcast(te_limits.selectExpr("low AS y_low", "high AS y_high")))
+    if own:
+        points = points.crossJoin(limits(good, own))
+    fixed = [
+        f"{float(r[i])!r}D AS `{p}_{end}`" for p, r in ranges.items() if p not in own for i, end in enumerate(("low", "high"))
+    ]
+    points = with_bins(points.selectExpr("*", *fixed), [("y", "y_low", "y_high", "y_bin")], bins)
+    melted = ", ".join(f"struct('{p}' AS param, `{p}` AS x, `{p}_low` AS x_low, `{p}_high` AS x_high)" for p in ranges)
+    cells = with_bins(
+        points.selectExpr("y_bin", f"inline(array({melted}))"), [("x", "x_low", "x_high", "x_bin")], bins
     )
-    # At most params x bins x bins rows.
-    top = counts.agg(F.max("n").alias("max_n"))
-    return counts.crossJoin(F.broadcast(top))
+    counts = cells.groupBy("param", "x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n"))
+    # The window sees at most params x bins x bins counted cells.
+    return counts.withColumn("max_n", F.max("n").over(W.partitionBy()))

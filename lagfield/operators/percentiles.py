@@ -5,6 +5,9 @@ Then one aggregate reduces every row to a small key: the number of brackets lyin
 above it and, inside a bracket (a fraction of a percent of the rows), its value.
 Counts below each bracket and the exact order statistics inside follow from that
 table. A value shared by a third of all rows is one row after the map-side combine.
+
+Up to ``SMALL_INPUT`` rows in total the built-in percentile is used, whose memory the
+row count then bounds.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from lagfield.operators.bounded import SMALL_ROWS, pin_if_small, settle
 SKETCH_ACCURACY = 5000
 MARGIN = 4.0 / SKETCH_ACCURACY
 SUB_BINS = 1024
+SMALL_INPUT = 3_000_000
 
 
 def _sketch(data: DataFrame, by: Sequence[str], probs: Sequence[float], extra: Sequence[Column] = ()) -> DataFrame:
@@ -43,13 +47,24 @@ def _sketch(data: DataFrame, by: Sequence[str], probs: Sequence[float], extra: S
     return sketched.selectExpr("*", f"array({', '.join(ends)}) AS _w").drop("_q")
 
 
-def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def exact_percentiles(
+    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), small_input: int = SMALL_INPUT
+) -> DataFrame:
     """(by…, p, value): percentiles with linear interpolation between order statistics."""
     by, probs = list(by), sorted(float(p) for p in probs)
     data = _values(df, value, by)
+    if data.count() <= small_input:
+        rows = ", ".join(f"struct({p!r}D AS p, _v[{i}] AS value)" for i, p in enumerate(probs))
+        return _direct(data.groupBy(*by), probs).selectExpr(*by, f"inline(array({rows}))")
     return _pick(data, pin_if_small(_sketch(data, by, probs)), by, probs)
 
 
+def _direct(grouped, probs: Sequence[float], extra: Sequence[Column] = ()) -> DataFrame:
+    points = f"array({', '.join(f'{p!r}D' for p in probs)})"
+    got = grouped.agg(F.expr(f"percentile(v, {points})").alias("_v"), *extra)
+    return got.where("_v IS NOT NULL")
+
+
 def _values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     data = df.select(*by, F.col(value).cast("double").alias("v"))
     return data.where("v IS NOT NULL AND NOT isnan(v)")
@@ -130,23 +145,39 @@ def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataF
     return df.select(*by, F.inline(pairs)).where("value IS NOT NULL AND NOT isnan(value)")
 
 
-def describe(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+def describe(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], small_input: int = SMALL_INPUT
+) -> DataFrame:
     """(column, statistic, value): count, mean, sample std, min, percentiles, max.
 
-    The plain statistics ride along with the sketch, so the table is read twice."""
+    The plain statistics ride along with the first percentile pass."""
     data, probs = melt(df, columns).withColumnRenamed("value", "v"), sorted(float(p) for p in probs)
-    sketch = _sketch(data, ["column"], probs, [F.expr("avg(v)").alias("_mean"), F.expr("stddev_samp(v)").alias("_std")])
-    sketch = pin_if_small(sketch)
-    base = sketch.selectExpr(
-        "`column`",
-        "stack(5, 'count', CAST(_n AS double), 'mean', _mean, 'std', _std, 'min', _min, 'max', _max) AS (statistic, value)",
-    )
+    plain = {"_mean": "avg(v)", "_std": "stddev_samp(v)"}
+    if data.count() <= small_input:
+        plain |= {"_n": "count(1)", "_min": "min(v)", "_max": "max(v)"}
+        got = _direct(data.groupBy("column"), probs, [F.expr(e).alias(n) for n, e in plain.items()])
+        percentiles = [f"struct('p{p}' AS statistic, _v[{i}] AS value)" for i, p in enumerate(probs)]
+        return got.selectExpr("`column`", f"inline(array({', '.join([*_PLAIN_ROWS, *percentiles])}))")
+    sketch = pin_if_small(_sketch(data, ["column"], probs, [F.expr(e).alias(n) for n, e in plain.items()]))
+    base = sketch.selectExpr("`column`", f"inline(array({', '.join(_PLAIN_ROWS)}))")
     points = _pick(data, sketch, ["column"], probs).selectExpr(
         "`column`", "concat('p', CAST(p AS string)) AS statistic", "value"
     )
     return base.unionByName(points)
 
 
+_PLAIN_ROWS = [
+    f"struct('{name}' AS statistic, {column} AS value)"
+    for name, column in (
+        ("count", "CAST(_n AS double)"),
+        ("mean", "_mean"),
+        ("std", "_std"),
+        ("min", "_min"),
+        ("max", "_max"),
+    )
+]
+
+
 def box_summary(df: DataFrame, columns: Sequence[str], bucket: Column, name: str = "bucket") -> DataFrame:
     """(column, bucket, n, q1, median, q3, low_whisker, high_whisker, outliers).
 

@@ -87,16 +87,21 @@ def _look_up(rows: DataFrame, ts: str, blocks: DataFrame, out: str, spec: LagSpe
 def block_bytes(groups: Sequence[tuple[DataFrame, str, str, str, LagSpec]]) -> int:
     """Upper bound of the packed size of all groups, from the spans of their series:
     grid points spanned, times eight, plus the repeated tails. One small job."""
+    keyed = {(id(series), ts): (series, ts) for series, ts, *_ in groups}
+    number = {k: i for i, k in enumerate(keyed)}
     spans = None
-    for i, (series, ts, *_) in enumerate(groups):
-        one = series.agg(F.min(micros(ts)).alias("a"), F.max(micros(ts)).alias("b")).select(F.lit(i).alias("i"), "a", "b")
-        spans = one if spans is None else spans.unionByName(one)
+    for k, (series, ts) in keyed.items():
+        ends = series.agg(F.min(micros(ts)).alias("a"), F.max(micros(ts)).alias("b"))
+        ends = ends.select(F.lit(number[k]).alias("i"), "a", "b")
+        spans = ends if spans is None else spans.unionByName(ends)
+    span = {r.i: (r.a, r.b) for r in spans.where("a IS NOT NULL").collect()}  # one row per series
     total = 0
-    for r in spans.where("a IS NOT NULL").collect():  # one row per group
-        spec = groups[r.i][-1]
-        m = _block_entries(spec)
-        blocks = ((r.b - r.a) // spec.unit_us + 1) // (spec.step * m) + 3
-        total += 8 * blocks * spec.step * (m + spec.count)
+    for series, ts, *_, spec in groups:
+        if number[id(series), ts] in span:
+            a, b = span[number[id(series), ts]]
+            m = _block_entries(spec)
+            blocks = ((b - a) // spec.unit_us + 1) // (spec.step * m) + 3
+            total += 8 * blocks * spec.step * (m + spec.count)
     return total
 
 

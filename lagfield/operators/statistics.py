@@ -61,17 +61,17 @@ def mean_deviation(observed: Column, predicted: Column) -> Column:
     return F.avg(predicted - observed)
 
 
-def share(condition: Column) -> Column:
-    """Percent of rows meeting a condition; an undecidable row counts as not meeting it."""
-    return F.avg(F.coalesce(condition, F.lit(False)).cast("int")) * 100.0
-
-
 def within_absolute(observed: Column, predicted: Column, limit: float) -> Column:
-    return share(F.abs(predicted - observed) <= F.lit(float(limit)))
+    """Percent of rows whose deviation is at most ``limit``."""
+    return F.avg((F.abs(predicted - observed) <= F.lit(float(limit))).cast("int")) * 100.0
 
 
 def within_relative(observed: Column, predicted: Column, percent: float) -> Column:
-    return share(F.try_divide(F.abs(predicted - observed), observed) * 100.0 <= F.lit(float(percent)))
+    """Percent of rows deviating at most ``percent`` of the truth; a zero truth counts
+    as outside."""
+    ratio = F.try_divide(F.abs(predicted - observed), observed) * 100.0
+    inside = F.when(observed.isNotNull() & predicted.isNotNull(), F.coalesce(ratio <= F.lit(float(percent)), F.lit(False)))
+    return F.avg(inside.cast("int")) * 100.0
 
 
 def accuracy_report(
@@ -84,10 +84,19 @@ def accuracy_report(
     """R², RMSE, mean deviation, shares within thresholds (and mean entropy), one row
     per ``by`` group. Rows without a usable prediction are left out. Every measure is
     an algebraic aggregate, so a hot group combines before the shuffle."""
-    t, p = F.col(observed), F.col(predicted)
-    usable = df.where(p.isNotNull() & ~F.isnan(p))
+    ok = F.col(observed).isNotNull() & F.col(predicted).isNotNull() & ~F.isnan(predicted)
+    extra = {"_h": F.col(entropy)} if entropy else {}
+    # Masked rather than filtered: a filter on the prediction would be pushed below it
+    # and compute the whole model a second time.
+    rows = df.withColumns({"_ok": ok, **extra}).select(
+        *by,
+        F.when(F.col("_ok"), F.col(observed)).alias("_t"),
+        F.when(F.col("_ok"), F.col(predicted)).alias("_p"),
+        *[F.when(F.col("_ok"), F.col(c)).alias(c) for c in extra],
+    )
+    t, p = F.col("_t"), F.col("_p")
     aggs = [
-        F.count(F.lit(1)).alias("n"),
+        F.count(t).alias("n"),
         r_squared(t, p).alias("r2"),
         rmse(t, p).alias("rmse"),
         mean_deviation(t, p).alias("mean_deviation"),
@@ -95,8 +104,8 @@ def accuracy_report(
         *[within_relative(t, p, k).alias(f"within_{k}_percent") for k in RELATIVE_THRESHOLDS],
     ]
     if entropy:
-        aggs.append(F.avg(entropy).alias("mean_entropy"))
-    return usable.groupBy(*by).agg(*aggs)
+        aggs.append(F.avg("_h").alias("mean_entropy"))
+    return rows.groupBy(*by).agg(*aggs).where(F.col("n") > 0)
 
 
 def long_report(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:

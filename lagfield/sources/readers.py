@@ -38,38 +38,37 @@ def scan_observations(
 
 
 def _lines(spark: SparkSession, paths) -> DataFrame:
-    """Non-blank lines with their file and a sortable (file, offset, line) position."""
+    """Whitespace tokens of each non-blank line, with its file and byte block."""
     meta = F.col("_metadata")
     return (
         spark.read.text(paths)
+        .where(F.trim("value") != "")
         .select(
-            "value",
+            F.split(F.trim("value"), r"\s+").alias("tokens"),
             meta["file_path"].alias("file"),
-            F.struct(
-                meta["file_path"].alias("f"),
-                meta["file_block_start"].alias("b"),
-                F.monotonically_increasing_id().alias("i"),
-            ).alias("position"),
+            meta["file_block_start"].alias("block"),
         )
-        .where(F.trim("value") != "")
     )
 
 
 def split_fields(lines: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Whitespace tokens cast to double by position, and a ``bad`` flag per line.
+    """Tokens cast to double by position, a ``bad`` flag and a sortable position per line.
 
     A line is bad when a time field holds something that is no number, or when it
-    has more tokens than fields.
+    has more tokens than fields. The running id keeps line order within a block; being
+    in the same projection as the parsed numbers, it also keeps later filters above
+    them, so that no line is tokenised or cast more than once.
     """
-    tokens = F.split(F.trim("value"), r"\s+")
-    cut = lines.select("file", "position", tokens.alias("tokens"))
     number = {n: not_nan(F.get("tokens", F.lit(i)).try_cast("double")) for i, n in enumerate(names)}
     clock = [i for i, n in enumerate(names) if n in ("Year", "Day", "DOY", "Hour", "Minute")]
     bad = F.size("tokens") > len(names)
     for i in clock:
         token = F.get("tokens", F.lit(i))
         bad = bad | (token.isNotNull() & token.try_cast("double").isNull())
-    return cut.select("file", "position", bad.alias("bad"), *[v.alias(n) for n, v in number.items()])
+    position = F.struct(
+        F.col("file").alias("f"), F.col("block").alias("b"), F.monotonically_increasing_id().alias("i")
+    )
+    return lines.select("file", position.alias("position"), bad.alias("bad"), *[v.alias(n) for n, v in number.items()])
 
 
 def quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

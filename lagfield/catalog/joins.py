@@ -94,7 +94,7 @@ def _(t):
     ev = t.events.withColumn("t", F.date_trunc("minute", F.col("ts").cast("timestamp")).cast("timestamp_ntz"))
     series = ev.where("event_type = 'signup' AND value > 20").groupBy("t").agg(F.min("value").alias("v"))
     rows = ev.where("event_type <> 'signup'").select("event_id", "t")
-    got = J.attach_nearest(rows, "t", series, "t", "v", "value", bucket_us=4 * MICROS_PER_HOUR, key_out="key_ts")
+    got = J.attach_nearest(rows, "t", series, "t", "v", "value", key_out="key_ts")
     return got.drop("t")
 
 

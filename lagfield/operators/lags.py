@@ -25,6 +25,7 @@ from lagfield.operators.bounded import pin_if_small
 from lagfield.schema import LagSpec
 
 BROADCAST_BYTES = 256 * 1024 * 1024
+KEYS_PER_BUCKET = 24
 BLOCK_SPAN = 8  # block length as a multiple of the lag count
 
 
@@ -189,6 +190,12 @@ def widen(df: DataFrame, arrays: dict[str, int]) -> DataFrame:
 # -- nearest ----------------------------------------------------------------
 
 
+def _whole(u, width: int) -> Column:
+    """floor(u / width) in integers, exact for any microsecond count."""
+    u = F.col(u) if isinstance(u, str) else u
+    return F.call_function("div", u - F.pmod(u, F.lit(width)), F.lit(width))
+
+
 def _with_neighbours(series: DataFrame, ts: str, value: str, bucket_us: int) -> DataFrame:
     """Each key with its previous and next key, without a global sort.
 
@@ -199,7 +206,7 @@ def _with_neighbours(series: DataFrame, ts: str, value: str, bucket_us: int) ->
     from pyspark.sql import Window as W
 
     points = series.where(F.col(ts).isNotNull()).select(micros(ts).alias("u"), F.col(value).alias("v"))
-    points = points.withColumn("b", F.floor(F.col("u") / bucket_us).cast("bigint"))
+    points = points.withColumn("b", _whole("u", bucket_us))
     ends = points.groupBy("b").agg(F.min("u").alias("lo"), F.max("u").alias("hi"))
     order = W.orderBy("b")
     ends = ends.select("b", F.lag("hi").over(order).alias("prev_hi"), F.lead("lo").over(order).alias("next_lo"))
@@ -217,7 +224,7 @@ def attach_nearest(
     s_ts: str,
     value: str,
     out: str,
-    bucket_us: int = 86_400_000_000,
+    bucket_us: int | None = None,
     max_broadcast_rows: int = 200_000,
     key_out: str | None = None,
 ) -> DataFrame:
@@ -228,24 +235,28 @@ def attach_nearest(
 
     Every key owns the interval of instants nearest to it; intervals are laid onto
     time buckets, and a row meets only the intervals of its bucket. Rows are never
-    sorted or windowed, so many rows in one bucket are no problem.
+    sorted or windowed, so many rows in one bucket are no problem. Buckets are sized
+    to hold about ``KEYS_PER_BUCKET`` keys unless a width is given.
     """
-    near = _with_neighbours(series, s_ts, value, bucket_us)
-    bucket = lambda u: F.floor(u / bucket_us).cast("bigint")
-    # First and last bucket: one row, from the series alone.
-    ends = series.agg(F.min(bucket(micros(s_ts))).alias("lo"), F.max(bucket(micros(s_ts))).alias("hi")).first()
+    # Span and length: one row, from the series alone.
+    u = micros(s_ts)
+    ends = series.agg(F.min(u).alias("lo"), F.max(u).alias("hi"), F.count(u).alias("n")).first()
     if ends.lo is None:
         extra = {out: F.lit(None).cast(series.schema[value].dataType)}
         if key_out:
             extra[key_out] = F.lit(None).cast("timestamp_ntz")
         return rows.withColumns(extra)
-    b_min, b_max = F.lit(ends.lo), F.lit(ends.hi)
+    if bucket_us is None:
+        bucket_us = max(1_000_000, (ends.hi - ends.lo) * KEYS_PER_BUCKET // ends.n)
+    bucket = lambda u: _whole(u, bucket_us)
+    near = _with_neighbours(series, s_ts, value, bucket_us)
+    b_min, b_max = F.lit(ends.lo // bucket_us), F.lit(ends.hi // bucket_us)
     # Doubled microseconds keep midpoints integral: row u belongs here if lo2 <= 2u < hi2.
     owned = near.select(
         "u", "v", (F.col("p") + F.col("u")).alias("lo2"), (F.col("u") + F.col("n")).alias("hi2")
     )
-    first = F.coalesce(bucket(F.col("lo2") / 2), b_min)
-    last = F.coalesce(bucket(F.col("hi2") / 2), b_max)
+    first = F.coalesce(bucket(_whole("lo2", 2)), b_min)
+    last = F.coalesce(bucket(_whole("hi2", 2)), b_max)
     laid = owned.select(
         F.col("u").alias("_key"),
         F.col("v").alias("_value"),

@@ -53,7 +53,7 @@ def exact_percentiles(
     """(by…, p, value): percentiles with linear interpolation between order statistics."""
     by, probs = list(by), sorted(float(p) for p in probs)
     data = _values(df, value, by)
-    if data.count() <= small_input:
+    if small_input and data.count() <= small_input:
         rows = ", ".join(f"struct({p!r}D AS p, _v[{i}] AS value)" for i, p in enumerate(probs))
         return _direct(data.groupBy(*by), probs).selectExpr(*by, f"inline(array({rows}))")
     return _pick(data, pin_if_small(_sketch(data, by, probs)), by, probs)
@@ -153,7 +153,7 @@ def describe(
     The plain statistics ride along with the first percentile pass."""
     data, probs = melt(df, columns).withColumnRenamed("value", "v"), sorted(float(p) for p in probs)
     plain = {"_mean": "avg(v)", "_std": "stddev_samp(v)"}
-    if data.count() <= small_input:
+    if small_input and data.count() <= small_input:
         plain |= {"_n": "count(1)", "_min": "min(v)", "_max": "max(v)"}
         got = _direct(data.groupBy("column"), probs, [F.expr(e).alias(n) for n, e in plain.items()])
         percentiles = [f"struct('p{p}' AS statistic, _v[{i}] AS value)" for i, p in enumerate(probs)]

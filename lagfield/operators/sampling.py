@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lagfield.operators.bounded import pin_if_small
 
 PREFIX = 3  # hex digits: 4096 slices of the hash space
+SLICE_ROWS = 4_000_000  # wanted upper limit of rows numbered in one window
 
 
 def hash_order(key, seed: int = 42) -> Column:
@@ -32,8 +33,8 @@ def _first_unit(hash_hex: Column, start: int = 1) -> Column:
 def _slice_counts(df: DataFrame, slices: Sequence[Column], by: Sequence[str]) -> DataFrame:
     """Rows per (by, hash slice) with the running total before each slice.
 
-    Counting combines before the shuffle; the running window sees at most 4096
-    rows per ``by`` value.
+    Counting combines before the shuffle; the running window sees one row per slice
+    and ``by`` value.
     """
     counts = df.groupBy(*by, F.concat(*slices).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
     run = W.partitionBy(*by).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
@@ -85,11 +86,14 @@ def ranked(df: DataFrame, key: str, by: Sequence[str] = (), seed: int = 42, name
     """Number rows 1.. in hash order within ``by``, without one task per ``by`` value.
 
     Rows are numbered inside (by, hash slice) windows, which are even however uneven
-    ``by`` is, and shifted by the slice's running total.
+    ``by`` is, and shifted by the slice's running total. The number of slices grows
+    with the row count (a sixteenfold step each time), so a window stays small.
     """
-    by = list(by)
+    by, digits, rows = list(by), PREFIX, df.count()
+    while rows / 16**digits > SLICE_ROWS:
+        digits += 1
     h = df.withColumn("_h", hash_order(key, seed))
-    cut = F.substring("_h", 1, PREFIX)
+    cut = F.substring("_h", 1, digits)
     offsets = _slice_counts(h, [cut], by).select(*by, "_s", "_before")
     inside = W.partitionBy(*by, "_s").orderBy("_h")
     local = h.withColumn("_s", cut).withColumn("_r", F.row_number().over(inside))

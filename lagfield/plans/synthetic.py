@@ -17,9 +17,23 @@ PLAIN_FIXED = {"ILAT": 45.0, "GMLT": 0.0, "XXLAT": 0.0, "XXLON": 0.0, "GCLAT": 0
 ANCHOR_SHELL, ANCHOR_LATITUDE, ANCHOR_LONGITUDE = 3.0, 43.0, 289.0
 
 
+GRID_ROWS_PER_TASK = 250_000
+
+
+def spread_times(times: DataFrame, ts: str, altitudes: int) -> DataFrame:
+    """Times over enough tasks for what each of them grows into.
+
+    The time table is tiny, so adaptive execution would leave it in one partition and
+    one task would build the whole grid. An explicit partition count is kept as it is.
+    """
+    tasks = max(1, -(-times.count() * altitudes // GRID_ROWS_PER_TASK))
+    return times.repartition(tasks, ts)
+
+
 def time_altitude_grid(times: DataFrame, ts: str, low: int = 1000, high: int = 8000, step: int = 10) -> DataFrame:
     """Every time with every altitude; the altitude list is fixed and broadcast."""
     alt = numeric_grid(times.sparkSession, low, high, step, "Altitude")
+    times = spread_times(times, ts, len(range(low, high + 1, step)))
     return times.select(F.col(ts).alias(TIME)).crossJoin(F.broadcast(alt))
 
 
@@ -29,7 +43,8 @@ def plain_grid(
     """Wide grid table: features once per time, then times x altitudes, then columns
     that depend on altitude. The features never repeat in a shuffle: the cross join
     with the broadcast altitudes runs after they are attached."""
-    features = mask_placeholders(add_index_features(times.select(F.col(ts).alias(TIME)), series, method="nearest"))
+    times = spread_times(times.select(F.col(ts).alias(TIME)), TIME, len(range(low, high + 1, step)))
+    features = mask_placeholders(add_index_features(times, series, method="nearest"))
     alt = numeric_grid(times.sparkSession, low, high, step, "Altitude")
     grid = wide(features).crossJoin(F.broadcast(alt))
     fixed = {c: F.lit(v) for c, v in PLAIN_FIXED.items()}
@@ -52,7 +67,7 @@ def anchored_grid(
     (GLAT, XXLAT, XXLON) may be supplied as columns of ``times``; the dipole latitude
     stands in for GLAT otherwise. Rows missing a feature are dropped, and the job fails
     when more than the threshold is missing."""
-    base = times.withColumnRenamed(ts, TIME)
+    base = spread_times(times.withColumnRenamed(ts, TIME), TIME, len(range(low, high + 1, step)))
     features = wide(mask_placeholders(add_index_features(base, series, method="nearest")))
     # Every time meets every altitude, so shares per time equal shares per grid row;
     # the check runs before the cross join, on a table smaller by the altitude count.

@@ -82,8 +82,10 @@ def test_duplicate_cells_and_scores_fail(spark):
     twice = spark.createDataFrame([(1, "a", 2.0), (1, "a", 3.0)], "r int, c string, v double")
     with pytest.raises(Exception):
         keyed.pivot_cells(twice, "r", "c", "v", ["a"]).collect()
-    with pytest.raises(ValueError):
-        keyed.attach_by_key(spark.range(3), spark.range(2).selectExpr("id", "1 AS s"), ["id"])
+    for ids in (2, 3):  # one id missing, one id doubled
+        scored = spark.range(ids).unionByName(spark.range(ids - 2)).selectExpr("id", "1 AS s")
+        with pytest.raises(Exception):
+            keyed.attach_by_key(spark.range(3), scored, ["id"]).collect()
 
 
 def test_zero_truth_counts_as_outside(spark):

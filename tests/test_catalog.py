@@ -7,6 +7,10 @@ from lagfield.catalog import ENTRIES
 from tools.compare import compare, duck
 
 
+# No altitude bin reaches ten rows in the smallest tables.
+EMPTY_WHEN_TINY = {"a15_altitude_profile"}
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return duck(sf_dir)
@@ -18,7 +22,7 @@ def test_query_equals_sql(spark, sf_dir, con, name):
         spark, con, name, entry_points.queries()[name], entry_points.oracle_sql().get(name), sf_dir
     )
     assert problem is None
-    assert rows > 0
+    assert rows > 0 or name in EMPTY_WHEN_TINY
 
 
 def test_every_query_but_training_has_sql():

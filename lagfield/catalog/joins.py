@@ -36,7 +36,8 @@ def _long(df, group):
 def _(t):
     groups = [(t.minute_series, "ts", g, g, LAG_GROUPS[g]) for g in ("AL_index", "SYM_H")]
     got = J.attach_lags(t.purchases.select("event_id", "t"), "t", groups)
-    return _long(got, "AL_index").unionByName(_long(got, "SYM_H"))
+    both = F.array(*[F.struct(F.lit(g).alias("grp"), F.col(g).alias("v")) for g in ("AL_index", "SYM_H")])
+    return got.select("event_id", F.inline(both)).select("event_id", "grp", F.posexplode("v").alias("lag", "value"))
 
 
 @query(

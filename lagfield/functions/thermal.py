@@ -1,5 +1,5 @@
-"""Empirical electron-temperature profile along a field line (Titheridge 1998, with
-the decimal-logarithm form of Webb and Essex 2003)."""
+"""Empirical electron-temperature profile along a field line (the published model of
+Titheridge, J. Geophys. Res. 103, 1998, with logarithms to base ten)."""
 
 from __future__ import annotations
 

@@ -69,7 +69,10 @@ def series_blocks(series: DataFrame, ts: str, value: str, spec: LagSpec) -> Data
         F.transform("e", lambda x, k: F.concat(gap(x["i"] - before(k) - 1), F.array(x["v"])))
     )
     tail = gap(F.lit(size - 1) - F.element_at("e", F.lit(-1))["i"])
-    return grouped.select("phase", "block", F.concat(filled, tail).alias("history"))
+    packed = grouped.select("phase", "block", F.concat(filled, tail).alias("h"))
+    # A doubled instant would shift every later entry, so it must not pass.
+    doubled = F.raise_error(F.lit("series instants are not unique")).cast("array<double>")
+    return packed.select("phase", "block", F.when(F.size("h") == size, F.col("h")).otherwise(doubled).alias("history"))
 
 
 def _look_up(rows: DataFrame, ts: str, blocks: DataFrame, out: str, spec: LagSpec) -> DataFrame:

@@ -6,8 +6,8 @@ above it and, inside a bracket (a fraction of a percent of the rows), its value.
 Counts below each bracket and the exact order statistics inside follow from that
 table. A value shared by a third of all rows is one row after the map-side combine.
 
-Up to ``SMALL_INPUT`` rows in total the built-in percentile is used, whose memory the
-row count then bounds.
+Inputs counted to hold at most ``SMALL_INPUT`` rows in total are sorted group by group
+instead (the count bounds what a task can meet).
 """
 
 from __future__ import annotations
@@ -54,15 +54,20 @@ def exact_percentiles(
     by, probs = list(by), sorted(float(p) for p in probs)
     data = _values(df, value, by)
     if small_input and data.count() <= small_input:
-        rows = ", ".join(f"struct({p!r}D AS p, _v[{i}] AS value)" for i, p in enumerate(probs))
-        return _direct(data.groupBy(*by), probs).selectExpr(*by, f"inline(array({rows}))")
+        rows = ", ".join(f"struct({p!r}D AS p, {_at(p)} AS value)" for p in probs)
+        return _direct(data.groupBy(*by)).selectExpr(*by, f"inline(array({rows}))")
     return _pick(data, pin_if_small(_sketch(data, by, probs)), by, probs)
 
 
-def _direct(grouped, probs: Sequence[float], extra: Sequence[Column] = ()) -> DataFrame:
-    points = f"array({', '.join(f'{p!r}D' for p in probs)})"
-    got = grouped.agg(F.expr(f"percentile(v, {points})").alias("_v"), *extra)
-    return got.where("_v IS NOT NULL")
+def _direct(grouped, extra: Sequence[Column] = ()) -> DataFrame:
+    return grouped.agg(F.expr("sort_array(collect_list(v))").alias("_a"), *extra).where("size(_a) > 0")
+
+
+def _at(p: float) -> str:
+    """Percentile p of the sorted array ``_a``."""
+    rank = f"({p!r}D * (size(_a) - 1))"
+    low, high = (f"_a[CAST({f}({rank}) AS int)]" for f in ("floor", "ceil"))
+    return f"{low} + ({rank} - floor({rank})) * ({high} - {low})"
 
 
 def _values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -155,8 +160,8 @@ def describe(
     plain = {"_mean": "avg(v)", "_std": "stddev_samp(v)"}
     if small_input and data.count() <= small_input:
         plain |= {"_n": "count(1)", "_min": "min(v)", "_max": "max(v)"}
-        got = _direct(data.groupBy("column"), probs, [F.expr(e).alias(n) for n, e in plain.items()])
-        percentiles = [f"struct('p{p}' AS statistic, _v[{i}] AS value)" for i, p in enumerate(probs)]
+        got = _direct(data.groupBy("column"), [F.expr(e).alias(n) for n, e in plain.items()])
+        percentiles = [f"struct('p{p}' AS statistic, {_at(p)} AS value)" for p in probs]
         return got.selectExpr("`column`", f"inline(array({', '.join([*_PLAIN_ROWS, *percentiles])}))")
     sketch = pin_if_small(_sketch(data, ["column"], probs, [F.expr(e).alias(n) for n, e in plain.items()]))
     base = sketch.selectExpr("`column`", f"inline(array({', '.join(_PLAIN_ROWS)}))")

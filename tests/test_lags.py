@@ -137,3 +137,14 @@ def test_observations_are_not_shuffled_when_blocks_fit(spark, minute_case):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 1
     assert plan.count("Exchange hashpartitioning") == 1  # the series' own grouping
+
+
+def test_doubled_series_instants_fail(spark, minute_case):
+    series, rows = minute_case
+    twice = pd.concat([series, series.iloc[[40]]])
+    spec = LagSpec(MICROS_PER_MINUTE, 10, 31)
+    got = J.attach_lags(
+        to_spark(spark, rows, ["t"]), "t", [(to_spark(spark, twice, ["ts"]), "ts", "v", "lag", spec)]
+    )
+    with pytest.raises(Exception):
+        got.collect()

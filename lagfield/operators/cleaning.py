@@ -122,35 +122,45 @@ def sentinel_to_null(c, values: Sequence[float]) -> Column:
     return F.when(~F.coalesce(c.isin(*[float(v) for v in values]), F.lit(False)), c)
 
 
+def _listed(values: Sequence[float]) -> str:
+    return ", ".join(f"{float(v)!r}D" for v in values)
+
+
+# Feature tables have hundreds of columns, so the functions below state their
+# per-column expressions as SQL text: one call plans them all.
+
+
 def replace_invalid(
     df: DataFrame, values: Sequence[float] = INVALID_VALUES, replacement: float = 0.0
 ) -> DataFrame:
     """Replace placeholder values in every numeric column, lag arrays included."""
-    bad = [F.lit(float(v)) for v in values]
+    bad, zero = _listed(values), f"{float(replacement)!r}D"
 
-    def fix(x: Column) -> Column:
-        return F.when(x.isin(*bad), F.lit(float(replacement))).otherwise(x)
-
-    new = {}
-    for f in df.schema.fields:
+    def text(f: T.StructField) -> str:
+        c = f"`{f.name}`"
         if isinstance(f.dataType, NUMERIC):
-            new[f.name] = fix(F.col(f.name)).cast(f.dataType)
-        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, NUMERIC):
-            new[f.name] = F.transform(f.name, fix)
-    return df.withColumns(new) if new else df
+            return f"CAST(CASE WHEN {c} IN ({bad}) THEN {zero} ELSE {c} END AS {f.dataType.simpleString()}) AS {c}"
+        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, NUMERIC):
+            return f"transform({c}, x -> CASE WHEN x IN ({bad}) THEN {zero} ELSE x END) AS {c}"
+        return c
+
+    return df.selectExpr(*[text(f) for f in df.schema.fields])
 
 
 def count_invalid(df: DataFrame, values: Sequence[float] = INVALID_VALUES) -> DataFrame:
-    """(value, hits) over all numeric columns, for the values that occur. One pass."""
-    cols = numeric_columns(df)
-    hits = [
-        F.sum(sum((F.when(F.col(c) == F.lit(float(v)), 1).otherwise(0) for c in cols), F.lit(0))).alias(f"h{i}")
-        for i, v in enumerate(values)
+    """(value, hits) over all numeric columns and lag arrays, for the values that occur.
+
+    One pass; only the hits are unfolded, and they combine before the shuffle.
+    """
+    scalars = ", ".join(f"CAST(`{c}` AS double)" for c in numeric_columns(df))
+    arrays = [
+        f"CAST(`{f.name}` AS array<double>)"
+        for f in df.schema.fields
+        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, NUMERIC)
     ]
-    pairs = F.array(
-        *[F.struct(F.lit(float(v)).alias("value"), F.col(f"h{i}").alias("hits")) for i, v in enumerate(values)]
-    )
-    return df.agg(*hits).select(F.inline(pairs)).where(F.col("hits") > 0)
+    cells = f"concat({', '.join([f'array({scalars})', *arrays])})"
+    hits = df.selectExpr(f"explode(filter({cells}, x -> x IN ({_listed(values)}))) AS value")
+    return hits.groupBy("value").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -158,28 +168,21 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     columns = list(columns or df.columns)
     kinds = dict(df.dtypes)
 
-    def missing(c: str) -> Column:
-        return F.col(c).isNull() | F.isnan(c) if kinds[c] in ("double", "float") else F.col(c).isNull()
+    def missing(c: str) -> str:
+        return f"`{c}` IS NULL" + (f" OR isnan(`{c}`)" if kinds[c] in ("double", "float") else "")
 
-    aggs = [F.count_if(missing(c)).alias(f"n{i}") for i, c in enumerate(columns)]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.col(f"n{i}").alias("nulls"),
-                (F.col("total") - F.col(f"n{i}")).alias("non_nulls"),
-                F.lit(kinds[c]).alias("type"),
-            )
-            for i, c in enumerate(columns)
-        ]
+    counts = [f"count_if({missing(c)}) AS n{i}" for i, c in enumerate(columns)]
+    rows = ", ".join(
+        f"struct('{c}' AS column, n{i} AS nulls, total - n{i} AS non_nulls, '{kinds[c]}' AS type)"
+        for i, c in enumerate(columns)
     )
-    return df.agg(F.count(F.lit(1)).alias("total"), *aggs).select(F.inline(rows))
+    return df.selectExpr("count(1) AS total", *counts).selectExpr(f"inline(array({rows}))")
 
 
 def guard_missing(df: DataFrame, required: Sequence[str], threshold_percent: float) -> DataFrame:
     """Fail if any required column misses more than the threshold, else drop rows
     that miss one. Shares of all columns come from one aggregate row."""
-    shares = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in required]).first()
+    shares = df.selectExpr(*[f"avg(CAST(`{c}` IS NULL AS double)) AS `{c}`" for c in required]).first()
     over = {c: shares[c] * 100 for c in required if (shares[c] or 0.0) * 100 > threshold_percent}
     if over:
         raise ValueError(f"too much missing data: {over}")
@@ -189,14 +192,16 @@ def guard_missing(df: DataFrame, required: Sequence[str], threshold_percent: flo
 
 def fill_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Null (or NaN) to zero; array columns element by element."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    new = {}
-    for c in columns:
-        if isinstance(kinds[c], T.ArrayType):
-            new[c] = F.transform(c, lambda x: F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)))
-        else:
-            new[c] = F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
-    return df.withColumns(new)
+    arrays = {f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)}
+
+    def text(c: str) -> str:
+        if c not in columns:
+            return f"`{c}`"
+        if c in arrays:
+            return f"transform(`{c}`, x -> coalesce(nanvl(x, 0D), 0D)) AS `{c}`"
+        return f"coalesce(nanvl(CAST(`{c}` AS double), 0D), 0D) AS `{c}`"
+
+    return df.selectExpr(*[text(c) for c in df.columns])
 
 
 def to_number(c) -> Column:

@@ -165,3 +165,19 @@ def test_logistic_family_learns(spark):
     model = scoring.fit_classes(df, ["x"], "te", classes=3, family="logistic", iterations=50)
     out = scoring.score_classes(model, df)
     assert out.where("predicted_class * 100 + 10 = te").count() > 250
+
+
+def test_placeholders_in_columns_and_lag_arrays(spark):
+    df = spark.createDataFrame(
+        [(999.9, [1.0, 9.999, None], 9999, "999.9"), (5.0, [9.999], 1, "x")], "a double, lag array<double>, k long, s string"
+    )
+    assert {r.value: r.hits for r in V.count_invalid(df).collect()} == {999.9: 1, 9.999: 2, 9999.0: 1}
+    out = V.replace_invalid(df)
+    assert [tuple(r) for r in out.collect()] == [(0.0, [1.0, 0.0, None], 0, "999.9"), (5.0, [0.0], 1, "x")]
+    assert out.schema == df.schema
+
+
+def test_null_counts_see_nan(spark):
+    df = spark.createDataFrame([(float("nan"), "a"), (1.0, None), (None, None)], "x double, s string")
+    got = {r.column: (r.nulls, r.non_nulls) for r in V.null_counts(df).collect()}
+    assert got == {"x": (2, 1), "s": (2, 1)}

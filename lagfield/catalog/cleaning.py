@@ -141,16 +141,18 @@ def _(t):
     with_obs(
         """, f AS (SELECT *, NOT (coalesce(XXLAT = 999, false) OR coalesce(XXLON = 999, false)) AS k1,
             coalesce(ILAT <= 90, false) AS k2, Altitude BETWEEN 1000 AND 8000 AS k3,
-            ts >= TIMESTAMP '1996-01-01' AS k4 FROM obs),
+            ts >= TIMESTAMP '1996-01-01' AS k4,
+            CAST(date_diff('day', TIMESTAMP '1970-01-01', ts) AS DOUBLE) AS day FROM obs),
         a AS (SELECT count(*) AS c0, count(*) FILTER (k1) AS c1, count(*) FILTER (k1 AND k2) AS c2,
             count(*) FILTER (k1 AND k2 AND k3) AS c3, count(*) FILTER (k1 AND k2 AND k3 AND k4) AS c4,
             min(GLAT) FILTER (k1) AS lo1, max(GLAT) FILTER (k1) AS hi1,
             min(ILAT) FILTER (k1 AND k2) AS lo2, max(ILAT) FILTER (k1 AND k2) AS hi2,
-            min(Altitude) FILTER (k1 AND k2 AND k3) AS lo3, max(Altitude) FILTER (k1 AND k2 AND k3) AS hi3 FROM f)
+            min(Altitude) FILTER (k1 AND k2 AND k3) AS lo3, max(Altitude) FILTER (k1 AND k2 AND k3) AS hi3,
+            min(day) FILTER (k1 AND k2 AND k3 AND k4) AS lo4, max(day) FILTER (k1 AND k2 AND k3 AND k4) AS hi4 FROM f)
         SELECT 1 AS step, 'no 999 in XXLAT or XXLON' AS description, c0 - c1 AS removed, c1 AS remaining, lo1 AS low, hi1 AS high FROM a
         UNION ALL SELECT 2, 'ILAT at most 90', c1 - c2, c2, lo2, hi2 FROM a
         UNION ALL SELECT 3, 'altitude 1000 to 8000 km', c2 - c3, c3, lo3, hi3 FROM a
-        UNION ALL SELECT 4, 'dated 1996-01-01 or later', c3 - c4, c4, NULL, NULL FROM a"""
+        UNION ALL SELECT 4, 'dated 1996-01-01 or later', c3 - c4, c4, lo4, hi4 FROM a"""
     ),
 )
 def _(t):

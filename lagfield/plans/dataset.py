@@ -24,7 +24,8 @@ EARLIEST = "1990-01-01"
 
 
 def cleaning_steps(earliest: str = EARLIEST) -> list[tuple[str, Column, Column | str | None]]:
-    """The row filters in order, each with the column whose range is reported."""
+    """The row filters in order, each with the column whose range is reported (dates as
+    days since 1970)."""
     date = F.col("DateFormatted")
     return [
         ("no 999 in XXLAT or XXLON", ~V.any_equals(["XXLAT", "XXLON"], 999.0), "GLAT"),
@@ -33,7 +34,7 @@ def cleaning_steps(earliest: str = EARLIEST) -> list[tuple[str, Column, Column |
         (
             f"dated {earliest} or later",
             date.isNotNull() & (date >= F.lit(earliest).cast("timestamp_ntz")),
-            None,
+            F.unix_date(date.cast("date")),
         ),
     ]
 

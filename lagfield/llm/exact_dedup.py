@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from lagfield.llm.common import fresh, located, settle
 from lagfield.session import scratch
 
-# State on disk, with a bound on the native memory of one executor.
+# State on disk, with a bound on the native memory of one executor; a task closes its part of the
+# state when it has committed, so what an executor holds does not grow with the number of parts.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
 }
 
@@ -104,12 +106,19 @@ def find_copies(
     placed = located(docs, file, row)
     texts = placed.select(_record(id_col, file, row).alias("record"), normal(F.col(text_col)).alias("body"))
     log = settle(texts.select(digest(F.col("body")).alias("digest"), "record"), "arrivals")
-    records = absorb(spark, log.settled_at, log.schema, state or scratch(spark, "state"))
+    records = settle(absorb(spark, log.settled_at, log.schema, state or scratch(spark, "state")), "records")
     marked = log.join(records, "digest")
 
     # Full bytes on hits: every member of a shared digest against the one that stays.
     members = texts.withColumn("digest", digest(F.col("body"))).join(records.where("copies > 1"), "digest")
-    same_place = (F.col("record.file") == F.col("first.file")) & (F.col("record.row") == F.col("first.row"))
+    # Stated as ranges: an equality would become a join key of one use of the texts, and the
+    # two uses would no longer share one shuffle.
+    same_place = (
+        (F.col("record.row") >= F.col("first.row"))
+        & (F.col("record.row") <= F.col("first.row"))
+        & (F.col("record.file") >= F.col("first.file"))
+        & (F.col("record.file") <= F.col("first.file"))
+    )
     stay = members.where(same_place).select("digest", F.col("body").alias("kept_body"))
     wrong = settle(
         members.where(~same_place).join(stay, "digest").where("body <> kept_body").select("digest").distinct(),

@@ -17,7 +17,7 @@ from lagfield.catalog.joins import HOURS_SQL, NEAREST, gather_sql
 from lagfield.catalog.scalars import FOOT_X, L_SQL, SCALE_SQL, SINE, poly, real, temperature_sql
 from lagfield.functions.thermal import COEFFICIENTS
 from lagfield.operators.statistics import accuracy_report
-from lagfield.plans import baselines, dataset, reports, synthetic
+from lagfield.plans import baselines, dataset, evaluation, reports, synthetic
 from lagfield.plans.scoring import preprocess
 from lagfield.schema import LAG_GROUPS, POSITION, feature_columns, lag_columns
 
@@ -289,20 +289,41 @@ def grid_ctes(minute: str, flux: str, kp: str) -> str:
 
 
 INDEX_COLUMNS = [c for c in feature_columns() if c not in POSITION]
-GRID_ALTITUDES = "(SELECT CAST(unnest(range(1000, 8001, 1000)) AS DOUBLE) AS Altitude)"
+GRID_ALTITUDES = "(SELECT CAST(unnest(range(1000, 8001, 10)) AS DOUBLE) AS Altitude)"
+
+
+def by_time_sql(grid: str, altitude_columns: list[str]) -> str:
+    """A grid told by one row a time: how many altitudes, sums of what depends on them, both ends of the rest."""
+    sums = [f"{rnd(f'sum({c})', 3)} AS sum_{c}" for c in altitude_columns]
+    ends = [f"min({c}) AS {c}" for c in INDEX_COLUMNS] + [f"max({c}) AS max_{c}" for c in ENDS]
+    return f"SELECT DateTimeFormatted, count(*) AS n, {', '.join(sums + ends)} FROM ({grid}) GROUP BY 1"
+
+
+def by_time(grid, altitude_columns):
+    sums = [(F.round(F.sum(c), 3) + 0.0).alias(f"sum_{c}") for c in altitude_columns]
+    ends = [F.min(c).alias(c) for c in INDEX_COLUMNS] + [F.max(c).alias(f"max_{c}") for c in ENDS]
+    return grid.groupBy("DateTimeFormatted").agg(F.count("*").alias("n"), *sums, *ends)
+
+
+ENDS = ["AL_index_0", "SYM_H_144", "f107_index_3", "Kp_index"]
+
+
+PLAIN_SUMS = ["Altitude", "GCLAT", "GCLON", "ILAT", "GMLT", "XXLAT", "XXLON", "GLAT"]
 
 
 @query(
     "k8_plain_grid",
     grid_ctes(MINUTE_SQL, FLUX_SQL, KP_SQL)
-    + "SELECT DateTimeFormatted, Altitude, 0e0 AS GCLAT, 0e0 AS GCLON, 45e0 AS ILAT, 0e0 AS GMLT, 0e0 AS XXLAT, 0e0 AS XXLON,"
-    f" {rnd('90 - degrees(asin(greatest(-1, least(1, sqrt((Altitude + 6378) / (2 * 6378))))))')} AS GLAT, "
-    + ", ".join(masked(c) for c in INDEX_COLUMNS)
-    + f" FROM w CROSS JOIN {GRID_ALTITUDES}",
+    + by_time_sql(
+        "SELECT DateTimeFormatted, Altitude, 0e0 AS GCLAT, 0e0 AS GCLON, 45e0 AS ILAT, 0e0 AS GMLT, 0e0 AS XXLAT, 0e0 AS XXLON,"
+        " 90 - degrees(asin(greatest(-1, least(1, sqrt((Altitude + 6378) / (2 * 6378)))))) AS GLAT, "
+        + ", ".join(masked(c) for c in INDEX_COLUMNS)
+        + f" FROM w CROSS JOIN {GRID_ALTITUDES}",
+        PLAIN_SUMS,
+    ),
 )
 def _(t):
-    grid = synthetic.plain_grid(hours(t), "h", series_of(t), 1000, 8000, 1000)
-    return grid.withColumn("GLAT", F.round("GLAT", 6))
+    return by_time(synthetic.plain_grid(hours(t), "h", series_of(t)), PLAIN_SUMS)
 
 
 # Daily extremes carried by every minute of the day: a series without gaps.
@@ -310,7 +331,9 @@ DAY_SQL = "SELECT date_trunc('day', ts) AS d, 0 - max(value) AS AL_index, min(va
 DENSE_SQL = f"SELECT d + to_minutes(CAST(m AS INTEGER)) AS ts, AL_index, SYM_H FROM ({DAY_SQL}) CROSS JOIN (SELECT unnest(range(1440)) AS m)"
 DAY_FLUX_SQL = f"SELECT d AS ts, round(f107_index, 4) AS f107_index FROM ({DAY_SQL})"
 SM_LON = "((hour({h}) * 15 + day({h}) * 7) % 360 - 180.5e0)"
-ANCHOR_L = "3e0"
+
+
+ANCHORED_SUMS = ["Altitude", "GMLT", "ILAT", "GLAT", "x_sm", "y_sm", "z_sm"]
 
 
 @query(
@@ -318,10 +341,13 @@ ANCHOR_L = "3e0"
     grid_ctes(DENSE_SQL, DAY_FLUX_SQL, KP_SQL)
     + f", g AS (SELECT *, {SM_LON.format(h='DateTimeFormatted')} AS lon, (Altitude + 6371) / 6371 AS r FROM w CROSS JOIN {GRID_ALTITUDES}),"
     " q AS (SELECT *, acos(sqrt(greatest(0, least(1, r / 3)))) AS lam, lon / 15 + 12 AS mlt FROM g)"
-    f" SELECT DateTimeFormatted, Altitude, {rnd('mlt - 24 * floor(mlt / 24)')} AS GMLT, {rnd('degrees(acos(1 / sqrt(3)))')} AS ILAT,"
-    f" {rnd('degrees(lam)')} AS GLAT, {rnd('r * cos(lam) * cos(radians(lon))')} AS x_sm, {rnd('r * cos(lam) * sin(radians(lon))')} AS y_sm,"
-    f" {rnd('r * sin(lam)')} AS z_sm, AL_index_30, SYM_H_0, SYM_H_144, f107_index_3, Kp_index FROM q WHERE "
-    + " AND ".join(f"{c} IS NOT NULL" for c in INDEX_COLUMNS),
+    + by_time_sql(
+        "SELECT DateTimeFormatted, Altitude, mlt - 24 * floor(mlt / 24) AS GMLT, degrees(acos(1 / sqrt(3))) AS ILAT,"
+        " degrees(lam) AS GLAT, r * cos(lam) * cos(radians(lon)) AS x_sm, r * cos(lam) * sin(radians(lon)) AS y_sm,"
+        f" r * sin(lam) AS z_sm, {', '.join(INDEX_COLUMNS)} FROM q WHERE "
+        + " AND ".join(f"{c} IS NOT NULL" for c in INDEX_COLUMNS),
+        ANCHORED_SUMS,
+    ),
 )
 def _(t):
     day = F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
@@ -334,18 +360,8 @@ def _(t):
     series = dataset.IndexSeries(minute, days.select(F.col("d").alias("ts"), "f107_index"), t.kp_series)
     lon = (F.hour("h") * 15 + F.day("h") * 7) % 360 - F.lit(180.5)
     times = hours(t).withColumn("lon", lon)
-    grid = synthetic.anchored_grid(times, "h", "lon", series, 1000, 8000, 1000, threshold_percent=25.0)
-    rounded = ["GMLT", "ILAT", "GLAT", "x_sm", "y_sm", "z_sm"]
-    return grid.select(
-        "DateTimeFormatted",
-        "Altitude",
-        *[(F.round(c, 6) + 0.0).alias(c) for c in rounded],
-        "AL_index_30",
-        "SYM_H_0",
-        "SYM_H_144",
-        "f107_index_3",
-        "Kp_index",
-    )
+    grid = synthetic.anchored_grid(times, "h", "lon", series, threshold_percent=25.0)
+    return by_time(grid, ANCHORED_SUMS)
 
 
 # -- evaluation and reports ---------------------------------------------------------------
@@ -377,6 +393,130 @@ def _(t):
     return hist
 
 
+# -- a network end to end -------------------------------------------------------------------
+
+
+def patterned_network(inputs: int, hidden: list[int], classes: int) -> list[dict]:
+    """Layers with integer-patterned weights, for SQL to state as well."""
+    layers, size = [], inputs
+    for n, units in enumerate([*hidden, classes]):
+        layer = {
+            "weight": [[(i * 5 + j * 3 + n) % 7 - 3 for i in range(size)] for j in range(units)],
+            "bias": [(j % 4) / 8 - 0.25 for j in range(units)],
+        }
+        if n < len(hidden):
+            layer |= {"gamma": [1 + (j % 3) / 4 for j in range(units)], "beta": [(j % 5 - 2) / 4 for j in range(units)]}
+        layers.append(layer)
+        size = units
+    return layers
+
+
+def network_ctes(source: str, keep: list[str], inputs: list[str], layers: list[dict], width: int) -> str:
+    """CTEs that end in ``net``: keep, predicted, confidence, entropy of every row of ``source``."""
+    kept, size = ", ".join(keep), len(inputs)
+    parts = [f"l0 AS (SELECT {kept}, " + ", ".join(f"{e} AS x{i}" for i, e in enumerate(inputs)) + f" FROM {source})"]
+
+    def unit(layer, j):
+        return " + ".join([f"x{i} * ({w})" for i, w in enumerate(layer["weight"][j])] + [f"({layer['bias'][j]!r}::DOUBLE)"])
+
+    for n, layer in enumerate(layers[:-1]):
+        size = len(layer["bias"])
+        own = ", ".join(f"{unit(layer, j)} AS h{j}" for j in range(size))
+        mean = " + ".join(f"h{j}" for j in range(size))
+        spread = " + ".join(f"pow(h{j} - mu, 2)" for j in range(size))
+        out = ", ".join(
+            f"greatest(0, (h{j} - mu) / sqrt(va + 1e-5) * ({layer['gamma'][j]!r}::DOUBLE) + ({layer['beta'][j]!r}::DOUBLE)) AS x{j}"
+            for j in range(size)
+        )
+        parts += [
+            f"h{n} AS (SELECT {kept}, {own} FROM l{n})",
+            f"m{n} AS (SELECT *, ({mean}) / {size} AS mu FROM h{n})",
+            f"v{n} AS (SELECT *, ({spread}) / {size} AS va FROM m{n})",
+            f"l{n + 1} AS (SELECT {kept}, {out} FROM v{n})",
+        ]
+    last, classes = layers[-1], range(len(layers[-1]["bias"]))
+    top = ", ".join(f"z{k}" for k in classes)
+    best = " ".join(f"WHEN z{k} = top THEN {k}" for k in classes)
+    mass = " + ".join(f"exp(z{k} - top)" for k in classes)
+    entropy = " + ".join(f"exp(z{k} - top) / mass * ln(exp(z{k} - top) / mass + 1e-10)" for k in classes)
+    parts += [
+        f"z AS (SELECT {kept}, {', '.join(f'{unit(last, k)} AS z{k}' for k in classes)} FROM l{len(layers) - 1})",
+        f"t AS (SELECT *, greatest({top}) AS top FROM z)",
+        f"s AS (SELECT *, {mass} AS mass FROM t)",
+        f"net AS (SELECT {kept}, (CASE {best} END) * {float(width)!r} + {width // 2} AS predicted, 100 / mass AS confidence,"
+        f" -({entropy}) AS entropy FROM s)",
+    ]
+    return ", ".join(parts)
+
+
+NET_INPUTS = ["Altitude", "ILAT", "GLAT", "GMLT", "XXLON", "Kp_index"]
+NET_WIDTH = 1000
+NET = patterned_network(len(NET_INPUTS), [9, 7], 11)
+NET_CTES = (
+    f", v AS (SELECT *, {SPLIT} AS split FROM obs), "
+    + network_ctes("v", ["split", "Te1"], [f"coalesce({SCALE_SQL[c]}, 0)" for c in NET_INPUTS], NET, NET_WIDTH)
+    + ", p AS (SELECT split, Te1, predicted AS pred, entropy FROM net)"
+)
+
+
+def _evaluated(t):
+    inputs = [NET_INPUTS, {}, {}, NET]
+    return evaluation.evaluate_network(
+        _splits(t), *inputs, "Te1", "split", "test-normal", width=NET_WIDTH, precision="float64"
+    )
+
+
+@query(
+    "k12_network_accuracy",
+    with_obs(NET_CTES + f" SELECT split, {report_sql('pred')}, {rnd('avg(entropy)', 5)} AS mean_entropy FROM p GROUP BY 1"),
+)
+def _(t):
+    report = _evaluated(t)[0]
+    return rounded_report(report.drop("mean_entropy")).join(report.select("split", F.round("mean_entropy", 5).alias("mean_entropy")), "split")
+
+
+@query(
+    "k12_network_histogram",
+    with_obs(
+        NET_CTES
+        + ", m AS (SELECT least(min(Te1), min(pred)) AS lo, greatest(max(Te1), max(pred)) AS hi FROM p WHERE split = 'test-normal')"
+        f" SELECT * FROM (SELECT split, {bin_of('pred', 'lo', 'hi', 100)} AS pred_bin, {bin_of('Te1', 'lo', 'hi', 100)} AS obs_bin,"
+        " count(*) AS n FROM p, m GROUP BY 1, 2, 3) WHERE pred_bin IS NOT NULL AND obs_bin IS NOT NULL"
+    ),
+)
+def _(t):
+    return _evaluated(t)[1]
+
+
+GRID_INPUTS = ["Altitude", "GLAT", "Kp_index", "AL_index_0", "f107_index_3"]
+GRID_NET = patterned_network(len(GRID_INPUTS), [8], 12)
+GRID_ROWS = (
+    "SELECT DateTimeFormatted, Altitude, 90 - degrees(asin(greatest(-1, least(1, sqrt((Altitude + 6378) / (2 * 6378)))))) AS GLAT, "
+    + ", ".join(masked(c) for c in GRID_INPUTS[2:])
+    + f" FROM w CROSS JOIN {GRID_ALTITUDES}"
+)
+
+
+def _grid_input(c: str) -> str:
+    group = c.rpartition("_")[0]
+    return f"coalesce({SCALE_SQL[c] if c in SCALE_SQL else f'({c} - ({MEANS[group]})) / {STDS[group]}'}, 0)"
+
+
+@query(
+    "k8_scored_grid",
+    grid_ctes(MINUTE_SQL, FLUX_SQL, KP_SQL)
+    + f", g AS ({GRID_ROWS}), "
+    + network_ctes("g", ["DateTimeFormatted", "Altitude"], [_grid_input(c) for c in GRID_INPUTS], GRID_NET, 100)
+    + " SELECT DateTimeFormatted, "
+    + ", ".join(f'max(CASE WHEN Altitude = {a} THEN predicted END) AS "{float(a)}"' for a in range(1000, 8001, 10))
+    + " FROM net GROUP BY 1",
+)
+def _(t):
+    grid = synthetic.plain_grid(hours(t), "h", series_of(t))
+    scored = evaluation.scored_grid(grid, GRID_INPUTS, MEANS, STDS, GRID_NET, precision="float64")
+    return evaluation.grid_matrix(scored, "predicted", [float(a) for a in range(1000, 8001, 10)])
+
+
 EXPLORE = ["o_custkey", "o_totalprice"]
 
 

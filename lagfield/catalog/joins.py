@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from lagfield.catalog.base import half_even_hour, query, with_series
 from lagfield.operators import lags as J
 from lagfield.operators.keyed import attach_by_key, per_distinct
-from lagfield.plans.synthetic import time_altitude_grid
-from lagfield.schema import INSTANT_SPEC, LAG_GROUPS, MICROS_PER_HOUR, MICROS_PER_MINUTE, LagSpec
+from lagfield.plans.synthetic import features_onto_grid, time_altitude_grid
+from lagfield.schema import INSTANT_SPEC, LAG_GROUPS, MICROS_PER_HOUR, LagSpec
 
 
 def gather_sql(group: str, column: str, series: str, spec: LagSpec) -> str:
@@ -50,14 +50,20 @@ def _(t):
     return _long(J.attach_lags(t.purchases.select("event_id", "t"), "t", groups, broadcast_bytes=0), "AL_index")
 
 
-SHORT = LagSpec(MICROS_PER_MINUTE, 7, 12)
-
-
-@query("j1_lag_gather_by_join", with_series(gather_sql("AL_index", "AL_index", "minute_series", SHORT)))
+@query(
+    "j1_lag_gather_by_join",
+    with_series(
+        gather_sql("AL_index", "AL_index", "minute_series", LAG_GROUPS["AL_index"])
+        + " UNION ALL "
+        + gather_sql("SYM_H", "SYM_H", "minute_series", LAG_GROUPS["SYM_H"])
+    ),
+)
 def _(t):
     rows = t.purchases.select("event_id", "t")
-    got = J.attach_lags_by_join(rows, "t", t.minute_series, "ts", "AL_index", "AL_index", SHORT)
-    return _long(got, "AL_index")
+    al, sym = (
+        _long(J.attach_lags_by_join(rows, "t", t.minute_series, "ts", g, g, LAG_GROUPS[g]), g) for g in ("AL_index", "SYM_H")
+    )
+    return al.unionByName(sym)
 
 
 @query("j2_lag_gather_rounded", with_series(gather_sql("f107_index", "f107_index", "flux", LAG_GROUPS["f107_index"])))
@@ -124,23 +130,21 @@ def _hours(t):
 
 @query(
     "j5_grid_cross_join",
-    f"SELECT h AS DateTimeFormatted, CAST(a AS DOUBLE) AS Altitude FROM ({HOURS_SQL}), (SELECT unnest(range(1000, 8001, 100)) AS a)",
+    f"SELECT h AS DateTimeFormatted, CAST(a AS DOUBLE) AS Altitude FROM ({HOURS_SQL}), (SELECT unnest(range(1000, 8001, 10)) AS a)",
 )
 def _(t):
-    return time_altitude_grid(_hours(t), "h", 1000, 8000, 100)
+    return time_altitude_grid(_hours(t), "h")
 
 
 @query(
     "j6_features_onto_grid",
     with_series(
         f"SELECT h AS DateTimeFormatted, CAST(a AS DOUBLE) AS Altitude, kp.Kp_index FROM ({HOURS_SQL})"
-        " CROSS JOIN (SELECT unnest(range(1000, 8001, 500)) AS a) LEFT JOIN kp ON kp.ts = h"
+        " CROSS JOIN (SELECT unnest(range(1000, 8001, 10)) AS a) LEFT JOIN kp ON kp.ts = h"
     ),
 )
 def _(t):
-    grid = time_altitude_grid(_hours(t), "h", 1000, 8000, 500)
-    kp = t.kp_series.withColumnRenamed("ts", "DateTimeFormatted")
-    return grid.join(kp, "DateTimeFormatted", "left")
+    return features_onto_grid(time_altitude_grid(_hours(t), "h"), t.kp_series, "ts")
 
 
 @query(

@@ -91,10 +91,10 @@ def _(t):
     return R.scan_flux(t.spark, f"{path}/*/*.txt")
 
 
-@query("s4_kp_scan", _first_sql("hour", "Kp_index", where="WHERE event_type = 'signup'"))
+@query("s4_kp_scan", _first_sql("hour", "Kp_index"))
 def _(t):
     path = scratch(t.spark, "kp")
-    _write_lines(_index_lines(t, "hour").where("event_type = 'signup'"), path)
+    _write_lines(_index_lines(t, "hour"), path)
     return R.scan_kp(t.spark, f"{path}/*/*.txt")
 
 

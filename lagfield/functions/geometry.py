@@ -46,13 +46,15 @@ def latitude_sine_squared(glat) -> Column:
 
 def grid_latitude(altitude) -> Column:
     x = F.sqrt((_c(altitude) + GRID_EARTH_KM) / (2 * GRID_EARTH_KM))
-    return 90.0 - F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))))
+    # Without the guard a null would count as a limit.
+    return F.when(x.isNotNull(), 90.0 - F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))))
 
 
 def dipole_position(altitude, shell, sm_longitude) -> dict[str, Column]:
     """Radius, magnetic latitude (rad) and SM x, y, z on the field line ``shell``."""
     r = (_c(altitude) + EARTH_KM) / EARTH_KM
-    arg = F.greatest(F.lit(0.0), F.least(F.lit(1.0), r / _c(shell)))
+    ratio = r / _c(shell)
+    arg = F.when(ratio.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio)))
     lam = F.acos(F.sqrt(arg))
     lon = F.radians(_c(sm_longitude))
     return {

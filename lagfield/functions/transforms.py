@@ -85,7 +85,10 @@ def group_of(name) -> Column:
 
 
 def target_class(x, width: int = BIN_WIDTH, classes: int = BIN_COUNT) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(classes - 1), F.floor(_c(x) / F.lit(float(width))))).cast("int")
+    """Class of a value, limited to the first and last; a missing value (null or NaN) has none."""
+    x = _c(x).cast("double")
+    inner = F.greatest(F.lit(0), F.least(F.lit(classes - 1), F.floor(x / F.lit(float(width))))).cast("int")
+    return F.when(x.isNotNull() & ~F.isnan(x), inner)
 
 
 def class_centre(k, width: int = BIN_WIDTH) -> Column:

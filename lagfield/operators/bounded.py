@@ -1,41 +1,18 @@
-"""Size-checked small sides.
-
-A side is broadcast only after it was seen to be small; otherwise the plan keeps
-an ordinary shuffle join, which adaptive execution splits when a key is hot.
-"""
+"""Results that several later steps read, written once."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lagfield.session import scratch
 
-SMALL_ROWS = 50_000
-
-
-def pin_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Evaluate a small result once and mark it for broadcast.
-
-    At most ``max_rows + 1`` rows reach the driver (partitions are read only until
-    that many were seen). A larger result comes back unchanged and without a hint,
-    so callers stay correct at any size.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema, verifySchema=False))
-
 
-def settle(df: DataFrame, small: bool) -> DataFrame:
-    """Evaluate a result once that several later steps read.
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Write ``df`` below the shared folder and read it back.
 
-    A result already known to be small is pinned; any other is written as a table
-    below the shared folder, which also cuts its lineage: it survives lost executors
-    without recomputation.
+    This cuts its lineage (lost executors recompute nothing) and gives later joins its true
+    size in bytes, by which Spark chooses between broadcast and shuffle.
     """
-    if small:
-        return pin_if_small(df)
-    path = scratch(df.sparkSession, "settled")
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import types as T
 
 from lagfield.schema import INVALID_VALUES
 
-NUMERIC = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.ByteType)
+NUMERIC = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DecimalType)
+BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -126,6 +128,31 @@ def _listed(values: Sequence[float]) -> str:
     return ", ".join(f"{float(v)!r}D" for v in values)
 
 
+def _typed(values: Sequence[float], kind: T.DataType) -> list[str]:
+    """SQL literals, of exactly the type ``kind``, of those values that it can hold."""
+    name, out = kind.simpleString(), []
+    for v in map(float, values):
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            out.append(f"CAST({v!r}D AS {name})")
+        elif isinstance(kind, T.DecimalType):
+            exact = Decimal(repr(v)).normalize()
+            _, digits, exponent = exact.as_tuple()
+            if -exponent <= kind.scale and len(digits) + exponent <= kind.precision - kind.scale:
+                out.append(f"CAST('{exact:f}' AS {name})")
+        elif v.is_integer() and -(2 ** (BITS[type(kind)] - 1)) <= v < 2 ** (BITS[type(kind)] - 1):
+            out.append(f"CAST({int(v)}L AS {name})")
+    return out
+
+
+def _replaced(c: str, kind: T.DataType, values: Sequence[float], replacement: float) -> str:
+    bad, new = _typed(values, kind), _typed([replacement], kind)
+    if not bad:
+        return c
+    if not new:
+        raise ValueError(f"{kind.simpleString()} cannot hold {replacement}")
+    return f"CASE WHEN {c} IN ({', '.join(bad)}) THEN {new[0]} ELSE {c} END"
+
+
 # Feature tables have hundreds of columns, so the functions below state their
 # per-column expressions as SQL text: one call plans them all.
 
@@ -133,15 +160,17 @@ def _listed(values: Sequence[float]) -> str:
 def replace_invalid(
     df: DataFrame, values: Sequence[float] = INVALID_VALUES, replacement: float = 0.0
 ) -> DataFrame:
-    """Replace placeholder values in every numeric column, lag arrays included."""
-    bad, zero = _listed(values), f"{float(replacement)!r}D"
+    """Replace placeholder values in every numeric column, lag arrays included.
+
+    Each column is compared and replaced in its own type, so other values keep every digit.
+    """
 
     def text(f: T.StructField) -> str:
         c = f"`{f.name}`"
         if isinstance(f.dataType, NUMERIC):
-            return f"CAST(CASE WHEN {c} IN ({bad}) THEN {zero} ELSE {c} END AS {f.dataType.simpleString()}) AS {c}"
+            return f"{_replaced(c, f.dataType, values, replacement)} AS {c}"
         if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, NUMERIC):
-            return f"transform({c}, x -> CASE WHEN x IN ({bad}) THEN {zero} ELSE x END) AS {c}"
+            return f"transform({c}, x -> {_replaced('x', f.dataType.elementType, values, replacement)}) AS {c}"
         return c
 
     return df.selectExpr(*[text(f) for f in df.schema.fields])
@@ -163,15 +192,15 @@ def count_invalid(df: DataFrame, values: Sequence[float] = INVALID_VALUES) -> Da
     return hits.groupBy("value").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def _missing(c: str, kind: str) -> str:
+    return f"`{c}` IS NULL" + (f" OR isnan(`{c}`)" if kind in ("double", "float") else "")
+
+
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, nulls, non_nulls, type) for every column in one pass."""
     columns = list(columns or df.columns)
     kinds = dict(df.dtypes)
-
-    def missing(c: str) -> str:
-        return f"`{c}` IS NULL" + (f" OR isnan(`{c}`)" if kinds[c] in ("double", "float") else "")
-
-    counts = [f"count_if({missing(c)}) AS n{i}" for i, c in enumerate(columns)]
+    counts = [f"count_if({_missing(c, kinds[c])}) AS n{i}" for i, c in enumerate(columns)]
     rows = ", ".join(
         f"struct('{c}' AS column, n{i} AS nulls, total - n{i} AS non_nulls, '{kinds[c]}' AS type)"
         for i, c in enumerate(columns)
@@ -181,13 +210,14 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 def guard_missing(df: DataFrame, required: Sequence[str], threshold_percent: float) -> DataFrame:
     """Fail if any required column misses more than the threshold, else drop rows
-    that miss one. Shares of all columns come from one aggregate row."""
-    shares = df.selectExpr(*[f"avg(CAST(`{c}` IS NULL AS double)) AS `{c}`" for c in required]).first()
+    that miss one; null and NaN are missing. Shares of all columns come from one aggregate row."""
+    kinds = dict(df.dtypes)
+    shares = df.selectExpr(*[f"avg(CAST({_missing(c, kinds[c])} AS double)) AS `{c}`" for c in required]).first()
     over = {c: shares[c] * 100 for c in required if (shares[c] or 0.0) * 100 > threshold_percent}
     if over:
         raise ValueError(f"too much missing data: {over}")
     gaps = [c for c in required if (shares[c] or 0.0) > 0]
-    return df.na.drop(subset=gaps) if gaps else df
+    return df.where(" AND ".join(f"NOT ({_missing(c, kinds[c])})" for c in gaps)) if gaps else df
 
 
 def fill_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:

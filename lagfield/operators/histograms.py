@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,12 +38,19 @@ def with_bins(df: DataFrame, axes: Sequence[tuple[str, str, str, str]], n: int)
     return guessed.selectExpr(*[f"`{c}`" for c in df.columns], *fixed)
 
 
+def usable(c: str) -> Column:
+    """A number that has a place on an axis: not null, NaN or infinite."""
+    x = F.col(c).cast("double")
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+
+
 def limits(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """One row of ``<tag>_low`` and ``<tag>_high``; a single-valued range is widened by
-    half a unit on either side. Empty when there is no value."""
+    half a unit on either side. Values without a place are left out; empty when there is no other."""
     aggs, ends = [], []
     for tag, c in columns.items():
-        aggs += [F.min(c).cast("double").alias(f"{tag}_a"), F.max(c).cast("double").alias(f"{tag}_b")]
+        x = F.when(usable(c), F.col(c).cast("double"))
+        aggs += [F.min(x).alias(f"{tag}_a"), F.max(x).alias(f"{tag}_b")]
         ends += [
             f"IF({tag}_a = {tag}_b, {tag}_a - 0.5D, {tag}_a) AS {tag}_low",
             f"IF({tag}_a = {tag}_b, {tag}_b + 0.5D, {tag}_b) AS {tag}_high",
@@ -61,7 +68,7 @@ def _all_bins(lim: DataFrame, bins: int) -> DataFrame:
 
 def histogram(df: DataFrame, x: str, bins: int = 50) -> DataFrame:
     """(bin, low, high, n) over [min, max] of x; empty bins included."""
-    data = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("x"))
+    data = df.where(usable(x)).select(F.col(x).cast("double").alias("x"))
     lim = limits(data, {"x": "x"})
     binned = with_bins(data.crossJoin(lim), [("x", "x_low", "x_high", "bin")], bins)
     counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
@@ -70,15 +77,15 @@ def histogram(df: DataFrame, x: str, bins: int = 50) -> DataFrame:
 
 def histogram_2d(df: DataFrame, x: str, y: str, bins: int = 100, by: Sequence[str] = ()) -> DataFrame:
     """(by…, x_bin, y_bin, n), non-empty cells only; each axis over its own range."""
-    data = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("x"), F.col(y).alias("y"))
+    data = df.where(usable(x) & usable(y)).select(*by, F.col(x).alias("x"), F.col(y).alias("y"))
     cells = data.crossJoin(limits(data, {"x": "x", "y": "y"}))
     binned = with_bins(cells, [("x", "x_low", "x_high", "x_bin"), ("y", "y_low", "y_high", "y_bin")], bins)
     return binned.groupBy(*by, "x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def binned_mean(df: DataFrame, x: str, v: str, bins: int = 50) -> DataFrame:
-    """(bin, centre, mean): mean of v in equal bins of x; null for an empty bin."""
-    data = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(v).alias("v"))
+    """(bin, centre, mean): mean of v, where it is a number, in equal bins of x; null for an empty bin."""
+    data = df.where(usable(x)).select(F.col(x).cast("double").alias("x"), F.when(usable(v), F.col(v)).alias("v"))
     lim = limits(data, {"x": "x"})
     binned = with_bins(data.crossJoin(lim), [("x", "x_low", "x_high", "bin")], bins)
     means = binned.groupBy("bin").agg(F.avg("v").alias("mean"))
@@ -90,8 +97,9 @@ def shared_histogram(
 ) -> DataFrame:
     """(split, pred_bin, obs_bin, n) with one square range for all splits, taken from
     the reference split: the joint min and max of both columns. Negative values are
-    invalid; pairs outside the range are not counted."""
-    valid = df.where((F.col(observed) >= 0) & (F.col(predicted) >= 0)).select(split, observed, predicted)
+    invalid, and so are NaN and infinite ones; pairs outside the range are not counted."""
+    good = usable(observed) & usable(predicted) & (F.col(observed) >= 0) & (F.col(predicted) >= 0)
+    valid = df.where(good).select(split, observed, predicted)
     ref = valid.where(F.col(split) == reference).select(F.explode(F.array(observed, predicted)).alias("x"))
     cells = valid.crossJoin(limits(ref, {"x": "x"}))
     binned = with_bins(

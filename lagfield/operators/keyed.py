@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagfield.operators.bounded import pin_if_small
-
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Column, values: Sequence[str]) -> DataFrame:
     """The first row of each key in ``order``.
@@ -20,14 +18,27 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Column, values: Seq
     return df.groupBy(*keys).agg(pick).select(*keys, *[F.col("_v")[v].alias(v) for v in values])
 
 
+def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
+    """``df`` with a unique text key that depends on the rows alone, not on files or tasks.
+
+    The key is a hash of the whole row and a number among equal rows. Equal rows are
+    combined before the one shuffle this takes, and unfolded after it.
+    """
+    number, copies = f"_{name}_i", f"_{name}_n"
+    whole = F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+    folded = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(copies))
+    each = folded.withColumn(number, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies))))
+    return each.withColumn(name, F.concat_ws("-", whole, F.col(number))).drop(number, copies)
+
+
 def per_distinct(df: DataFrame, key: str, compute: dict[str, Column]) -> DataFrame:
     """Evaluate costly columns once per distinct key and attach them to every row.
 
-    The key table is broadcast when it is small, else joined by shuffle (where a
-    hot key on the row side is split by adaptive execution).
+    Adaptive execution broadcasts the key table if its bytes turn out few, and splits a
+    hot key of the row side otherwise. Null is a key like any other.
     """
-    keys = df.select(key).distinct().select(key, *[v.alias(n) for n, v in compute.items()])
-    return df.join(pin_if_small(keys), key, "left")
+    keys = df.select(key).distinct().select(F.col(key).alias("_key"), *[v.alias(n) for n, v in compute.items()])
+    return df.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 def pivot_cells(df: DataFrame, row: str, column: str, value: str, columns: Sequence) -> DataFrame:

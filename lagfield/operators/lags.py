@@ -21,11 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagfield.functions.timeops import from_micros, half_even_index, micros
-from lagfield.operators.bounded import pin_if_small
+from lagfield.operators.bounded import settle
 from lagfield.schema import LagSpec
 
 BROADCAST_BYTES = 256 * 1024 * 1024
-KEYS_PER_BUCKET = 24
 BLOCK_SPAN = 8  # block length as a multiple of the lag count
 
 
@@ -157,7 +156,7 @@ def attach_lags_by_join(
     vector = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda x: x["_v"])
     per_ts = lagged.join(values, "_u", "left").groupBy(ts).agg(vector.alias(out))
     empty = F.array_repeat(F.lit(None).cast("double"), spec.count)
-    joined = rows.join(pin_if_small(per_ts), ts, "left")
+    joined = rows.join(per_ts, ts, "left")
     return joined.select(*rows.columns, F.coalesce(out, empty).alias(out))
 
 
@@ -193,95 +192,93 @@ def widen(df: DataFrame, arrays: dict[str, int]) -> DataFrame:
 # -- nearest ----------------------------------------------------------------
 
 
+RATIO = 64  # widths of neighbouring interval levels
+LEVELS = 10  # the widest level, 64 ** 10 doubled microseconds, is longer than any calendar
+
+
 def _whole(u, width: int) -> Column:
     """floor(u / width) in integers, exact for any microsecond count."""
     u = F.col(u) if isinstance(u, str) else u
     return F.call_function("div", u - F.pmod(u, F.lit(width)), F.lit(width))
 
 
-def _with_neighbours(series: DataFrame, ts: str, value: str, bucket_us: int) -> DataFrame:
-    """Each key with its previous and next key, without a global sort.
+def _with_neighbours(series: DataFrame, ts: str, value: str) -> tuple[DataFrame, int, int] | None:
+    """(each key u, v with its previous and next key p and n; the first key; the last), None without keys.
 
-    Neighbours inside a bucket come from a window partitioned by bucket; the first
-    and last of a bucket borrow from the neighbouring non-empty bucket through a
-    one-row-per-bucket summary (whose length depends on the time span only).
+    The keys are written once, range-partitioned, so partitions are even whatever the
+    cadence. Neighbours come from a window inside each partition; its first and last key
+    borrow from the next partition that has keys, known from one row a partition.
     """
     from pyspark.sql import Window as W
 
     points = series.where(F.col(ts).isNotNull()).select(micros(ts).alias("u"), F.col(value).alias("v"))
-    points = points.withColumn("b", _whole("u", bucket_us))
-    ends = points.groupBy("b").agg(F.min("u").alias("lo"), F.max("u").alias("hi"))
-    order = W.orderBy("b")
-    ends = ends.select("b", F.lag("hi").over(order).alias("prev_hi"), F.lead("lo").over(order).alias("next_lo"))
-    inside = W.partitionBy("b").orderBy("u")
-    points = points.withColumns({"p": F.lag("u").over(inside), "n": F.lead("u").over(inside)})
-    return points.join(ends, "b").select(
-        "u", "v", "b", F.coalesce("p", "prev_hi").alias("p"), F.coalesce("n", "next_lo").alias("n")
+    keys = settle(points.repartitionByRange("u").withColumn("part", F.spark_partition_id()), "keys")
+    ends = keys.groupBy("part").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).collect()  # one row a partition
+    if not ends:
+        return None
+    ends.sort(key=lambda e: e.lo)
+    before, after = [None, *(e.hi for e in ends[:-1])], [*(e.lo for e in ends[1:]), None]
+    edges = keys.sparkSession.createDataFrame(
+        [(e.part, b, a) for e, b, a in zip(ends, before, after)], "part int, before long, after long"
     )
+    inside = W.partitionBy("part").orderBy("u")
+    near = keys.withColumns({"p": F.lag("u").over(inside), "n": F.lead("u").over(inside)}).join(F.broadcast(edges), "part")
+    near = near.select("u", "v", F.coalesce("p", "before").alias("p"), F.coalesce("n", "after").alias("n"))
+    return near, ends[0].lo, ends[-1].hi
 
 
 def attach_nearest(
-    rows: DataFrame,
-    ts: str,
-    series: DataFrame,
-    s_ts: str,
-    value: str,
-    out: str,
-    bucket_us: int | None = None,
-    max_broadcast_rows: int = 200_000,
-    key_out: str | None = None,
+    rows: DataFrame, ts: str, series: DataFrame, s_ts: str, value: str, out: str, key_out: str | None = None
 ) -> DataFrame:
     """Value of the series key nearest in time, both directions, no tolerance.
 
     A tie goes to the later key; before the first and after the last key those
     apply. The nearest *key* decides, even when its value is null.
 
-    Every key owns the interval of instants nearest to it; intervals are laid onto
-    time buckets, and a row meets only the intervals of its bucket. Rows are never
-    sorted or windowed, so many rows in one bucket are no problem. Buckets are sized
-    to hold about ``KEYS_PER_BUCKET`` keys unless a width is given.
+    Every key owns the interval of instants nearest to it. Intervals do not overlap, and
+    each is laid onto buckets about as wide as itself: it meets at most two, and a bucket
+    meets at most some sixty, whether keys are clustered or far apart. A row looks
+    into one bucket of each width that occurs (one, for an even cadence). Rows are never
+    sorted or windowed, so many rows in one bucket are no problem.
     """
-    # Span and length: one row, from the series alone.
-    u = micros(s_ts)
-    ends = series.agg(F.min(u).alias("lo"), F.max(u).alias("hi"), F.count(u).alias("n")).first()
-    if ends.lo is None:
+    found = _with_neighbours(series, s_ts, value)
+    if found is None:
         extra = {out: F.lit(None).cast(series.schema[value].dataType)}
         if key_out:
             extra[key_out] = F.lit(None).cast("timestamp_ntz")
         return rows.withColumns(extra)
-    if bucket_us is None:
-        bucket_us = max(1_000_000, (ends.hi - ends.lo) * KEYS_PER_BUCKET // ends.n)
-    bucket = lambda u: _whole(u, bucket_us)
-    near = _with_neighbours(series, s_ts, value, bucket_us)
-    b_min, b_max = F.lit(ends.lo // bucket_us), F.lit(ends.hi // bucket_us)
+    near, first, last = found
     # Doubled microseconds keep midpoints integral: row u belongs here if lo2 <= 2u < hi2.
     owned = near.select(
-        "u", "v", (F.col("p") + F.col("u")).alias("lo2"), (F.col("u") + F.col("n")).alias("hi2")
-    )
-    first = F.coalesce(bucket(_whole("lo2", 2)), b_min)
-    last = F.coalesce(bucket(_whole("hi2", 2)), b_max)
-    laid = owned.select(
-        F.col("u").alias("_key"),
-        F.col("v").alias("_value"),
-        "lo2",
-        "hi2",
-        F.explode(F.sequence(F.greatest(first, b_min), F.least(last, b_max))).alias("_b"),
-    )
-    laid = pin_if_small(laid, max_broadcast_rows)
-    u2 = micros(ts) * 2
-    mine = bucket(micros(ts))
+        "u",
+        "v",
+        F.coalesce(F.col("p") + F.col("u"), F.col("u") * 2).alias("lo2"),
+        F.coalesce(F.col("u") + F.col("n"), F.col("u") * 2 + 1).alias("hi2"),
+    ).where("lo2 < hi2")
+    length = F.col("hi2") - F.col("lo2")
+    owned = owned.withColumn("level", sum(((length > RATIO**k).cast("int") for k in range(1, LEVELS)), F.lit(0)))
+    levels = sorted(r.level for r in owned.select("level").distinct().collect())  # at most LEVELS rows
     # greatest/least skip nulls: a row without time must not inherit a bucket.
-    mine = F.when(F.col(ts).isNotNull(), F.greatest(F.least(mine, b_max), b_min))
-    keyed = rows.withColumns({"_b": mine, "_u2": u2})
-    hit = (
-        (F.col("k._b") == F.col("l._b"))
-        & (F.coalesce(F.col("l.lo2") <= F.col("k._u2"), F.lit(True)))
-        & (F.coalesce(F.col("k._u2") < F.col("l.hi2"), F.lit(True)))
-    )
-    joined = keyed.alias("k").join(laid.alias("l"), hit, "left")
-    cols = [F.col(f"k.{c}").alias(c) for c in rows.columns] + [F.col("l._value").alias(out)]
+    u2 = micros(ts) * 2
+    u2 = F.when(F.col(ts).isNotNull(), F.greatest(F.least(u2, F.lit(2 * last)), F.lit(2 * first)))
+    joined = rows.withColumn("_u2", u2)
+    key, chosen = F.lit(None).cast("bigint"), F.lit(None).cast(series.schema[value].dataType)
+    for level in levels:
+        width = RATIO ** (level + 1)
+        k, v, lo, hi, b = (f"_{x}{level}" for x in ("k", "v", "lo", "hi", "b"))
+        laid = owned.where(F.col("level") == level).select(
+            F.col("u").alias(k),
+            F.col("v").alias(v),
+            F.col("lo2").alias(lo),
+            F.col("hi2").alias(hi),
+            F.explode(F.sequence(_whole("lo2", width), _whole(F.col("hi2") - 1, width))).alias(b),
+        )
+        hit = (_whole("_u2", width) == F.col(b)) & (F.col(lo) <= F.col("_u2")) & (F.col("_u2") < F.col(hi))
+        joined = joined.join(laid, hit, "left")
+        key, chosen = F.coalesce(k, key), F.when(F.col(k).isNotNull(), F.col(v)).otherwise(chosen)
+    cols = [*rows.columns, chosen.alias(out)]
     if key_out:
-        cols.append(from_micros(F.col("l._key")).alias(key_out))
+        cols.append(from_micros(key).alias(key_out))
     return joined.select(*cols)
 
 
@@ -307,5 +304,5 @@ def attach_nearest_lags(
     vector = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda x: x["_v"])
     per_ts = found.groupBy(ts).agg(vector.alias(out))
     empty = F.array_repeat(F.lit(None).cast("double"), spec.count)
-    joined = rows.join(pin_if_small(per_ts), ts, "left")
+    joined = rows.join(per_ts, ts, "left")
     return joined.select(*rows.columns, F.coalesce(out, empty).alias(out))

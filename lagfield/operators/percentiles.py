@@ -6,8 +6,7 @@ above it and, inside a bracket (a fraction of a percent of the rows), its value.
 Counts below each bracket and the exact order statistics inside follow from that
 table. A value shared by a third of all rows is one row after the map-side combine.
 
-Inputs counted to hold at most ``SMALL_INPUT`` rows in total are sorted group by group
-instead (the count bounds what a task can meet).
+The sketch and the reduced table are written once, since later steps read them twice.
 """
 
 from __future__ import annotations
@@ -18,12 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lagfield.operators.bounded import SMALL_ROWS, pin_if_small, settle
+from lagfield.operators.bounded import settle
 
 SKETCH_ACCURACY = 5000
 MARGIN = 4.0 / SKETCH_ACCURACY
 SUB_BINS = 1024
-SMALL_INPUT = 3_000_000
+# In a smaller group the margin is under two ranks: its bracket is its whole range.
+FEW = int(2 / MARGIN)
 
 
 def _sketch(data: DataFrame, by: Sequence[str], probs: Sequence[float], extra: Sequence[Column] = ()) -> DataFrame:
@@ -41,33 +41,18 @@ def _sketch(data: DataFrame, by: Sequence[str], probs: Sequence[float], extra: S
     )
     ends = [
         f"struct({p!r}D AS p, {p!r}D * (_n - 1) AS rank,"
-        f" {'_min' if low[i] <= 0 else f'_q[{i}]'} AS lo, {'_max' if high[i] >= 1 else f'_q[{k + i}]'} AS hi)"
+        f" {'_min' if low[i] <= 0 else f'IF(_n < {FEW}, _min, _q[{i}])'} AS lo,"
+        f" {'_max' if high[i] >= 1 else f'IF(_n < {FEW}, _max, _q[{k + i}])'} AS hi)"
         for i, p in enumerate(probs)
     ]
     return sketched.selectExpr("*", f"array({', '.join(ends)}) AS _w").drop("_q")
 
 
-def exact_percentiles(
-    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), small_input: int = SMALL_INPUT
-) -> DataFrame:
+def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by…, p, value): percentiles with linear interpolation between order statistics."""
     by, probs = list(by), sorted(float(p) for p in probs)
     data = _values(df, value, by)
-    if small_input and data.count() <= small_input:
-        rows = ", ".join(f"struct({p!r}D AS p, {_at(p)} AS value)" for p in probs)
-        return _direct(data.groupBy(*by)).selectExpr(*by, f"inline(array({rows}))")
-    return _pick(data, pin_if_small(_sketch(data, by, probs)), by, probs)
-
-
-def _direct(grouped, extra: Sequence[Column] = ()) -> DataFrame:
-    return grouped.agg(F.expr("sort_array(collect_list(v))").alias("_a"), *extra).where("size(_a) > 0")
-
-
-def _at(p: float) -> str:
-    """Percentile p of the sorted array ``_a``."""
-    rank = f"({p!r}D * (size(_a) - 1))"
-    low, high = (f"_a[CAST({f}({rank}) AS int)]" for f in ("floor", "ceil"))
-    return f"{low} + ({rank} - floor({rank})) * ({high} - {low})"
+    return _pick(data, settle(_sketch(data, by, probs), "sketch"), by, probs)
 
 
 def _values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -77,10 +62,6 @@ def _values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
 def _pick(data: DataFrame, sketch: DataFrame, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
     k = len(probs)
-    # Rows inside brackets are at most this many, ties aside: 2 margins each.
-    total = sketch.agg(F.sum("_n").alias("n")).first().n or 0
-    few = total * min(1.0, 3 * MARGIN * k) <= SMALL_ROWS // 2
-
     w = sketch.select(*by, "_w")
     tagged = _same_keys(data, w, by) if by else data.crossJoin(w)
     above = " + ".join(f"CAST(v < _w[{i}].lo AS int)" for i in range(k))
@@ -90,13 +71,13 @@ def _pick(data: DataFrame, sketch: DataFrame, by: Sequence[str], probs: Sequence
         .groupBy(*by, "_m", "v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    reduced = settle(reduced, small=few)
+    reduced = settle(reduced, "brackets")
 
     # Brackets ascend with p, so a row lies below the last ``_m`` of them.
     counted = ", ".join(f"struct({p!r}D AS p, sum(IF(_m >= {k - i}, _c, 0L)) AS below)" for i, p in enumerate(probs))
     below = reduced.groupBy(*by).agg(F.expr(f"array({counted})").alias("_below"))
     meta = _same_keys(w, below, by) if by else w.crossJoin(below)
-    meta = pin_if_small(meta.selectExpr(*by, "arrays_zip(_w, _below) AS _z"))
+    meta = meta.selectExpr(*by, "arrays_zip(_w, _below) AS _z")
 
     points = reduced.where("v IS NOT NULL")
     points = _same_keys(points, meta, by) if by else points.crossJoin(meta)
@@ -122,7 +103,7 @@ def _pick(data: DataFrame, sketch: DataFrame, by: Sequence[str], probs: Sequence
 
     # Exact order statistics inside those bins.
     order = W.partitionBy(*key, "_bin").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    placed = _same_keys(points, pin_if_small(hits), [*key, "_bin"]).withColumn("_end", F.sum("_c").over(order))
+    placed = _same_keys(points, hits, [*key, "_bin"]).withColumn("_end", F.sum("_c").over(order))
     holds = lambda r: f"_start + _end - _c <= {r} AND {r} < _start + _end"
     picked = placed.groupBy(*key).agg(
         F.expr(f"max(CASE WHEN {holds('floor(rank)')} THEN v END)").alias("_lo"),
@@ -150,20 +131,13 @@ def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataF
     return df.select(*by, F.inline(pairs)).where("value IS NOT NULL AND NOT isnan(value)")
 
 
-def describe(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], small_input: int = SMALL_INPUT
-) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """(column, statistic, value): count, mean, sample std, min, percentiles, max.
 
     The plain statistics ride along with the first percentile pass."""
     data, probs = melt(df, columns).withColumnRenamed("value", "v"), sorted(float(p) for p in probs)
     plain = {"_mean": "avg(v)", "_std": "stddev_samp(v)"}
-    if small_input and data.count() <= small_input:
-        plain |= {"_n": "count(1)", "_min": "min(v)", "_max": "max(v)"}
-        got = _direct(data.groupBy("column"), [F.expr(e).alias(n) for n, e in plain.items()])
-        percentiles = [f"struct('p{p}' AS statistic, {_at(p)} AS value)" for p in probs]
-        return got.selectExpr("`column`", f"inline(array({', '.join([*_PLAIN_ROWS, *percentiles])}))")
-    sketch = pin_if_small(_sketch(data, ["column"], probs, [F.expr(e).alias(n) for n, e in plain.items()]))
+    sketch = settle(_sketch(data, ["column"], probs, [F.expr(e).alias(n) for n, e in plain.items()]), "sketch")
     base = sketch.selectExpr("`column`", f"inline(array({', '.join(_PLAIN_ROWS)}))")
     points = _pick(data, sketch, ["column"], probs).selectExpr(
         "`column`", "concat('p', CAST(p AS string)) AS statistic", "value"
@@ -199,7 +173,7 @@ def box_summary(df: DataFrame, columns: Sequence[str], bucket: Column, name: str
     )
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     lower, upper = F.col("q1") - reach, F.col("q3") + reach
-    joined = long.join(pin_if_small(box), ["column", name])
+    joined = long.join(box, ["column", name])
     fits = F.col("value").between(lower, upper)
     return joined.groupBy("column", name).agg(
         F.count(F.lit(1)).alias("n"),

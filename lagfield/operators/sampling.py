@@ -2,26 +2,28 @@
 
 A row's position in the random order is the md5 of ``seed|key``. The order depends
 on nothing but the key, so a lost task recomputes the same sample, and any SQL
-engine can reproduce it. Keys must be unique.
+engine can reproduce it. A null key is an error, and so is a doubled key where it would
+make an exact size inexact.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lagfield.operators.bounded import pin_if_small
-
 PREFIX = 3  # hex digits: 4096 slices of the hash space
 SLICE_ROWS = 4_000_000  # wanted upper limit of rows numbered in one window
 
 
 def hash_order(key, seed: int = 42) -> Column:
     key = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
+    refused = F.raise_error(F.lit("a sampling key is null")).cast("string")
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), refused)))
 
 
 def _first_unit(hash_hex: Column, start: int = 1) -> Column:
@@ -63,7 +65,10 @@ def cut_hash(df: DataFrame, key: str, n: int, seed: int = 42) -> str | None:
             return None
         rank -= found["_before"]
         scope = scope.where(part == found["_s"])
-    return scope.orderBy("h").limit(rank).agg(F.max("h").alias("h")).first().h
+    cut = scope.orderBy("h").limit(rank).agg(F.max("h").alias("h")).first().h
+    if scope.where(F.col("h") <= cut).count() != rank:
+        raise ValueError(f"{key} is not unique: no exact sample of {n} rows")
+    return cut
 
 
 def split_exact(df: DataFrame, key: str, n: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -97,8 +102,10 @@ def ranked(df: DataFrame, key: str, by: Sequence[str] = (), seed: int = 42, name
     offsets = _slice_counts(h, [cut], by).select(*by, "_s", "_before")
     inside = W.partitionBy(*by, "_s").orderBy("_h")
     local = h.withColumn("_s", cut).withColumn("_r", F.row_number().over(inside))
-    joined = local.join(pin_if_small(offsets), [*by, "_s"])
-    return joined.select(*df.columns, (F.col("_r") + F.col("_before")).cast("bigint").alias(name))
+    # Null groups are groups of their own.
+    same = [local[c].eqNullSafe(offsets[c]) for c in [*by, "_s"]]
+    joined = local.join(offsets, functools.reduce(and_, same))
+    return joined.select(*[local[c] for c in df.columns], (F.col("_r") + F.col("_before")).cast("bigint").alias(name))
 
 
 def epoch_shuffle(df: DataFrame, key: str, epoch: int) -> DataFrame:
@@ -130,6 +137,9 @@ def mixture(
         pool = tagged if pool is None else pool.unionByName(tagged)
     lengths = {r.source: r.n for r in pool.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(lengths.values())
+    empty = [name for (name, _), ratio in zip(sources, ratios) if ratio > 0 and not lengths.get(name)]
+    if empty and draws != 0:
+        raise ValueError(f"nothing to draw from: {empty}")
     spark = pool.sparkSession
     ticket = F.md5(F.concat(F.lit(f"{seed}|draw|"), F.col("id").cast("string")))
     u1, u2 = _first_unit(ticket, 1), _first_unit(ticket, 9)

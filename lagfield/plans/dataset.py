@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lagfield.functions.timeops import combine_date_time, floor_minute
 from lagfield.operators import cleaning as V
+from lagfield.operators.bounded import settle
+from lagfield.operators.keyed import with_row_key
 from lagfield.operators.lags import (
     BROADCAST_BYTES,
     attach_lags,
@@ -16,7 +18,7 @@ from lagfield.operators.lags import (
     attach_nearest_lags,
     widen,
 )
-from lagfield.operators.sampling import ranked, split_exact
+from lagfield.operators.sampling import cut_hash, hash_order, ranked, split_exact
 from lagfield.schema import GRID_MISSING, INSTANT, INSTANT_SPEC, LAG_GROUPS, TIME
 from lagfield.sources.writers import write_chunks, write_in_files, write_split
 
@@ -137,6 +139,35 @@ def save_splits(
         write_in_files(splits["train"], path, chunk_rows)
 
 
+def create_dataset(
+    raw: DataFrame,
+    series: IndexSeries,
+    base: str,
+    start: str,
+    end: str,
+    n_test: int,
+    seed: int = 42,
+    earliest: str = EARLIEST,
+    chunk_rows: int = 250_000,
+    **features,
+) -> DataFrame:
+    """Raw observations to saved feature splits under ``base``, each step once; returns the saved table.
+
+    Rows get their key and their split while they are still narrow; features are attached to
+    all splits in one pass and written once, in one folder for each split. The series are
+    written before that, so their files are parsed once however many lag groups read them.
+    """
+    keyed = settle(with_row_key(clean(raw, earliest)), "observations")
+    rest = keyed.where(V.outside_window(TIME, start, end))
+    cut = cut_hash(rest, "row_key", n_test, seed)
+    normal = F.lit(True) if cut is None else hash_order("row_key", seed) <= cut
+    name = F.when(V.in_window(TIME, start, end), "test-storm").when(normal, "test-normal").otherwise("train")
+    ready = IndexSeries(*(settle(s, n) for s, n in ((series.minute, "minute"), (series.flux, "flux"), (series.kp, "kp"))))
+    table = feature_table(keyed.withColumn("split", name), ready, **features)
+    table.write.mode("overwrite").option("maxRecordsPerFile", chunk_rows).partitionBy("split").parquet(base)
+    return raw.sparkSession.read.schema(table.schema).parquet(base)
+
+
 def load_series(spark: SparkSession, minute: str, flux: str, kp: str, mask: bool = False) -> IndexSeries:
     from lagfield.sources import readers as R
 

@@ -37,6 +37,15 @@ def time_altitude_grid(times: DataFrame, ts: str, low: int = 1000, high: int = 8
     return times.select(F.col(ts).alias(TIME)).crossJoin(F.broadcast(alt))
 
 
+def features_onto_grid(grid: DataFrame, features: DataFrame, ts: str) -> DataFrame:
+    """Features of each time (unique in ``features``) on all its grid rows.
+
+    The feature side is broadcast by Spark while it is small in bytes; otherwise both sides
+    shuffle on the time, and a time is one altitude list, so no key is hot.
+    """
+    return grid.join(features.withColumnRenamed(ts, TIME), TIME, "left")
+
+
 def plain_grid(
     times: DataFrame, ts: str, series: IndexSeries, low: int = 1000, high: int = 8000, step: int = 10
 ) -> DataFrame:

@@ -15,8 +15,6 @@ from lagfield.operators.cleaning import keep_existing, sentinel_to_null
 from lagfield.operators.keyed import first_per_key
 from lagfield.schema import SCAN_MISSING, observation_schema
 
-BAD_FILE_LITERALS = 1000
-
 
 def scan_observations(
     spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None
@@ -74,18 +72,12 @@ def split_fields(lines: DataFrame, names: Sequence[str]) -> DataFrame:
 def quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of good files, list of bad files). Fails when no file survives.
 
-    The bad-file list comes from a map-side-combined aggregate. A short list is
-    applied as a literal filter, which needs no join; a long one as an anti join.
+    The bad-file list comes from a map-side-combined aggregate and is applied as an anti
+    join, a broadcast one while the list is small in bytes.
     """
     flagged = parsed.groupBy("file").agg(F.bool_or("bad").alias("bad"))
     bad = flagged.where("bad").select("file")
-    head = [r.file for r in bad.limit(BAD_FILE_LITERALS + 1).collect()]
-    if not head:
-        return parsed, bad
-    if len(head) <= BAD_FILE_LITERALS:
-        good = parsed.where(~F.col("file").isin(*head))
-    else:
-        good = parsed.join(bad, "file", "left_anti")
+    good = parsed.join(bad, "file", "left_anti")
     if good.isEmpty():
         raise ValueError("no input file could be parsed")
     return good, bad

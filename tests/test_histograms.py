@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -57,3 +59,16 @@ def test_buckets_are_right_closed_and_dense(spark):
     cut = pd.cut(pd.Series(x), bins=range(0, 4999, 1000)).value_counts(sort=False)
     assert [r.n for r in got] == cut.tolist()
     assert [r.label for r in got] == ["0-999", "1000-1999", "2000-2999", "3000-3999"]
+
+
+def test_nan_null_and_infinity_are_left_out(spark):
+    odd = [float("nan"), None, float("inf"), float("-inf")]
+    rows = [(float(i), float(i % 7), "F") for i in range(50)] + [(x, 1.0, "F") for x in odd] + [(1.0, x, "F") for x in odd]
+    df = spark.createDataFrame(rows, "x double, y double, s string")
+    h = histograms.histogram(df, "x", 10).collect()
+    assert sum(r.n for r in h) == 54 and all(math.isfinite(r.low) and 0 <= r.bin < 10 for r in h)
+    cells = histograms.histogram_2d(df, "x", "y", 10).collect()
+    assert sum(r.n for r in cells) == 50 and min(r.x_bin for r in cells) == 0
+    assert all(math.isfinite(r.mean) for r in histograms.binned_mean(df, "x", "y", 10).collect() if r.mean is not None)
+    pairs = histograms.shared_histogram(df, "x", "y", "s", "F", 10).collect()
+    assert sum(r.n for r in pairs) == 50 and min(r.pred_bin for r in pairs) == 0

@@ -108,8 +108,7 @@ def test_nearest_lags_equal_reindex(spark):
     assert collected(got) == expected_lags(series, rows, 24, 4, pd.Timedelta("1h"), rounding=True, nearest=True)
 
 
-@pytest.mark.parametrize("pinned", [200_000, 0])
-def test_nearest_equals_reindex(spark, pinned):
+def test_nearest_equals_reindex(spark):
     rng = np.random.default_rng(11)
     keys = np.unique(rng.integers(0, 20 * 86_400, size=60))
     keys = np.concatenate([keys, keys[-1] + 40 * 86_400 + np.array([0, 7])])  # a long gap
@@ -117,12 +116,37 @@ def test_nearest_equals_reindex(spark, pinned):
     at = np.concatenate([rng.integers(-3 * 86_400, 70 * 86_400, size=800), keys[:30], (keys[1:] + keys[:-1]) // 2])
     rows = pd.DataFrame({"id": np.arange(len(at)), "t": START + pd.to_timedelta(at, unit="s")})
     got = J.attach_nearest(
-        to_spark(spark, rows, ["t"]), "t", to_spark(spark, series, ["ts"]), "ts", "v", "lag", max_broadcast_rows=pinned
+        to_spark(spark, rows, ["t"]), "t", to_spark(spark, series, ["ts"]), "ts", "v", "lag"
     )
     want = series.set_index("ts")["v"].reindex(pd.DatetimeIndex(rows["t"]), method="nearest")
     assert collected(got) == dict(zip(rows["id"], want.astype(float)))
 
 
+def test_nearest_with_clusters_and_a_far_key(spark):
+    rng = np.random.default_rng(12)
+    dense = np.unique(rng.integers(0, 3000, size=1500))  # about every two seconds
+    minutes = 10_000 + 60 * np.arange(2000)
+    keys = np.concatenate([dense, minutes, [5_500_000_000]])  # and one some 170 years on
+    series = pd.DataFrame({"ts": START + pd.to_timedelta(keys, unit="s"), "v": np.arange(len(keys)) * 1.0})
+    at = np.concatenate([rng.integers(-99, 140_000, size=900), [3_000_000_000, 5_400_000_000, 5_600_000_000]])
+    rows = pd.DataFrame({"id": np.arange(len(at)), "t": START + pd.to_timedelta(at, unit="s")})
+    obs, ser = to_spark(spark, rows, ["t"]), to_spark(spark, series, ["ts"]).repartition(5)
+    got = J.attach_nearest(obs, "t", ser, "ts", "v", "lag", key_out="at")
+    right = np.searchsorted(keys, at).clip(0, len(keys) - 1)
+    left = (right - 1).clip(0)
+    want = np.where(np.abs(keys[right] - at) <= np.abs(at - keys[left]), right, left)
+    assert collected(got.drop("at")) == dict(zip(rows["id"], want.astype(float)))
+    near, _, _ = J._with_neighbours(ser, "ts", "v")
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_rows_without_a_time_have_no_nearest(spark):
+    rows = spark.sql("SELECT 1 AS id, CAST(NULL AS timestamp_ntz) AS t")
+    series = to_spark(spark, pd.DataFrame({"ts": [START], "v": [2.0]}), ["ts"])
+    assert collected(J.attach_nearest(rows, "t", series, "ts", "v", "lag")) == {1: None}
+
+
 def test_nearest_in_an_empty_series_is_null(spark):
     rows = to_spark(spark, pd.DataFrame({"id": [1], "t": [START]}), ["t"])
     empty = spark.createDataFrame([], "ts timestamp_ntz, v double")

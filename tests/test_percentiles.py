@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lagfield.operators import bounded, percentiles
+from lagfield.operators import percentiles
 
 PROBS = [0.0, 0.005, 0.01, 0.25, 0.5, 0.75, 0.99, 0.999, 1.0]
 
@@ -23,40 +23,34 @@ def values(kind, n=40_000):
 
 
 @pytest.mark.parametrize("kind", ["normal", "third equal", "outliers", "constant", "few values"])
-@pytest.mark.parametrize("small_input", [0, percentiles.SMALL_INPUT])
-def test_equal_to_numpy(spark, kind, small_input):
+def test_equal_to_numpy(spark, kind):
     v = values(kind)
     df = spark.createDataFrame(pd.DataFrame({"g": np.arange(len(v)) % 10 == 0, "x": v}))
-    got = percentiles.exact_percentiles(df, "x", PROBS, ["g"], small_input).collect()
+    got = percentiles.exact_percentiles(df, "x", PROBS, ["g"]).collect()
     assert len(got) == 2 * len(PROBS)
     for r in got:
         part = v[(np.arange(len(v)) % 10 == 0) == r.g]
         assert r.value == pytest.approx(np.percentile(part, r.p * 100), rel=1e-12, abs=1e-12)
 
 
-def test_written_intermediate(spark, monkeypatch):
-    monkeypatch.setattr(percentiles, "SMALL_ROWS", 0)
-    monkeypatch.setattr(bounded, "SMALL_ROWS", 0)
-    v = values("normal", 5000)
-    df = spark.createDataFrame(pd.DataFrame({"x": v}))
-    got = {r.p: r.value for r in percentiles.exact_percentiles(df, "x", PROBS, small_input=0).collect()}
-    assert got == pytest.approx({p: np.percentile(v, p * 100) for p in PROBS})
-
-
 def test_nan_and_null_are_left_out(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "x double")
-    for small in (0, 100):
-        assert percentiles.exact_percentiles(df, "x", [0.5], small_input=small).first().value == 2.0
+    assert percentiles.exact_percentiles(df, "x", [0.5]).first().value == 2.0
+    assert percentiles.exact_percentiles(df.where("x > 9"), "x", [0.5]).count() == 0
 
 
-def test_describe_ways_agree(spark):
+def test_describe_equals_pandas(spark):
     v = values("normal", 3000)
     df = spark.createDataFrame(pd.DataFrame({"a": v, "b": v * 2 + 1}))
-    ways = [
-        {(r.column, r.statistic): r.value for r in percentiles.describe(df, ["a", "b"], [0.005, 0.5, 0.999], s).collect()}
-        for s in (0, percentiles.SMALL_INPUT)
-    ]
-    assert ways[0] == pytest.approx(ways[1])
-    want = pd.Series(v).describe(percentiles=[0.005, 0.5, 0.999])
-    assert ways[0]["a", "std"] == pytest.approx(want["std"])
-    assert ways[0]["a", "p0.999"] == pytest.approx(want["99.9%"])
+    got = {(r.column, r.statistic): r.value for r in percentiles.describe(df, ["a", "b"], [0.005, 0.5, 0.999]).collect()}
+    for column, series in (("a", pd.Series(v)), ("b", pd.Series(v * 2 + 1))):
+        want = series.describe(percentiles=[0.005, 0.5, 0.999])
+        names = {"count": "count", "mean": "mean", "std": "std", "min": "min", "max": "max", "p0.005": "0.5%", "p0.5": "50%", "p0.999": "99.9%"}
+        assert {n: got[column, n] for n in names} == pytest.approx({n: want[w] for n, w in names.items()})
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 40, 2499, 2501])
+def test_groups_of_every_size(spark, n):
+    v = np.random.default_rng(n).normal(size=n)
+    got = percentiles.exact_percentiles(spark.createDataFrame(pd.DataFrame({"x": v})), "x", PROBS).collect()
+    assert {r.p: r.value for r in got} == pytest.approx({p: np.percentile(v, p * 100) for p in PROBS})

@@ -149,7 +149,10 @@ def test_network_scoring_equals_numpy(spark):
     x = rng.normal(size=(40, 64))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(3)
     net = small_network()
-    got = {r.id: r for r in scoring.score_network(df, "x", net, with_scores=True).collect()}
+    got, single = (
+        {r.id: r for r in scoring.score_network(df, "x", net, with_scores=True, precision=p, slice_rows=7).collect()}
+        for p in ("float64", "float32")
+    )
     w, b = np.array(net[0]["weight"]), np.array(net[0]["bias"])
     h = x @ w.T + b
     h = (h - h.mean(1, keepdims=True)) / np.sqrt(h.var(1, keepdims=True) + 1e-5)
@@ -157,6 +160,7 @@ def test_network_scoring_equals_numpy(spark):
     z = h @ np.array(net[1]["weight"]).T + net[1]["bias"]
     for i in range(40):
         assert np.allclose(got[i].scores, z[i]) and got[i].predicted_class == z[i].argmax()
+        assert np.allclose(single[i].scores, z[i], rtol=1e-4, atol=1e-4)
 
 
 def test_logistic_family_learns(spark):
@@ -181,3 +185,52 @@ def test_null_counts_see_nan(spark):
     df = spark.createDataFrame([(float("nan"), "a"), (1.0, None), (None, None)], "x double, s string")
     got = {r.column: (r.nulls, r.non_nulls) for r in V.null_counts(df).collect()}
     assert got == {"x": (2, 1), "s": (2, 1)}
+
+
+def test_missing_values_have_no_class_and_no_place(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),), (250.0,), (-5.0,), (1e9,)], "x double")
+    assert [r[0] for r in df.select(M.target_class("x")).collect()] == [None, None, 2, 0, 149]
+    none = F.lit(None).cast("double")
+    place = G.dipole_position(none, F.lit(4.0), F.lit(10.0))
+    assert one(spark, G.grid_latitude(none), place["mag_lat_rad"], place["x_sm"]) == (None, None, None)
+
+
+def test_training_refuses_rows_without_a_target(spark):
+    df = spark.createDataFrame([(1.0, 100.0), (2.0, None)] * 10, "a double, Te1 double")
+    with pytest.raises(Exception, match="has no Te1"):
+        scoring.fit_classes(df, ["a"], "Te1", classes=3, family="logistic")
+    model = scoring.fit_classes(df.where("Te1 IS NOT NULL"), ["a"], "Te1", classes=3, family="logistic")
+    with pytest.raises(Exception):
+        scoring.score_classes(model, df.withColumn("a", F.lit(None).cast("double"))).collect()
+    assert scoring.score_classes(model, df).count() == 20
+
+
+def test_placeholders_keep_each_type(spark):
+    df = spark.sql(
+        "SELECT 9007199254740993 AS big, 9999 AS hit, CAST(999.9 AS decimal(6,1)) AS d, CAST(12.5 AS decimal(6,1)) AS e,"
+        " CAST(999.9 AS float) AS f, CAST(7 AS tinyint) AS t"
+    )
+    out = V.replace_invalid(df, [999.9, 9999.0])
+    assert out.dtypes == df.dtypes
+    assert tuple(map(float, out.first())) == (9007199254740993.0, 0.0, 0.0, 12.5, 0.0, 7.0) and out.first().big == 9007199254740993
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([(float("nan"), 1)] + [(1.0, 1)] * 9, "x double, y int")
+    with pytest.raises(ValueError):
+        V.guard_missing(df, ["x", "y"], 5.0)
+    assert V.guard_missing(df, ["x", "y"], 20.0).count() == 9
+
+
+def test_the_null_key_is_computed_too(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (None, "c"), (1, "d")], "k int, v string")
+    got = keyed.per_distinct(df, "k", {"w": F.coalesce(F.col("k") * 10, F.lit(-1))})
+    assert sorted((r.v, r.w) for r in got.collect()) == [("a", 10), ("b", -1), ("c", -1), ("d", 10)]
+
+
+def test_every_statistic_reaches_the_caller(spark):
+    from lagfield.sources.writers import stats_as_maps
+
+    stats = spark.range(1500).selectExpr("concat('c', id) AS name", "id * 1D AS mean", "1D AS std")
+    means, stds = stats_as_maps(stats)
+    assert len(means) == len(stds) == 1500

@@ -52,3 +52,25 @@ def test_mixture_draws_by_ratio_with_replacement(frame):
     counts = {r.source: r["count"] for r in got.groupBy("source").count().collect()}
     assert sum(counts.values()) == 8000 and abs(counts["rare"] / 8000 - 0.7) < 0.03
     assert got.where("source = 'rare'").select("key").distinct().count() <= 400
+
+
+def test_null_and_doubled_keys_are_refused(spark):
+    nulls = spark.range(20).select(F.when(F.col("id") % 4 > 0, F.col("id")).alias("key"))
+    for job in (lambda: P.split_exact(nulls, "key", 3)[0].collect(), lambda: P.ranked(nulls, "key").collect()):
+        with pytest.raises(Exception, match="null"):
+            job()
+    doubled = spark.range(20).select((F.col("id") % 2).alias("key"))
+    with pytest.raises(ValueError, match="unique"):
+        P.split_exact(doubled, "key", 3)
+    assert P.split_exact(doubled, "key", 10)[0].count() == 10
+
+
+def test_null_groups_are_ranked(spark):
+    rows = spark.range(30).select(F.col("id").alias("key"), F.when(F.col("id") > 9, "a").alias("grp"))
+    got = P.ranked(rows, "key", ["grp"]).collect()
+    assert sorted(r["rank"] for r in got if r.grp is None) == list(range(1, 11)) and len(got) == 30
+
+
+def test_drawing_from_nothing_is_refused(frame):
+    with pytest.raises(ValueError, match="nothing to draw"):
+        P.mixture([("a", frame), ("b", frame.where("key < 0"))], "key", [0.5, 0.5], draws=100)

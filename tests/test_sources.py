@@ -43,8 +43,7 @@ def test_no_surviving_file_is_an_error(spark, tmp_path):
         R.scan_kp(spark, f"{base}/*.lst")
 
 
-def test_many_bad_files_use_the_join(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(R, "BAD_FILE_LITERALS", 1)
+def test_many_bad_files_are_left_out(spark, tmp_path):
     base = put(tmp_path / "q", "good.lst", "1991 1 0 10\n")
     for i in range(3):
         put(tmp_path / "q", f"bad{i}.lst", "1991 ? 0 10\n")
@@ -107,3 +106,38 @@ def test_frozen_schema_rejects_missing_columns(spark, tmp_path):
     S.append_frozen(spark.range(1).selectExpr("CAST(id AS int) AS x"), str(tmp_path / "f"), schema)
     with pytest.raises(Exception):
         S.append_frozen(spark.range(1).selectExpr("'text' AS x"), str(tmp_path / "f"), schema)
+
+
+def test_row_keys_do_not_depend_on_the_layout(spark):
+    from lagfield.operators.keyed import with_row_key
+
+    df = spark.createDataFrame([(1, "a", None), (1, "a", None), (2, None, 0.5), (1, "a", 0.5)] * 2, "i int, s string, x double")
+    one = sorted(map(tuple, with_row_key(df.coalesce(1)).collect()), key=str)
+    many = sorted(map(tuple, with_row_key(df.repartition(7)).collect()), key=str)
+    assert one == many and len({r[3] for r in one}) == len(one) == 8
+
+
+def test_files_to_splits(spark, tmp_path):
+    lines = ["\t".join(["Te1", "DateFormatted", "TimeFormatted", "Altitude", "XXLAT", "XXLON", "ILAT", "GLAT"])]
+    for i in range(60):
+        lines.append(f"{2000 + i}\t1991-{'01-31' if i % 6 == 0 else '02-10'}\t{i % 24:02d}:{i % 60:02d}:20\t1500\t1\t10\t45\t40")
+    lines += lines[3:5]  # repeated rows are rows
+    base = put(tmp_path / "o", "obs.tsv", "\n".join(lines) + "\n")
+    for day in (31, 41):
+        put(tmp_path / "m", f"{day}.lst", "".join(f"1991 {day} {h} {m} {-h - m} {h}\n" for h in range(24) for m in range(0, 60, 2)))
+        put(tmp_path / "x", f"{day}.lst", "".join(f"1991 {day} {h} {70 + h}\n" for h in range(24)))
+        put(tmp_path / "k", f"{day}.lst", "".join(f"1991 {day} {h} {h}\n" for h in range(24)))
+    raw = R.scan_observations(spark, f"{base}/obs.tsv")
+    series = dataset.load_series(spark, *(f"{tmp_path / d}/*.lst" for d in "mxk"))
+    saved = dataset.create_dataset(raw, series, str(tmp_path / "out"), "1991-01-31", "1991-02-07", n_test=7)
+    counts = {r.split: r["count"] for r in saved.groupBy("split").count().collect()}
+    assert counts == {"test-storm": 10, "test-normal": 7, "train": 45}
+    assert saved.select("row_key").distinct().count() == 62
+    got = {r.Te1: r for r in saved.collect()}
+    r = got[2008.0]  # 08:08 on day 41
+    assert (r.AL_index_0, r.SYM_H_0, r.Kp_index, r.f107_index_0) == (-16.0, 8.0, 8.0, 78.0)
+    assert R.load_split(spark, str(tmp_path / "out" / "split=train")).count() == 45
+    again = dataset.create_dataset(raw.repartition(5), series, str(tmp_path / "two"), "1991-01-31", "1991-02-07", n_test=7)
+    assert {r.row_key for r in again.where("split = 'test-normal'").collect()} == {
+        r.row_key for r in saved.where("split = 'test-normal'").collect()
+    }

@@ -7,8 +7,8 @@ from lagfield.operators import histograms as A
 from lagfield.operators import keyed, percentiles, profiles
 from lagfield.operators import statistics as S
 from lagfield.operators.cleaning import null_counts
-from lagfield.plans.reports import observation_heatmaps
-from lagfield.schema import ABSOLUTE_THRESHOLDS, RELATIVE_THRESHOLDS
+from lagfield.plans.reports import HEATMAP_RANGES, observation_heatmaps
+from lagfield.schema import ABSOLUTE_THRESHOLDS, DESCRIBE_PERCENTILES, RELATIVE_THRESHOLDS
 
 # -- statistics ----------------------------------------------------------------
 
@@ -214,7 +214,7 @@ def _(t):
     return A.shared_histogram(t.obs.withColumn("pred", planted(F.col("pred"))), "Te1", "pred", "status", "F", 100)
 
 
-HEAT = {"L": (1.0, 12.0), "GLAT": (-90.0, 90.0), "GMLT": None}
+HEAT = {**HEATMAP_RANGES, "GMLT": None}  # local time over its own range
 HEAT_SQL = with_obs(
     ", g AS (SELECT *, CASE WHEN pow(cos(radians(ILAT)), 2) >= 1e-9 AND abs(ILAT) < 90 THEN 1 / pow(cos(radians(ILAT)), 2) END AS L"
     " FROM obs WHERE Te1 > 0),"
@@ -340,7 +340,6 @@ def _(t):
     return round_box(percentiles.box_summary(t.orders, ["o_totalprice", "o_custkey"], low, "bucket"))
 
 
-DESCRIBE_P = [0.005, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.995, 0.999]
 
 
 def describe_sql(columns) -> str:
@@ -352,7 +351,7 @@ def describe_sql(columns) -> str:
             "std": f"stddev_samp({c})",
             "min": f"min({c})",
             "max": f"max({c})",
-            **{f"p{p}": f"quantile_cont({c}, {p})" for p in DESCRIBE_P},
+            **{f"p{p}": f"quantile_cont({c}, {p})" for p in DESCRIBE_PERCENTILES},
         }
         rows += [f"SELECT '{c}' AS \"column\", '{k}' AS statistic, {rnd(e, 4)} AS value FROM obs" for k, e in items.items()]
     return with_obs(" UNION ALL ".join(rows))
@@ -360,7 +359,7 @@ def describe_sql(columns) -> str:
 
 @query("a19_describe", describe_sql(["Te1", "Altitude", "GMLT", "XXLAT"]))
 def _(t):
-    d = percentiles.describe(t.obs, ["Te1", "Altitude", "GMLT", "XXLAT"], DESCRIBE_P)
+    d = percentiles.describe(t.obs, ["Te1", "Altitude", "GMLT", "XXLAT"], DESCRIBE_PERCENTILES)
     return d.withColumn("value", F.round("value", 4))
 
 

@@ -13,6 +13,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lagfield.schema import INVALID_VALUES
 from lagfield.session import configure
 
 
@@ -151,6 +152,8 @@ def _ntz(c: str):
 
 # -- SQL text helpers for the oracle side -----------------------------------
 
+INVALID_SQL = f"({', '.join(map(repr, INVALID_VALUES))})"
+
 
 def with_obs(body: str) -> str:
     return f"WITH obs AS ({OBS_SQL}) {body}"

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagfield.catalog.base import query, rnd, with_obs
+from lagfield.catalog.base import INVALID_SQL, query, rnd, with_obs
 from lagfield.operators import cleaning as V
 from lagfield.plans.dataset import cleaning_steps
 
@@ -160,7 +160,6 @@ def _(t):
     return V.attrition(raw, cleaning_steps("1996-01-01"))
 
 
-INVALID_SQL = "(99.9, 999.9, 9.999, 9999.0, 9999.99, 99999.99, 9999999.0)"
 # Placeholders planted at natural rows: line numbers decide which.
 PLANTED = {
     "a": "CASE WHEN line = 1 THEN 999.9e0 WHEN line = 2 THEN 9999e0 ELSE Te1 END",

@@ -12,7 +12,7 @@ from lagfield.catalog.aggregates import (
     box_sql,
     round_box,
 )
-from lagfield.catalog.base import FLUX_SQL, KP_SQL, MINUTE_SQL, PURCHASE_SQL, bin_of, clean_number, query, rnd, with_obs
+from lagfield.catalog.base import FLUX_SQL, INVALID_SQL, KP_SQL, MINUTE_SQL, PURCHASE_SQL, bin_of, clean_number, query, rnd, with_obs
 from lagfield.catalog.joins import HOURS_SQL, NEAREST, gather_sql
 from lagfield.catalog.scalars import FOOT_X, L_SQL, SCALE_SQL, SINE, poly, real, temperature_sql
 from lagfield.functions.thermal import COEFFICIENTS
@@ -75,8 +75,7 @@ def feature_ctes() -> str:
     return "WITH " + ", ".join(parts) + " "
 
 
-INVALID = "(99.9, 999.9, 9.999, 9999.0, 9999.99, 99999.99, 9999999.0)"
-ZEROED = ", ".join(f"CASE WHEN {c} IN {INVALID} THEN 0 ELSE {c} END AS {c}" for c in [*feature_columns(), "Te1"])
+ZEROED = ", ".join(f"CASE WHEN {c} IN {INVALID_SQL} THEN 0 ELSE {c} END AS {c}" for c in [*feature_columns(), "Te1"])
 
 
 def keyed_purchases(t):

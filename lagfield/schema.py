@@ -48,6 +48,9 @@ INVALID_VALUES = (99.9, 999.9, 9.999, 9999.0, 9999.99, 99999.99, 9999999.0)
 GRID_MISSING = (999.9, 99999.99)
 SCAN_MISSING = (9999.0, 99999.0, 999.9, 99999.99)
 
+# Percentiles of the descriptive table.
+DESCRIBE_PERCENTILES = (0.005, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.995, 0.999)
+
 # Classes of the target and how a class decodes to kelvin.
 BIN_WIDTH = 100
 BIN_COUNT = 150

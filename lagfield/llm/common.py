@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from lagfield.session import configure, scratch
 
-# Rows handed to Python at a time; texts can be long.
+# Rows and bytes handed to Python at a time; texts can be long.
 ARROW_ROWS = 2000
+ARROW_BYTES = "16m"
 # White space of every contract here: the space and the bytes 9 to 13.
 BLANK = r"[\x20\x09-\x0D]+"
 # Rows whose remainder is 0 are held out from learning.
@@ -21,6 +22,7 @@ FOLDS = 5
 def prepare(spark: SparkSession) -> SparkSession:
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark
 
 

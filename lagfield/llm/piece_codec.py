@@ -33,7 +33,7 @@ from lagfield.llm.tokens import Remembered, vocabulary_path
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 # Words a worker remembers in one generation (it keeps two).
-WORDS = 250_000
+WORDS = 120_000
 # How far below the worst piece a character without a piece scores.
 PENALTY = 10.0
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")

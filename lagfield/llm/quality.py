@@ -1,10 +1,11 @@
 """Quality rules on compressed size (operator 10).
 
 Method: compression bands. A text's zstandard ratio (bytes in per byte out), as a whole
-and chunk by chunk of a fixed size, has to lie in a band that depends on the length:
+and chunk by chunk at several sizes, has to lie in a band that depends on the length:
 short texts compress little whatever they say, long ones have more to repeat. Above the
-band a text is repetitive, below it incompressible. A few odd chunks are no verdict; a
-share of them is.
+band a text is repetitive, below it incompressible. The last chunk of a size ends with the
+text, so every byte is in one. A few odd chunks are no verdict; a share of them, at any
+size, is, and the share is less for longer texts.
 
 Base counts go with it: words, their code points, symbols, lines equal to an earlier
 line, and words inside three-word windows that occur twice or more.
@@ -26,12 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame
 
 LEVEL = 3
-CHUNK = 4096
 #: (bytes from, least ratio, most ratio) of whole texts, by their length.
 BANDS = ((0, 0.0, 3.0), (256, 1.05, 3.0), (1024, 1.2, 3.5), (4096, 1.3, 4.0), (65536, 1.3, 5.0))
-#: Ratios of one chunk, and the share of chunks outside that rejects a text.
-CHUNK_BAND = (1.15, 4.0)
-ODD_SHARE = 0.3
+#: (texts from, texts below, bytes of a chunk, least ratio, most ratio) of chunks.
+CHUNKS = ((0, 512, 128, 1.0, 1.8), (512, None, 256, 1.1, 2.2), (2048, None, 1024, 1.3, 3.0), (4096, None, 4096, 1.3, 4.0))
+#: (bytes from, share of chunks outside their band that a text may have), by the text's length.
+ODD_SHARES = ((0, 0.25), (4096, 0.15), (65536, 0.05))
 # Fixed values of the base rule.
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 BLANKS = " \t\n\v\f\r"
@@ -69,22 +70,28 @@ def base_counts(text: str) -> dict[str, int]:
 class Bands:
     """Compression verdicts; one compressor for each worker."""
 
-    def __init__(self, bands=BANDS, chunk=CHUNK, chunk_band=CHUNK_BAND, odd_share=ODD_SHARE, level=LEVEL):
-        self.bands, self.chunk, self.chunk_band, self.odd_share = bands, chunk, chunk_band, odd_share
+    def __init__(self, bands=BANDS, chunks=CHUNKS, odd_shares=ODD_SHARES, level=LEVEL):
+        self.bands, self.chunks, self.odd_shares = bands, chunks, odd_shares
         self.compress = zstandard.ZstdCompressor(level=level, write_content_size=False).compress
 
     def ratio(self, data: bytes) -> float:
         return len(data) / len(self.compress(data)) if data else 1.0
 
     def judge(self, text: str) -> tuple[float, int, int, bool]:
-        """(ratio of the whole, chunks, chunks outside their band, kept)."""
+        """(ratio of the whole, chunks of all sizes, chunks outside their band, kept)."""
         data = text.encode()
-        whole = self.ratio(data)
-        _, least, most = [b for b in self.bands if b[0] <= len(data)][-1]
-        # A rest shorter than a chunk says nothing of its own.
-        ratios = [self.ratio(data[i : i + self.chunk]) for i in range(0, len(data) - self.chunk + 1, self.chunk)]
-        odd = sum(not self.chunk_band[0] <= r <= self.chunk_band[1] for r in ratios)
-        return whole, len(ratios), odd, least <= whole <= most and odd <= self.odd_share * len(ratios)
+        whole, length = self.ratio(data), len(data)
+        _, least, most = [b for b in self.bands if b[0] <= length][-1]
+        share = [b[1] for b in self.odd_shares if b[0] <= length][-1]
+        good, total, odd = least <= whole <= most, 0, 0
+        for begin, end, size, low, high in self.chunks:
+            if length < begin or end is not None and length >= end:
+                continue
+            starts = [*range(0, length - size, size), max(0, length - size)]
+            outside = sum(not low <= self.ratio(data[i : i + size]) <= high for i in starts)
+            good = good and outside <= share * len(starts)
+            total, odd = total + len(starts), odd + outside
+        return whole, total, odd, good
 
 
 SCHEMA = (

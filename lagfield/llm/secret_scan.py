@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership (operator 1).
 
 Method: every candidate's value is hashed, and the hashes are counted over the whole
-corpus by distinct repositories and owners. A value that many owners carry is a widely
-copied example; one that belongs to few owners, looks random and is no placeholder, is
-taken for live. Candidates of the base kinds are always reported; the wider kinds
+corpus by distinct repositories and owners. A value that many owners or many repositories
+carry is a widely copied example; one that belongs to few of both, looks random and is no
+placeholder, is taken for live. Where a table names no repository (``repo_col=None``),
+each distinct text is one: exact copies of a text spread nothing. Candidates of the base kinds are always reported; the wider kinds
 (key blocks, other providers' tokens, mixed random strings) only when they are live.
 
 Spans are kind:start:end in code points, end exclusive, ordered by start and then by
@@ -60,8 +61,9 @@ WIDER = (
 )
 KINDS = ("assign", "access", "hex", "keyblock", "provider", "jwt", "login")
 PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|xxxx|your|test|1234567|abcdef", re.IGNORECASE | re.ASCII)
-#: Owners from which a value counts as widely copied; least Shannon entropy of a live value, in bits a character.
+#: Owners, and repositories, from which a value counts as widely copied; least Shannon entropy of a live value, in bits a character.
 COMMON_OWNERS = 3
+COMMON_REPOS = 10
 LEAST_ENTROPY = 2.5
 
 CANDIDATE = "kind: string, start: long, end: long, value: string, random: boolean"
@@ -111,13 +113,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, kind)], [*batch.schema.names[1:], "found"])
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str, file: str, row: str) -> DataFrame:
+def scan(
+    docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str | None, file: str, row: str
+) -> DataFrame:
     """(id, owner, repo, file, row, found) of every row of a placed table; written once."""
     wanted = docs.select(
         F.col(text_col).alias("text"),
         F.col(id_col).alias("id"),
         F.col(owner_col).cast("string").alias("owner"),
-        F.col(repo_col).cast("string").alias("repo"),
+        (F.col(repo_col) if repo_col else F.xxhash64(text_col)).cast("string").alias("repo"),
         F.col(file).alias("file"),
         F.col(row).alias("row"),
     )
@@ -126,23 +130,25 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col:
     return settle(wanted.mapInArrow(_scan, schema), "candidates")
 
 
-def ownership(found: DataFrame, common_owners: int = COMMON_OWNERS) -> DataFrame:
+def ownership(
+    found: DataFrame, common_owners: int = COMMON_OWNERS, common_repos: int = COMMON_REPOS
+) -> DataFrame:
     """(value, owners, repos, occurrences, copied) of every candidate value of the corpus."""
     each = found.select("owner", "repo", F.explode("found.value").alias("value"))
     folded = each.groupBy("value", "owner", "repo").agg(F.count("*").alias("n"))
-    by_owner = folded.groupBy("value", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
-    counted = by_owner.groupBy("value").agg(
-        F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("occurrences")
-    )
-    return counted.withColumn("copied", F.col("owners") >= common_owners)
+    by_owner = folded.groupBy("value", "owner").agg(F.sum("n").alias("n"))
+    owned = by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("occurrences"))
+    spread = folded.select("value", "repo").distinct().groupBy("value").agg(F.count("*").alias("repos"))
+    copied = (F.col("owners") >= common_owners) | (F.col("repos") >= common_repos)
+    return owned.join(spread, "value").select("value", "owners", "repos", "occurrences", copied.alias("copied"))
 
 
-def judged(found: DataFrame, common_owners: int = COMMON_OWNERS) -> DataFrame:
+def judged(found: DataFrame, common_owners: int = COMMON_OWNERS, common_repos: int = COMMON_REPOS) -> DataFrame:
     """Candidates with their verdict: (file, row, kind, start, end, value, owners, repos, copied, live, reported)."""
     each = found.select("file", "row", F.explode("found").alias("c")).select("file", "row", "c.*")
     live = F.col("random") & ~F.col("copied")
     return (
-        each.join(ownership(found, common_owners), "value")
+        each.join(ownership(found, common_owners, common_repos), "value")
         .withColumn("live", live)
         .withColumn("reported", F.col("kind").isin(*[b[0] for b in BASE]) | live)
     )
@@ -159,16 +165,20 @@ def find_secrets(
     id_col: str = "doc_id",
     text_col: str = "text",
     owner_col: str = "source",
-    repo_col: str = "source",
+    repo_col: str | None = None,
     common_owners: int = COMMON_OWNERS,
+    common_repos: int = COMMON_REPOS,
 ) -> DataFrame:
-    """One row a document: doc_id, counts of the base kinds, base_sha256, spans, n_live and n_copied."""
+    """One row a document: doc_id, counts of the base kinds, base_sha256, spans, n_live, n_copied, span_owners, span_repos.
+
+    The last two are the owners and the repositories of each reported span's value, in the order of ``spans``.
+    """
     file, row = fresh(docs, "at_file"), fresh(docs, "at_row")
     found = scan(located(docs, file, row), id_col, text_col, owner_col, repo_col, file, row)
     base = [b[0] for b in BASE]
-    order = F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("o"), "end", "kind")
+    order = F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("o"), "end", "kind", "owners", "repos")
     verdicts = (
-        judged(found, common_owners)
+        judged(found, common_owners, common_repos)
         .groupBy("file", "row")
         .agg(
             F.sort_array(F.collect_list(F.when(F.col("reported"), order))).alias("reported"),
@@ -189,6 +199,10 @@ def find_secrets(
         F.coalesce(_joined(F.col("reported")), F.lit("")).alias("spans"),
         F.coalesce("n_live", none).alias("n_live"),
         F.coalesce("n_copied", none).alias("n_copied"),
+        *(
+            F.coalesce(F.array_join(F.col(f"reported.{c}").cast("array<string>"), ","), F.lit("")).alias(f"span_{c}")
+            for c in ("owners", "repos")
+        ),
     )
 
 
@@ -197,9 +211,10 @@ def redact(
     id_col: str = "doc_id",
     text_col: str = "text",
     owner_col: str = "source",
-    repo_col: str = "source",
+    repo_col: str | None = None,
     chars_col: str | None = "n_chars",
     common_owners: int = COMMON_OWNERS,
+    common_repos: int = COMMON_REPOS,
     mark: str = "[secret]",
 ) -> DataFrame:
     """``docs`` with every live value's span replaced by ``mark``; widely copied examples stay.
@@ -210,7 +225,7 @@ def redact(
     placed = located(docs, file, row)
     found = scan(placed, id_col, text_col, owner_col, repo_col, file, row)
     live = (
-        judged(found, common_owners)
+        judged(found, common_owners, common_repos)
         .where("live")
         .groupBy(F.col("file").alias("f"), F.col("row").alias("r"))
         .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts))

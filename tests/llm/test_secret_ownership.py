@@ -1,0 +1,29 @@
+"""Operator 1: the repository side of ownership."""
+
+from lagfield.llm import secret_scan
+
+EXAMPLE, OWN = "Zx9kQ2mLp7RtBv4w", "Hq3nV8sJd1YcKf6g"
+
+
+def docs(spark):
+    rows = [(i, f"page {i} says password={EXAMPLE} here", "hot", None) for i in range(30)]
+    rows += [(100 + i, f"own {i} secret={OWN}", "solo", None) for i in range(3)]
+    rows += [(200 + i, f"copy token={OWN[::-1]}", "hot", None) for i in range(30)]  # one text, stored 30 times
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+
+
+def test_an_example_of_one_hot_source_is_copied_and_an_own_credential_live(spark):
+    got = {r.doc_id: r for r in secret_scan.find_secrets(docs(spark)).collect()}
+    assert (got[0].n_live, got[0].n_copied, got[0].span_owners, got[0].span_repos) == (0, 1, "1", "30")
+    assert (got[100].n_live, got[100].n_copied, got[100].span_owners, got[100].span_repos) == (1, 0, "1", "3")
+    assert (got[200].n_live, got[200].n_copied, got[200].span_owners, got[200].span_repos) == (1, 0, "1", "1")
+    out = {r.doc_id: r.text for r in secret_scan.redact(docs(spark)).collect()}
+    assert EXAMPLE in out[0] and out[100] == "own 0 [secret]"
+
+
+def test_named_repositories_count_once(spark):
+    named = docs(spark).selectExpr("*", "concat('r', doc_id % 12) AS repo")
+    got = {r.doc_id: r for r in secret_scan.find_secrets(named, repo_col="repo").collect()}
+    assert got[0].span_repos == "12" and got[0].n_copied == 1
+    few = {r.doc_id: r for r in secret_scan.find_secrets(named, repo_col="source").collect()}
+    assert few[0].span_repos == "1" and few[0].n_live == 1

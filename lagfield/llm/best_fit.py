@@ -85,12 +85,12 @@ def cut(
     """Pieces of at most ``size`` ids: doc id, piece, start, length, ids_crc32, turn, and the ids as bytes.
 
     ``turn`` numbers a task's pieces, scattered over the integers. ``ids`` are little-endian
-    numbers of ``kind_of_id``; ``with_ids=False`` leaves them out. The checksum is
-    always over unsigned 32-bit numbers.
+    numbers of ``kind_of_id``, and one that does not fit is an error; ``with_ids=False``
+    leaves them out. The checksum is always over unsigned 32-bit numbers.
     """
     path = vocabulary or vocabulary_path(VOCABULARY)
     kind = docs.schema[id_col].dataType.simpleString()
-    end = np.array([end_id], "<u4")
+    end, most = np.array([end_id], "<u4"), np.iinfo(kind_of_id).max
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "turn"] + ["ids"] * with_ids
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,6 +100,8 @@ def cut(
             row, piece, start, length, crc, turns, ids = [], [], [], [], [], [], []
             for i, own in enumerate(encoder(path).encode_each(texts)):
                 own = np.concatenate([own, end])
+                if with_ids and own.max() > most:
+                    raise ValueError(f"id {own.max()} does not fit {kind_of_id}")
                 for k, at in enumerate(range(0, len(own), size)):
                     part = own[at : at + size].tobytes()
                     row.append(i)

@@ -12,7 +12,7 @@ from lagfield.session import configure, scratch
 
 # Rows and bytes handed to Python at a time; texts can be long.
 ARROW_ROWS = 2000
-ARROW_BYTES = "16m"
+ARROW_BYTES = "8m"
 # White space of every contract here: the space and the bytes 9 to 13.
 BLANK = r"[\x20\x09-\x0D]+"
 # Rows whose remainder is 0 are held out from learning.
@@ -51,6 +51,11 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a longer one if ``df`` already has it in any case."""
     taken = {c.lower() for c in df.columns}

@@ -2,8 +2,9 @@
 
 The large-star and small-star steps of Kiveris et al. (2014): each step is one
 aggregation and one join on the links, the number of rounds grows with the logarithm
-of the longest chain, and no group of links is ever gathered in one place. A node
-with many links is an ordinary skewed join key, which adaptive execution splits.
+of the longest chain, and no group of links is ever gathered in one place: the smallest
+neighbours of nodes with many links, of which there are ``CENTRES`` at most, are broadcast,
+and their links stay where they are.
 """
 
 from __future__ import annotations
@@ -14,17 +15,31 @@ from pyspark.sql import functions as F
 from lagfield.llm.common import discard, settle
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+# Nodes whose links are not dealt out by the node: at most so many, and each with so many links at least.
+CENTRES = 10_000
+CROWDED = 100
+
+
+def _with_least(links: DataFrame, crowded: int) -> DataFrame:
+    """``links`` (a, b) with ``m``, the smallest b of each a."""
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    centres = F.broadcast(least.where(F.col("n") > crowded).select("a", F.col("m").alias("of_centre")))
+    marked = links.join(centres, "a", "left")
+    rest = marked.where("of_centre IS NULL").select("a", "b").join(least.select("a", "m"), "a")
+    return rest.union(marked.where("of_centre IS NOT NULL").select("a", "b", "of_centre"))
+
+
+def _large_star(links: DataFrame, crowded: int) -> DataFrame:
     """Each node links its larger neighbours to the smallest of itself and its neighbours."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = F.least("m", "a")
+    return _with_least(both, crowded).where("b > a").select(F.col("b").alias("a"), least.alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, crowded: int) -> DataFrame:
     """Each node links itself and its smaller neighbours to the smallest of them."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = _with_least(links, crowded)
+    moved = least.select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
@@ -39,7 +54,8 @@ def components(links: DataFrame) -> DataFrame:
     )
     state = _state(now)
     while True:
-        after = settle(_small_star(_large_star(now)), "links")
+        crowded = max(CROWDED, 2 * state[0] // CENTRES)  # both ends of all links make at most CENTRES such nodes
+        after = settle(_small_star(_large_star(now, crowded), crowded), "links")
         discard(now)
         now, before, state = after, state, _state(after)
         if state == before:

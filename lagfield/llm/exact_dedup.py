@@ -6,10 +6,16 @@ state is read back as a table. On every hit, that is every row whose digest anot
 had first, the full bytes are compared with those at the retained place; digests
 that turn out to stand for different texts are grouped anew by the texts themselves.
 
+A state serves any number of tables, one after another. Beside it lie the arrivals (digest, id
+and place of every row so far); texts are not stored again but reread at their places, so the
+files of earlier tables must still be there, with the text column of the same name. A
+collision is told by the bytes of all rows of its digest, whichever table they came with.
+
 Texts are equal when identical after each run of blanks became one space; null counts
 as empty. The row with the smallest id stays, null ids last, then the first stored, so
 repeated rows keep exactly one. An empty table gives no rows. Extra columns stay
-untouched and may have any name.
+untouched and may have any name. Texts are compared whole, however long. A table that
+arrives twice counts twice.
 
 Scale: the log and the state hold no text. Rows of one digest are folded before the
 shuffle into the state, so a text that a third of all rows share costs one record a
@@ -19,10 +25,12 @@ execution splits the other side of a hot digest.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagfield.llm.common import fresh, located, settle
+from lagfield.llm.common import exists, fresh, located, settle
 from lagfield.session import scratch
 
 # State on disk, with a bound on the native memory of one executor; a task closes its part of the
@@ -52,7 +60,8 @@ def absorb(spark: SparkSession, log: str, schema, state: str, digest: str = "dig
     """Stream what is new in the folder ``log`` into the state at ``state``; return the whole state.
 
     Rows are (digest, record) in, (digest, first, copies) out, ``first`` being the least
-    record. The state never expires, and a later call reads only files added since.
+    record. The state never expires, and a later call reads only files added since. ``log``
+    may be a pattern of folders.
     """
     before = {k: spark.conf.get(k, None) for k in STATE}
     for key, value in STATE.items():
@@ -68,9 +77,7 @@ def absorb(spark: SparkSession, log: str, schema, state: str, digest: str = "dig
             .start()
         )
         query.awaitTermination()
-        if not spark._jvm.org.apache.hadoop.fs.Path(f"{state}/state/0").getFileSystem(
-            spark._jsc.hadoopConfiguration()
-        ).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{state}/state/0")):  # nothing has ever arrived
+        if not exists(spark, f"{state}/state/0"):  # nothing has ever arrived
             return spark.createDataFrame(
                 [], f"digest string, first {schema['record'].dataType.simpleString()}, copies long"
             )
@@ -93,20 +100,34 @@ def _record(id_col: str, file: str, row: str) -> Column:
     )
 
 
+def _reread(spark: SparkSession, places: DataFrame, text_col: str) -> DataFrame:
+    """(digest, record, body) of the rows of ``places`` (digest, record), read where they were stored."""
+    files = [r.file for r in places.select("record.file").distinct().collect()]  # names of files only
+    own = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    stored = spark.read.parquet(*files).select(normal(F.col(text_col)).alias("body"), own.alias("at"))
+    found = stored.join(places, (F.col("at.file") == F.col("record.file")) & (F.col("at.row") == F.col("record.row")))
+    return found.select("digest", "record", "body")
+
+
 def find_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, state: str | None = None
 ) -> tuple[DataFrame, DataFrame, str, str]:
     """(rows, placed, file, row): what became of each row of ``docs``.
 
     ``rows`` has digest, record (none, id, file, row), first (the record that stays) and
-    copies; ``placed`` is ``docs`` with the columns ``file`` and ``row`` to join it by.
+    copies; ``placed`` is ``docs`` with the columns ``file`` and ``row`` to join it by. ``state``
+    is a folder that outlives the call (None: a new one); first and copies are then over all
+    tables it has seen, and a row of an earlier table may be the one that stays.
     """
     spark = docs.sparkSession
+    kept, state = state is not None, state or scratch(spark, "state")
     file, row = fresh(docs, "at_file"), fresh(docs, "at_row")
     placed = located(docs, file, row)
     texts = placed.select(_record(id_col, file, row).alias("record"), normal(F.col(text_col)).alias("body"))
-    log = settle(texts.select(digest(F.col("body")).alias("digest"), "record"), "arrivals")
-    records = settle(absorb(spark, log.settled_at, log.schema, state or scratch(spark, "state")), "records")
+    arrivals = texts.select(digest(F.col("body")).alias("digest"), "record")
+    arrivals.write.parquet(own := f"{state}/arrivals/{uuid.uuid4().hex}")
+    log = spark.read.schema(arrivals.schema).parquet(own)
+    records = settle(absorb(spark, f"{state}/arrivals/*", log.schema, f"{state}/stream"), "records")
     marked = log.join(records, "digest")
 
     # Full bytes on hits: every member of a shared digest against the one that stays.
@@ -120,16 +141,36 @@ def find_copies(
         & (F.col("record.file") <= F.col("first.file"))
     )
     stay = members.where(same_place).select("digest", F.col("body").alias("kept_body"))
+    if kept:
+        # Rows of earlier tables that stay.
+        hit = records.where("copies > 1").join(log.select("digest").distinct(), "digest", "left_semi")
+        here = log.select(F.col("record").alias("first"))
+        earlier = settle(hit.join(here, "first", "left_anti").select("digest", F.col("first").alias("record")), "earlier")
+        if not earlier.isEmpty():
+            stay = stay.union(_reread(spark, earlier, text_col).select("digest", "body"))
     wrong = settle(
         members.where(~same_place).join(stay, "digest").where("body <> kept_body").select("digest").distinct(),
         "collisions",
     )
-    if wrong.isEmpty():
+    if kept and not wrong.isEmpty():
+        # A digest once found to be shared stays so: what its other texts are is known from all arrivals.
+        wrong.write.mode("append").parquet(f"{state}/collisions")
+    shared = wrong
+    if kept and exists(spark, f"{state}/collisions"):
+        shared = spark.read.schema(wrong.schema).parquet(f"{state}/collisions").distinct()
+    if shared.isEmpty():
         return marked, placed, file, row
-    by_text = texts.withColumn("digest", digest(F.col("body"))).join(wrong, "digest", "left_semi")
-    least = by_text.groupBy("digest", "body").agg(F.min("record").alias("first"), F.count("*").alias("copies"))
+    by_text = texts.withColumn("digest", digest(F.col("body"))).join(shared, "digest", "left_semi")
+    all_texts = by_text
+    if kept:
+        everything = spark.read.schema(log.schema).parquet(f"{state}/arrivals/*")
+        places = settle(everything.join(shared, "digest", "left_semi"), "shared")
+        if places.isEmpty():
+            return marked, placed, file, row
+        all_texts = _reread(spark, places, text_col)
+    least = all_texts.groupBy("digest", "body").agg(F.min("record").alias("first"), F.count("*").alias("copies"))
     regrouped = by_text.join(least, ["digest", "body"]).select("digest", "record", "first", "copies")
-    return marked.join(wrong, "digest", "left_anti").unionByName(regrouped), placed, file, row
+    return marked.join(shared, "digest", "left_anti").unionByName(regrouped), placed, file, row
 
 
 def stays() -> Column:

@@ -3,8 +3,8 @@
 Method: best-fit-decreasing. The pieces of a group are placed longest first, each into
 the bin with the least free space that still takes it, found by descending a segment
 tree over capacities. Documents longer than a sequence are split without loss. Each
-sequence becomes one row of the id matrix: ``size`` little-endian unsigned 16-bit ids, padded with
-the end id, with the cumulative lengths of its segments and the places where positions
+sequence becomes one row of the id matrix: ``size`` little-endian unsigned ids of 16 bits, or of 32 where
+the vocabulary or the end id needs them, padded with the end id, with the cumulative lengths of its segments and the places where positions
 start again.
 
 Defined results: a null or empty text is a document of the end id alone; repeated rows are packed each for itself;
@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagfield.llm.best_fit import cut
+from lagfield.llm.best_fit import VOCABULARY, cut
 from lagfield.llm.common import settle, text_groups
+from lagfield.llm.tokens import encoder, vocabulary_path
 
 SIZE = 2048
 END_ID = 49407  # <|endoftext|> of the vocabulary
@@ -88,6 +89,12 @@ def positions(cu_seqlens: list[int], size: int) -> np.ndarray:
     return np.arange(size) - np.repeat(edges[:-1], np.diff(edges))
 
 
+def kind_of_id(vocabulary: str | None, end_id: int) -> str:
+    """Numbers wide enough for every id of the vocabulary and the end id."""
+    ids = encoder(vocabulary or vocabulary_path(VOCABULARY)).tokenizer.get_vocab(with_added_tokens=True).values()
+    return "<u2" if max(end_id, *ids) < 1 << 16 else "<u4"
+
+
 def pack_rows(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -98,9 +105,11 @@ def pack_rows(
     group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """One row a sequence: sequence_id, ids, n_tokens, cu_seqlens, position_resets, doc_ids, pieces, starts."""
+    number = kind_of_id(vocabulary, end_id)
+    padding = np.array([end_id], number).tobytes()
     kind = docs.schema[id_col].dataType.simpleString()
     groups = text_groups(docs, text_col, group_bytes)
-    pieces = cut(docs, id_col, text_col, size, end_id, vocabulary, kind_of_id="<u2")
+    pieces = cut(docs, id_col, text_col, size, end_id, vocabulary, kind_of_id=number)
     dealt = (
         pieces.repartition(groups, "turn")
         .sortWithinPartitions(F.desc("length"), "turn", "doc_id", "piece")
@@ -129,7 +138,7 @@ def pack_rows(
             for begin, end in zip(own[:-1] - own[0], own[1:] - own[0]):
                 row = b"".join(ids[begin:end])
                 cu = [0, *np.cumsum(lengths[order[own[0] + begin : own[0] + end]]).tolist()]
-                matrix.append(row + end_id.to_bytes(2, "little") * (size - cu[-1]))
+                matrix.append(row + padding * (size - cu[-1]))
                 cumulative.append(cu)
                 resets.append([*cu[:-1], *([cu[-1]] if cu[-1] < size else [])])
                 total.append(cu[-1])

@@ -22,9 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Words a worker remembers in one generation (it keeps two), about 200 bytes each.
-WORDS = 160_000
+WORDS = 60_000
 # Code points of text that are numbered together.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 
 def vocabulary_path(name: str, folder: str | None = None) -> str:

@@ -53,7 +53,7 @@ def _remembered() -> dict[bytes, int]:
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
     """Coordinates, each once and in order, of a text's words, neighbours and pairs one word apart."""
     known = _remembered()
-    if len(known) > 150_000:
+    if len(known) > 60_000:
         known.clear()
     words = []
     for word in (text or "").lower().encode().split():

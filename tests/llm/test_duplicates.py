@@ -76,6 +76,30 @@ def test_state_outlives_a_run(spark, tmp_path):
     assert arrive([0, 1, 2, 3]) == {"0": (0, 3), "1": (1, 1), "2": (2, 3)}
 
 
+def test_one_state_serves_many_tables(spark, tmp_path):
+    """Three arrivals; a collision between the first and the third, an equal text in all, a smaller id last."""
+    weak = lambda body: F.substring(body, 1, 1)
+    state, seen = str(tmp_path / "kept"), []
+    arrivals = [
+        [(10, "apple"), (11, "berry one"), (12, None), (11, "berry one")],
+        [(20, "cherry"), (21, "berry  one"), (22, " ")],
+        [(30, "avocado"), (5, "berry\tone"), (32, "apple"), (33, "cherry"), (34, "avocado"), (35, "")],
+        [(40, "avocado"), (41, "apple"), (42, "date")],
+    ]
+    for k, own in enumerate(arrivals):
+        path = str(tmp_path / f"table{k}")
+        spark.createDataFrame(own, "doc_id long, text string").repartition(2).write.parquet(path)
+        seen += own
+        groups = collections.defaultdict(list)
+        for i, t in seen:
+            groups[normal(t)].append(i)
+        want = collections.Counter((i, min(groups[normal(t)]), len(groups[normal(t)])) for i, t in own)
+        found = exact_dedup.find_copies(spark.read.parquet(path), digest=weak, state=state)[0]
+        assert collections.Counter((r.record.id, r["first"].id, r.copies) for r in found.collect()) == want
+    nothing = exact_dedup.find_copies(spark.read.parquet(path).where("false"), digest=weak, state=state)[0]
+    assert nothing.count() == 0
+
+
 def test_sql_agrees(spark, sf_dir):
     name = "op5_exact_dedup"
     problem, n = compare(spark, duck(sf_dir), name, queries.QUERIES[name], queries.ORACLE_SQL[name], sf_dir)
@@ -162,5 +186,6 @@ def test_components_of_a_chain_a_star_and_loops(spark):
     star = [(7, i) for i in range(1000, 1300)]
     links = spark.createDataFrame(chain + star + [(5, 5), (1, 2), (2, 1)], "a long, b long")
     root = {r.node: r.root for r in components.components(links).collect()}
+    assert components._with_least(links, 100).where("m > b").count() == 0
     assert root == {i: 100 for i in range(100, 161)} | {i: 7 for i in [7, *range(1000, 1300)]} | {1: 1, 2: 1}
     assert components.components(links.where("a < 0")).count() == 0

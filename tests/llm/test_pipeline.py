@@ -24,14 +24,19 @@ def brute_force(model, docs):
     for d, r in sorted(zip(kept, roots), key=lambda x: x[0][0]):
         best.setdefault(r, d)
     kept = list(best.values())
-    owners = collections.defaultdict(set)
+    owners, repos = collections.defaultdict(set), collections.defaultdict(set)
     found = {d[0]: secret_scan.candidates(d[1] or "") for d in kept}
-    for d in kept:
-        for c in found[d[0]]:
-            owners[c[3]].add(d[2])
+    for doc_id, text, source in kept:
+        for c in found[doc_id]:
+            owners[c[4]].add(source)
+            repos[c[4]].add(text)
+
+    def copied(value):
+        return len(owners[value]) >= 3 or len(owners[value]) > 1 and len(repos[value]) >= 10
+
     out = {}
     for doc_id, text, _ in kept:
-        live = [c for c in found[doc_id] if c[4] and len(owners[c[3]]) < secret_scan.COMMON_OWNERS]
+        live = [c for c in found[doc_id] if c[5] and not copied(c[4])]
         done, parts = 0, []
         for _, start, end, *_ in sorted(live, key=lambda c: c[1:3]):
             if end > done:

@@ -157,35 +157,68 @@ def naive_grams(text):
     return out
 
 
+def place_of(gram):
+    """Order among equally frequent n-grams: the shorter first, a blank before any letter."""
+    return len(gram), [0 if c == " " else ord(c) for c in gram]
+
+
 def number(gram):
     out = 0
     for c in gram:
-        out = out << 21 | (0 if c == " " else ord(c))
+        out = out << 21 | (1 if c == " " else ord(c))
     return out
 
 
+def naive_profiles(texts, size):
+    counts = collections.defaultdict(collections.Counter)
+    for i, lang, text in texts:
+        if zlib.crc32(str(i).encode()) % 5 and lang is not None:
+            counts[lang].update(naive_grams(text))
+    return {x: sorted(c, key=lambda g: (-c[g], place_of(g)))[:size] for x, c in counts.items()}
+
+
+def naive_language(text, profiles, size):
+    """(language, score) by comparing n-grams as strings."""
+    count = naive_grams(text)
+    own = sorted(count, key=lambda g: (-count[g], place_of(g)))[:size]
+    places = {x: {g: k for k, g in enumerate(p)} for x, p in profiles.items()}
+    distance = {
+        x: sum(abs(k - places[x][g]) if g in places[x] else size for k, g in enumerate(own)) for x in sorted(profiles)
+    }
+    best = min(distance, key=distance.get)
+    return best, 1 - distance[best] / (size * len(own))
+
+
 def test_profiles_and_distances_equal_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     size = 120
-    counts = collections.defaultdict(collections.Counter)
-    texts = {r.doc_id: r for r in docs.collect()}
-    for i, r in texts.items():
-        if zlib.crc32(str(i).encode()) % 5:
-            counts[r.lang].update(naive_grams(r.text))
-    profile = {
-        lang: [number(g) for g, n in sorted(c.items(), key=lambda x: (-x[1], number(x[0])))[:size]] for lang, c in counts.items()
-    }
+    texts = [(r.doc_id, r.lang, r.text) for r in docs.collect()]
+    want = naive_profiles(texts, size)
     learnt = language.learn(docs, size=size)
-    want = language.Profiles.of(profile, size)
-    assert learnt.names == want.names and (learnt.grams == want.grams).all() and (learnt.rank == want.rank).all()
-    for r in list(texts.values())[:60]:
-        own = sorted(naive_grams(r.text).items(), key=lambda x: (-x[1], number(x[0])))[:size]
-        distance = {
-            lang: sum(abs(k - p.index(number(g))) if number(g) in p else size for k, (g, _) in enumerate(own))
-            for lang, p in sorted(profile.items())
-        }
-        best = min(distance, key=distance.get)
-        assert learnt.identify(r.text) == (best, 1 - distance[best] / (size * len(own)))
+    got = {(r.lang, r.gram): r["rank"] for r in learnt.collect()}
+    assert got == {(x, number(g)): k for x, p in want.items() for k, g in enumerate(p)}
+    own = language.loaded(learnt, size)
+    for _, _, text in texts[:60]:
+        assert own.identify(text)[:2] == naive_language(text, want, size)
+
+
+def test_blanks_are_letters_of_their_own():
+    grams, counts = language.ngrams("ab ab")
+    spelled = {" a": 2, "ab": 2, "b ": 2, "a": 2, "b": 2, " ab": 2, "ab ": 2}
+    assert dict(zip(grams.tolist(), counts.tolist())) == {number(g): n for g, n in spelled.items()}
+
+
+def test_any_number_of_languages(spark):
+    """300 languages, each with letters of its own, in one pass and in several."""
+    own = [(i, f"l{i % 300:03d}", " ".join(chr(0x4E00 + 7 * (i % 300) + k) * 2 + "a" for k in range(6))) for i in range(1500)]
+    docs = spark.createDataFrame([*own, (None, "l000", "a"), (9001, None, "aa"), (9002, "l001", None), (9003, "l001", "1 2")], "doc_id long, lang string, text string")
+    want = sorted(map(tuple, language.identify_documents(docs, size=40).collect()), key=str)
+    assert sum(r[2] == f"l{r[0] % 300:03d}" for r in want if r[0] is not None and r[0] < 1500) == 1500
+    assert {r[0]: r[2] for r in want}[9003] == "und"
+    assert sorted(map(tuple, language.identify_documents(docs, size=40, group=70).collect()), key=str) == want
+    profiles = naive_profiles([(i, x, t) for i, x, t in own if t], 40)
+    some = {r[0]: (r[2], r[3]) for r in want if r[0] is not None and r[0] < 40}
+    assert all(some[i] == naive_language(own[i][2], profiles, 40) for i in some)
 
 
 def test_languages_of_held_out_rows(spark, sf_dir):

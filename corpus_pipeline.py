@@ -5,8 +5,9 @@ read again as the next stage's ``docs``. All but the last return the columns of
 
 1. toxicity: documents predicted toxic go.
 2. exact dedup: of equal texts the smallest id stays.
-3. near-dedup: of each component of texts alike from 0.8 on (five-word shingles) the smallest id stays.
-4. secret scans: live credentials are blotted out; widely copied examples and all else stay as they are.
+3. SimHash near-dedup: fingerprints of three-word shingles that differ in at most two bits are linked, and of
+   each component the smallest id stays.
+4. secret scans: live and undecided credentials are blotted out; widely copied examples and all else stay.
 5. best-fit packing: one row for each piece of a packed sequence.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagfield.llm import best_fit, exact_dedup, near_copies, secret_scan, toxicity
+from lagfield.llm import best_fit, exact_dedup, secret_scan, simhash, toxicity
 from lagfield.llm.common import prepare, settle, table
 
 
@@ -30,7 +31,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return near_copies.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

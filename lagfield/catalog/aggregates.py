@@ -422,6 +422,17 @@ def _(t):
     return wide.withColumns({k: F.round(k, 4) for k in KINDS})
 
 
+@query(
+    "a24_dense_cells",
+    "SELECT h, list(v ORDER BY m) AS cells FROM (SELECT h, m, " + rnd("max(value)", 4) + " AS v"
+    " FROM (SELECT DISTINCT hour(ts)::INTEGER AS h FROM events) CROSS JOIN (SELECT unnest(range(60)) AS m)"
+    " LEFT JOIN events ON hour(ts) = h AND minute(ts) = m GROUP BY 1, 2) GROUP BY 1",
+)
+def _(t):
+    cells = t.events.groupBy(F.hour("ts").alias("h"), F.minute("ts").alias("m")).agg(F.round(F.max("value"), 4).alias("v"))
+    return keyed.pivot_dense(cells, "h", F.col("m"), "v", 60)
+
+
 @query("a25_extent", with_obs("SELECT min(Altitude) AS low, max(Altitude) AS high FROM obs"))
 def _(t):
     return S.extent(t.obs, "Altitude")

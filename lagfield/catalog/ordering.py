@@ -23,6 +23,19 @@ def _(t):
     return P.ranked(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderkey", ["o_orderstatus"])
 
 
+@query(
+    "w1_doubled_keys",
+    "SELECT o_custkey, o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus"
+    " ORDER BY md5('42|' || CASE WHEN o_orderkey % 3 = 0 THEN '7' ELSE CAST(o_custkey AS VARCHAR) END), o_custkey, o_orderkey) AS rank"
+    " FROM orders",
+)
+def _(t):
+    """A third of all rows has one key."""
+    rows = t.orders.select("o_custkey", "o_orderstatus", "o_orderkey")
+    rows = rows.withColumn("key", F.when(F.col("o_orderkey") % 3 == 0, 7).otherwise(F.col("o_custkey")))
+    return P.ranked(rows, "key", ["o_orderstatus"]).drop("key")
+
+
 @query("o1_sort_by_time", "SELECT event_id, ts FROM events ORDER BY ts, event_id")
 def _(t):
     return t.events.select("event_id", "ts").orderBy("ts", "event_id")

@@ -108,6 +108,54 @@ def _(t):
     return R.scan_minute_indices(t.spark, f"{path}/*/*.txt")
 
 
+@query(
+    "s5_damaged_files",
+    """SELECT event_type, CASE event_type WHEN 'click' THEN 'broken archive' WHEN 'error' THEN 'not UTF-8'
+       WHEN 'view' THEN 'empty' WHEN 'signup' THEN 'a line that cannot be parsed' ELSE '' END AS reason,
+       CASE WHEN event_type = 'purchase' THEN count(DISTINCT date_trunc('minute', ts)) ELSE 0 END AS instants
+       FROM events GROUP BY event_type""",
+)
+def _(t):
+    """One folder for each kind of damage, made from the files of the event types."""
+    path = scratch(t.spark, "damaged")
+    kind = F.col("event_type")
+    lines = _index_lines(t, "minute")
+    broken = F.when(kind == "signup", F.regexp_replace("value", r"^(\s+\S+\s+\S+\s+)\S+", "$1??")).otherwise(F.col("value"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", broken.alias("v")))), lambda x: x["v"]), "\n")
+    files = lines.groupBy("event_type").agg(text.alias("text"))
+
+    def put(batches):
+        import gzip
+
+        import pyarrow as pa
+
+        for batch in batches:
+            names, data = batch.column(0).to_pylist(), []
+            for name, own in zip(names, batch.column(1).to_pylist()):
+                packed = gzip.compress(own.encode(), mtime=0)
+                data.append({"click": packed[: len(packed) // 2], "error": own.encode("utf-16"), "view": b""}.get(name, own.encode()))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(data, pa.binary())], ["event_type", "data"])
+
+    made = files.mapInArrow(put, "event_type string, data binary").collect()  # one small file an event type
+    hadoop = t.spark._jvm.org.apache.hadoop.fs
+    for r in made:
+        at = hadoop.Path(f"{path}/{r.event_type}/part.{'gz' if r.event_type == 'click' else 'txt'}")
+        out = at.getFileSystem(t.spark._jsc.hadoopConfiguration()).create(at)
+        out.write(bytearray(r.data))
+        out.close()
+    fields = ("Year", "Day", "Hour", "Minute", "AL_index", "SYM_H")
+    series, damaged = R.scan_index_reported(t.spark, f"{path}/*/*", fields)
+    folder = F.element_at(F.split("file", "/"), -2)
+    reasons = damaged.select(folder.alias("event_type"), F.regexp_replace("reason", ":.*", "").alias("reason"))
+    good = series.agg(F.lit("purchase").alias("event_type"), F.count("*").alias("instants"))
+    kinds = t.events.select("event_type").distinct()
+    return (
+        kinds.join(reasons, "event_type", "left")
+        .join(good, "event_type", "left")
+        .select("event_type", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("instants", F.lit(0)).alias("instants"))
+    )
+
+
 @query("s6_sentinel_scan", _first_sql("minute", "AL_index", gap="NULL", more=", -5e0 AS SYM_H", where="WHERE event_type <> 'view'"))
 def _(t):
     path = scratch(t.spark, "masked")
@@ -178,9 +226,9 @@ def _(t):
     schema = T.StructType(
         [T.StructField("status", T.StringType()), T.StructField("okey", T.LongType()), T.StructField("Te1", T.DoubleType())]
     )
-    for s in ("F", "O"):
-        S.append_frozen(t.obs.where(F.col("status") == s).select("Te1", "okey", "status"), path, schema)
-    return t.spark.read.parquet(path)
+    for s in ("F", "O", "F"):  # the first batch comes twice
+        S.append_frozen(t.obs.where(F.col("status") == s).select("Te1", "okey", "status"), path, schema, batch=s)
+    return t.spark.read.parquet(path).drop("batch")
 
 
 @query(
@@ -200,6 +248,22 @@ def _(t):
     return stats.select("name", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
 
 
+@query(
+    "s14_statistics_by_chunk",
+    with_obs(
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS name, {rnd(f'avg({c})', 5)} AS mean, {rnd(f'stddev_pop({c})', 5)} AS std FROM obs"
+            for c in ("Te1", "GLAT")
+        )
+    ),
+)
+def _(t):
+    path = scratch(t.spark, "moments")
+    for s in ("F", "O", "F"):  # chunk by chunk, one of them twice
+        S.write_moments(t.obs.where(F.col("status") == s), {"Te1": ["Te1"], "GLAT": ["GLAT"]}, path, s)
+    return S.read_moments(t.spark, path).select("name", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
+
+
 @query(
     "k3_split_and_save",
     """WITH h AS (SELECT *, CASE WHEN o_orderdate >= TIMESTAMP '1998-01-31' AND o_orderdate < TIMESTAMP '1998-03-07' THEN 1 ELSE 0 END AS held FROM orders),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -242,12 +242,35 @@ def to_number(c) -> Column:
 # -- attrition --------------------------------------------------------------
 
 
-def attrition(df: DataFrame, steps: Sequence[tuple[str, Column, Column | str | None]]) -> DataFrame:
+Steps = Sequence[tuple[str, Column, Column | str | None]]
+
+
+def attrition(df: DataFrame, steps: Steps) -> DataFrame:
     """Rows removed and left after each cleaning step, and the range of a column.
 
     ``steps`` are (name, keep-predicate, watched column). All steps are counted in
     one aggregate over cumulative flags, so the input is scanned once.
     """
+    return df.agg(*_attrition_metrics(steps)).select(F.inline(_attrition_rows(steps)))
+
+
+def observed_attrition(df: DataFrame, steps: Steps) -> tuple[DataFrame, Observation]:
+    """``df`` whose first action also takes the metrics of ``attrition``, without a scan of its own.
+
+    What ``attrition_of`` makes of them holds if every task ran once; a lost executor may count rows twice.
+    """
+    seen = Observation()
+    return df.observe(seen, *_attrition_metrics(steps)), seen
+
+
+def attrition_of(spark: SparkSession, seen: Observation, steps: Steps) -> DataFrame:
+    """The rows of ``attrition`` from the metrics of an action that has ended."""
+    metrics = seen.get
+    one = spark.range(1).select(*[F.lit(v).cast("double" if k[0] in "lh" else "bigint").alias(k) for k, v in metrics.items()])
+    return one.select(F.inline(_attrition_rows(steps)))
+
+
+def _attrition_metrics(steps: Steps) -> list[Column]:
     alive = F.lit(True)
     aggs = [F.count(F.lit(1)).alias("c0")]
     for i, (_, keep, watch) in enumerate(steps, start=1):
@@ -256,6 +279,10 @@ def attrition(df: DataFrame, steps: Sequence[tuple[str, Column, Column | str | N
         if watch is not None:
             w = F.col(watch) if isinstance(watch, str) else watch
             aggs += [F.min(F.when(alive, w)).alias(f"lo{i}"), F.max(F.when(alive, w)).alias(f"hi{i}")]
+    return aggs
+
+
+def _attrition_rows(steps: Steps) -> Column:
     rows = []
     for i, (name, _, watch) in enumerate(steps, start=1):
         null = F.lit(None).cast("double")
@@ -269,4 +296,4 @@ def attrition(df: DataFrame, steps: Sequence[tuple[str, Column, Column | str | N
                 (F.col(f"hi{i}").cast("double") if watch is not None else null).alias("high"),
             )
         )
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    return F.array(*rows)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lagfield.functions.timeops import from_micros, half_even_index, micros
 from lagfield.operators.bounded import settle
+from lagfield.operators.keyed import laid_out
 from lagfield.schema import LagSpec
 
 BROADCAST_BYTES = 256 * 1024 * 1024
@@ -62,13 +63,7 @@ def series_blocks(series: DataFrame, ts: str, value: str, spec: LagSpec) -> Data
     grouped = spread.groupBy("phase", "block").agg(
         F.array_sort(F.collect_list(F.struct(slot.alias("i"), F.col("v").alias("v")))).alias("e")
     )
-    gap = lambda k: F.array_repeat(F.lit(None).cast("double"), k)
-    before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get("e", k - 1)["i"])
-    filled = F.flatten(
-        F.transform("e", lambda x, k: F.concat(gap(x["i"] - before(k) - 1), F.array(x["v"])))
-    )
-    tail = gap(F.lit(size - 1) - F.element_at("e", F.lit(-1))["i"])
-    packed = grouped.select("phase", "block", F.concat(filled, tail).alias("h"))
+    packed = grouped.select("phase", "block", laid_out(F.col("e"), size).alias("h"))
     # A doubled instant would shift every later entry, so it must not pass.
     doubled = F.raise_error(F.lit("series instants are not unique")).cast("array<double>")
     return packed.select("phase", "block", F.when(F.size("h") == size, F.col("h")).otherwise(doubled).alias("history"))
@@ -113,21 +108,30 @@ def attach_lags(
     ts: str,
     groups: Sequence[tuple[DataFrame, str, str, str, LagSpec]],
     broadcast_bytes: int = BROADCAST_BYTES,
+    nearest: Sequence[str] = (),
 ) -> DataFrame:
     """Add one lag array per group; a group is (series, its time, its value, output, spec).
 
+    Groups whose output is in ``nearest`` take the value of the nearest key instead (see
+    ``nearest_on_grid``); their specs must round.
+
     Element k of an array is the series value exactly k·step before the row's
     instant (the rounded instant when the spec rounds), null when there is none.
     Series instants must be unique.
     """
-    for *_, spec in groups:
+    for *_, out, spec in groups:
         if spec.half_even and (spec.step % 2) and spec.count > 1:
             raise ValueError("half-even rounding of odd steps needs attach_lags_by_join")
+        if out in nearest and not spec.half_even:
+            raise ValueError("nearest keys are known on the grid only: the spec must round")
     fits = block_bytes(groups) <= broadcast_bytes
     base = rows if fits else rows.select(ts).distinct()
     for series, s_ts, value, out, spec in groups:
-        blocks = series_blocks(series, s_ts, value, spec)
+        own = nearest_on_grid(series, s_ts, value, spec.unit_us) if out in nearest else series
+        blocks = series_blocks(own, s_ts, value, spec)
         base = _look_up(base, ts, F.broadcast(blocks) if fits else blocks, out, spec)
+        if out in nearest:
+            base = _beyond_ends(base, ts, series, s_ts, value, out, spec)
     if fits:
         return base
     keyed = base.withColumnRenamed(ts, "_t")
@@ -282,27 +286,72 @@ def attach_nearest(
     return joined.select(*cols)
 
 
-def attach_nearest_lags(
-    rows: DataFrame, ts: str, series: DataFrame, s_ts: str, value: str, out: str, spec: LagSpec
-) -> DataFrame:
-    """Lag array by nearest key: each lagged (and rounded) instant is looked up alone.
+# Grid points whose nearest keys are found in one window.
+STRETCH = 4096
 
-    Works on the distinct instants; the result is joined back once.
+
+def nearest_on_grid(series: DataFrame, ts: str, value: str, unit_us: int) -> DataFrame:
+    """(ts, value) at every grid point from the first key to the last: the value of the nearest key, a tie to the later.
+
+    Of the keys between two grid points only the first and the last can be nearest to one, so the
+    series is reduced to those first. The grid is cut into stretches of ``STRETCH`` points; inside
+    one, windows find the neighbours on either side, and what lies beyond comes from one row a
+    stretch. A plan of aggregates and windows: nothing runs when it is built.
     """
-    step_us = spec.step * spec.unit_us
-    lagged = (
-        rows.select(ts)
-        .where(F.col(ts).isNotNull())
-        .distinct()
-        .select(ts, F.explode(F.sequence(F.lit(0), F.lit(spec.count - 1))).alias("_k"))
-        .withColumn("_u", micros(ts) - F.col("_k").cast("bigint") * F.lit(step_us))
+    from pyspark.sql import Window as W
+
+    points = series.where(F.col(ts).isNotNull()).select(F.struct(micros(ts).alias("u"), F.col(value).alias("v")).alias("k"))
+    cells = points.groupBy(_whole("k.u", unit_us).alias("g")).agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    stretch = F.floor(F.col("g") / STRETCH).cast("bigint")
+    ends = cells.agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a IS NOT NULL")
+    # The last key may lie between its cell's grid point and the next one.
+    stretches = ends.select(
+        "a", "b", F.explode(F.sequence(_whole("a", STRETCH), _whole(F.col("b") + 1, STRETCH))).alias("s")
     )
-    if spec.half_even:
-        lagged = lagged.withColumn("_u", half_even_index("_u", spec.unit_us) * F.lit(spec.unit_us))
-    lagged = lagged.select(ts, "_k", from_micros("_u").alias("_at"))
-    found = attach_nearest(lagged, "_at", series, s_ts, value, "_v")
-    vector = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda x: x["_v"])
-    per_ts = found.groupBy(ts).agg(vector.alias(out))
-    empty = F.array_repeat(F.lit(None).cast("double"), spec.count)
-    joined = rows.join(per_ts, ts, "left")
-    return joined.select(*rows.columns, F.coalesce(out, empty).alias(out))
+    of_stretch = cells.groupBy(stretch.alias("s")).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    along = W.orderBy("s")  # one row a stretch
+    known = stretches.join(of_stretch, "s", "left").select(
+        "s",
+        "a",
+        "b",
+        F.last("last", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("before"),
+        F.first("first", ignorenulls=True).over(along.rowsBetween(1, W.unboundedFollowing)).alias("after"),
+    )
+    grid = known.select(
+        "*", F.explode(F.sequence(F.greatest("a", F.col("s") * STRETCH), F.least(F.col("b") + 1, (F.col("s") + 1) * STRETCH - 1))).alias("g")
+    )
+    inside = W.partitionBy("s").orderBy("g")
+    near = grid.join(cells, "g", "left").select(
+        "g",
+        F.coalesce(F.last("last", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, -1)), "before").alias("p"),
+        F.coalesce(F.first("first", ignorenulls=True).over(inside.rowsBetween(0, W.unboundedFollowing)), "after").alias("n"),
+    )
+    at = F.col("g") * F.lit(unit_us)
+    earlier = F.col("n").isNull() | (F.col("p").isNotNull() & (at - F.col("p.u") < F.col("n.u") - at))
+    return near.select(from_micros(at).alias(ts), F.when(earlier, F.col("p.v")).otherwise(F.col("n.v")).alias(value))
+
+
+def _beyond_ends(rows: DataFrame, ts: str, series: DataFrame, s_ts: str, value: str, out: str, spec: LagSpec) -> DataFrame:
+    """Lags before the first key or after the last one take its value."""
+    key = F.struct(micros(s_ts).alias("u"), F.col(value).cast("double").alias("v"))
+    points = series.where(F.col(s_ts).isNotNull()).select(key.alias("k"))
+    ends = F.broadcast(points.agg(F.min("k").alias("_first"), F.max("k").alias("_last")))  # one row
+    at = lambda k: (_grid_index(ts, spec) - k * spec.step) * F.lit(spec.unit_us)
+    value_at = lambda x, k: (
+        F.when(at(k) < F.col("_first.u"), F.col("_first.v")).when(at(k) > F.col("_last.u"), F.col("_last.v")).otherwise(x)
+    )
+    return rows.crossJoin(ends).select(*[c for c in rows.columns if c != out], F.transform(out, value_at).alias(out))
+
+
+def attach_nearest_lags(
+    rows: DataFrame,
+    ts: str,
+    series: DataFrame,
+    s_ts: str,
+    value: str,
+    out: str,
+    spec: LagSpec,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Lag array by nearest key, for instants that are rounded to the grid."""
+    return attach_lags(rows, ts, [(series, s_ts, value, out, spec)], broadcast_bytes, nearest=[out])

@@ -1,12 +1,14 @@
-"""Exact percentiles without holding a group in one task.
+"""Exact percentiles by radix selection, in three lazy aggregates and without a group in one task.
 
-Two passes. A mergeable sketch brackets each wanted percentile between two values.
-Then one aggregate reduces every row to a small key: the number of brackets lying
-above it and, inside a bracket (a fraction of a percent of the rows), its value.
-Counts below each bracket and the exact order statistics inside follow from that
-table. A value shared by a third of all rows is one row after the map-side combine.
+A double is read as a 64-bit integer of the same order. One aggregate counts the rows of
+every group by the first 21 bits; running counts over these bins tell in which one each
+wanted rank lies. The second aggregate counts the rows of those bins by 21 more bits, the third by
+value. So a percentile costs three scans of one column whatever its values are, nothing is
+written or run when the plan is built, and what is shuffled are counts: a value that a third of
+all rows share is one number a task. Windows run over counted bins, 2^22 a group at most.
 
-The sketch and the reduced table are written once, since later steps read them twice.
+Rows meet the bins of their group in ``_beside``: those of large groups by a broadcast that is
+bounded by the share of the rows a large group has, those of all other groups by shuffle.
 """
 
 from __future__ import annotations
@@ -17,42 +19,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lagfield.operators.bounded import settle
-
-SKETCH_ACCURACY = 5000
-MARGIN = 4.0 / SKETCH_ACCURACY
-SUB_BINS = 1024
-# In a smaller group the margin is under two ranks: its bracket is its whole range.
-FEW = int(2 / MARGIN)
-
-
-def _sketch(data: DataFrame, by: Sequence[str], probs: Sequence[float], extra: Sequence[Column] = ()) -> DataFrame:
-    """One row per group: count and, per percentile, an enclosing pair of values."""
-    low = [max(0.0, p - MARGIN) for p in probs]
-    high = [min(1.0, p + MARGIN) for p in probs]
-    points = ", ".join(f"{p!r}D" for p in low + high)
-    k = len(probs)
-    sketched = data.groupBy(*by).agg(
-        F.expr("count(1)").alias("_n"),
-        F.expr("min(v)").alias("_min"),
-        F.expr("max(v)").alias("_max"),
-        F.expr(f"approx_percentile(v, array({points}), {SKETCH_ACCURACY})").alias("_q"),
-        *extra,
+# Bits counted by the second and the third aggregate.
+MIDDLE, LAST = 21, 22
+# Groups with at least 1/GROUPS of all rows are large; there are GROUPS of them at most.
+GROUPS = 10_000
+
+
+def ordered_bits(values: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """(kept…, v, key): the bits of the double ``v`` as a signed integer of the same order."""
+    own = [f"`{c}`" for c in kept]
+    # A power of two at or one step from the magnitude, which the next projection corrects.
+    near = "pow(2D, CAST(greatest(-1074D, least(1023D, floor(log2(CASE WHEN a > 0 AND a < double('inf') THEN a ELSE 1D END)))) AS int))"
+    fixed = "CASE WHEN near > a THEN near / 2 WHEN a / 2 >= near THEN near * 2 ELSE near END AS unit"
+    bits = (
+        "CASE WHEN a = 0 THEN 0L WHEN a = double('inf') THEN 9218868437227405312L"
+        " WHEN a < 2.2250738585072014E-308D THEN CAST(a / 4.9E-324D AS bigint)"
+        " ELSE CAST(round(log2(unit)) + 1023 AS bigint) * 4503599627370496L + CAST((a / unit - 1) * 4503599627370496D AS bigint) END"
     )
-    ends = [
-        f"struct({p!r}D AS p, {p!r}D * (_n - 1) AS rank,"
-        f" {'_min' if low[i] <= 0 else f'IF(_n < {FEW}, _min, _q[{i}])'} AS lo,"
-        f" {'_max' if high[i] >= 1 else f'IF(_n < {FEW}, _max, _q[{k + i}])'} AS hi)"
-        for i, p in enumerate(probs)
-    ]
-    return sketched.selectExpr("*", f"array({', '.join(ends)}) AS _w").drop("_q")
+    sized = values.selectExpr(*own, "v", "abs(v) AS a").selectExpr("*", f"{near} AS near").selectExpr(*own, "v", "a", fixed)
+    return sized.selectExpr(*own, "v", f"{bits} AS bits").selectExpr(*own, "v", "IF(v < 0, -bits, bits) AS key")
 
 
-def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """(by…, p, value): percentiles with linear interpolation between order statistics."""
-    by, probs = list(by), sorted(float(p) for p in probs)
-    data = _values(df, value, by)
-    return _pick(data, settle(_sketch(data, by, probs), "sketch"), by, probs)
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null; the key columns of the left stay."""
+    if not keys:
+        return left.crossJoin(right)  # one row on the right
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in keys})
+    cond = F.expr(" AND ".join(f"`{c}` <=> `_r_{c}`" for c in keys))
+    return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in keys])
+
+
+def _beside(rows: DataFrame, table: DataFrame, by: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of their one row in ``table`` (by…, keys…, …, large).
+
+    ``large`` marks the table rows of large groups. They are broadcast, GROUPS times the rows a
+    group has in the table at most; rows of other groups are shuffled, if there are any.
+    """
+    large = F.broadcast(table.where("large").drop("large"))
+    if not by:
+        return _joined(rows, large, keys)
+    small = table.where("NOT large").drop("large")
+    # One row if any group is not large. Being broadcast it is known before the rows are read,
+    # and without it adaptive execution leaves out this whole side.
+    any_small = F.broadcast(small.agg(F.count("*").alias("_n")).where("_n > 0").select(F.lit(1).alias("_any")))
+    others = _joined(rows.crossJoin(any_small).drop("_any"), F.broadcast(table.where("large").select(*by).distinct()), by, "left_anti")
+    return _joined(rows, large, [*by, *keys]).unionByName(_joined(others, small, [*by, *keys]))
 
 
 def _values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -60,67 +71,58 @@ def _values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     return data.where("v IS NOT NULL AND NOT isnan(v)")
 
 
-def _pick(data: DataFrame, sketch: DataFrame, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    k = len(probs)
-    w = sketch.select(*by, "_w")
-    tagged = _same_keys(data, w, by) if by else data.crossJoin(w)
-    above = " + ".join(f"CAST(v < _w[{i}].lo AS int)" for i in range(k))
-    inside = " OR ".join(f"(v >= _w[{i}].lo AND v <= _w[{i}].hi)" for i in range(k))
-    reduced = (
-        tagged.selectExpr(*by, f"{above} AS _m", f"CASE WHEN {inside} THEN v END AS v")
-        .groupBy(*by, "_m", "v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    reduced = settle(reduced, "brackets")
-
-    # Brackets ascend with p, so a row lies below the last ``_m`` of them.
-    counted = ", ".join(f"struct({p!r}D AS p, sum(IF(_m >= {k - i}, _c, 0L)) AS below)" for i, p in enumerate(probs))
-    below = reduced.groupBy(*by).agg(F.expr(f"array({counted})").alias("_below"))
-    meta = _same_keys(w, below, by) if by else w.crossJoin(below)
-    meta = meta.selectExpr(*by, "arrays_zip(_w, _below) AS _z")
-
-    points = reduced.where("v IS NOT NULL")
-    points = _same_keys(points, meta, by) if by else points.crossJoin(meta)
-    points = points.selectExpr(*by, "v", "_c", "explode(_z) AS z").where("v >= z._w.lo AND v <= z._w.hi")
-    share = "try_divide(v - z._w.lo, z._w.hi - z._w.lo)"
-    points = points.selectExpr(
-        *by,
-        "z._w.p AS p",
-        "z._w.rank AS rank",
-        "z._below.below AS _below",
-        "v",
-        "_c",
-        f"coalesce(least(floor({share} * {SUB_BINS}), {SUB_BINS - 1}), 0) AS _bin",
-    )
+def _bins(counts: DataFrame, group: Sequence[str], digit: str) -> DataFrame:
+    """``counts`` with the number of rows of the group's smaller bins (``start``) and of all its bins (``total``)."""
+    whole = W.partitionBy(*group)
+    before = whole.orderBy(digit).rowsBetween(W.unboundedPreceding, -1)
+    return counts.withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0))).withColumn("total", F.sum("c").over(whole))
 
-    # The sub-bins (at most SUB_BINS per bracket) that hold the wanted ranks.
-    key = [*by, "p", "rank"]
-    run = W.partitionBy(*key).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    bins = points.groupBy(*key, "_below", "_bin").agg(F.sum("_c").alias("_m"))
-    bins = bins.withColumn("_start", F.col("_below") + F.coalesce(F.sum("_m").over(run), F.lit(0)))
-    covers = lambda r: f"(_start <= {r} AND {r} < _start + _m)"
-    hits = bins.where(f"{covers('floor(rank)')} OR {covers('ceil(rank)')}").select(*key, "_bin", "_start")
-
-    # Exact order statistics inside those bins.
-    order = W.partitionBy(*key, "_bin").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    placed = _same_keys(points, hits, [*key, "_bin"]).withColumn("_end", F.sum("_c").over(order))
-    holds = lambda r: f"_start + _end - _c <= {r} AND {r} < _start + _end"
-    picked = placed.groupBy(*key).agg(
-        F.expr(f"max(CASE WHEN {holds('floor(rank)')} THEN v END)").alias("_lo"),
-        F.expr(f"max(CASE WHEN {holds('ceil(rank)')} THEN v END)").alias("_hi"),
-    )
-    value = (
-        "CASE WHEN _lo IS NULL OR _hi IS NULL THEN CAST(raise_error('percentile outside its bracket') AS double)"
-        " ELSE _lo + (rank - floor(rank)) * (_hi - _lo) END AS value"
+
+def _hits(bins: DataFrame, group: Sequence[str], digit: str) -> DataFrame:
+    """The bins that hold wanted ranks: (group…, digit, n, large, wanted), ranks now counted from the bin's first row."""
+    inside = "filter(wanted, t -> t.k >= start AND t.k < start + c)"
+    moved = "transform(own, t -> named_struct('p', t.p, 'upper', t.upper, 'k', t.k - start)) AS wanted"
+    found = bins.selectExpr(*group, digit, "n", "large", "start", f"{inside} AS own").where("size(own) > 0")
+    return found.selectExpr(*group, digit, "n", "large", moved)
+
+
+def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by…, p, value): percentiles with linear interpolation between order statistics.
+
+    Nulls and NaN are left out, infinite values are values (between minus infinity and a larger one lies
+    minus infinity, between a smaller one and infinity infinity); null group keys are a group of their
+    own; a group without values has no row. ``by`` columns must not be called v, key, p, c or n.
+    """
+    by, probs = list(by), sorted({float(p) for p in probs})
+    keyed = ordered_bits(_values(df, value, by), by)
+    first = f"shiftright(key, {MIDDLE + LAST}) AS d1"
+    middle = f"shiftright(key, {LAST}) AS d2"
+
+    counts = keyed.selectExpr(*by, first).groupBy(*by, "d1").agg(F.count("*").alias("c"))
+    everything = F.broadcast(counts.agg(F.sum("c").alias("all")))  # one row
+    ranks = ", ".join(
+        f"named_struct('p', {p!r}D, 'upper', {u}, 'k', CAST({f}({p!r}D * (total - 1)) AS bigint))"
+        for p in probs
+        for u, f in (("false", "floor"), ("true", "ceil"))
     )
-    return picked.selectExpr(*by, "p", value)
+    bins = _bins(counts, by, "d1").crossJoin(everything)
+    bins = bins.selectExpr("*", "total AS n", f"total >= `all` / {GROUPS} AS large", f"array({ranks}) AS wanted")
+    hits = _hits(bins, by, "d1")
 
+    keys = [*by, "d1"]
+    rows = _beside(keyed.selectExpr(*by, first, middle), hits.select(*keys, "large"), by, ["d1"])
+    counts = rows.groupBy(*keys, "d2").agg(F.count("*").alias("c"))
+    hits = _hits(_bins(_joined(counts, hits, keys), keys, "d2"), by, "d2")
 
-def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on keys where null equals null; the key columns of the left stay."""
-    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in keys})
-    cond = F.expr(" AND ".join(f"`{c}` <=> `_r_{c}`" for c in keys))
-    return left.join(renamed, cond).drop(*[f"_r_{c}" for c in keys])
+    keys = [*by, "d2"]
+    rows = _beside(keyed.selectExpr(*by, middle, "v"), hits.select(*keys, "large"), by, ["d2"])
+    counts = rows.groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    hits = _hits(_bins(_joined(counts, hits, keys), keys, "v"), by, "v")
+
+    found = hits.selectExpr(*by, "v", "n", "inline(wanted)").groupBy(*by, "p", "n")
+    ends = found.agg(F.max(F.expr("IF(upper, NULL, v)")).alias("lo"), F.max(F.expr("IF(upper, v, NULL)")).alias("hi"))
+    share = "(p * (n - 1) - floor(p * (n - 1)))"
+    return ends.selectExpr(*by, "p", f"CASE WHEN lo = hi OR {share} = 0 OR lo = -double('inf') THEN lo ELSE lo + {share} * (hi - lo) END AS value")
 
 
 def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -132,29 +134,19 @@ def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataF
 
 
 def describe(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """(column, statistic, value): count, mean, sample std, min, percentiles, max.
-
-    The plain statistics ride along with the first percentile pass."""
-    data, probs = melt(df, columns).withColumnRenamed("value", "v"), sorted(float(p) for p in probs)
-    plain = {"_mean": "avg(v)", "_std": "stddev_samp(v)"}
-    sketch = settle(_sketch(data, ["column"], probs, [F.expr(e).alias(n) for n, e in plain.items()]), "sketch")
-    base = sketch.selectExpr("`column`", f"inline(array({', '.join(_PLAIN_ROWS)}))")
-    points = _pick(data, sketch, ["column"], probs).selectExpr(
+    """(column, statistic, value): count, mean, sample std, min, percentiles, max."""
+    plain = {"count": "count({})", "mean": "avg({})", "std": "stddev_samp({})", "min": "min({})", "max": "max({})"}
+    aggs, rows = [], []
+    for i, c in enumerate(columns):
+        x = f"nanvl(CAST(`{c}` AS double), NULL)"
+        aggs += [F.expr(e.format(x)).alias(f"{n}{i}") for n, e in plain.items()]
+        rows += [f"struct('{c}' AS `column`, '{n}' AS statistic, CAST({n}{i} AS double) AS value)" for n in plain]
+    base = df.agg(*aggs).selectExpr(f"inline(array({', '.join(rows)}))")
+    present = base.where("value IS NOT NULL AND NOT (statistic = 'count' AND value = 0) OR statistic = 'std'")
+    points = exact_percentiles(melt(df, columns), "value", probs, ["column"]).selectExpr(
         "`column`", "concat('p', CAST(p AS string)) AS statistic", "value"
     )
-    return base.unionByName(points)
-
-
-_PLAIN_ROWS = [
-    f"struct('{name}' AS statistic, {column} AS value)"
-    for name, column in (
-        ("count", "CAST(_n AS double)"),
-        ("mean", "_mean"),
-        ("std", "_std"),
-        ("min", "_min"),
-        ("max", "_max"),
-    )
-]
+    return present.unionByName(points)
 
 
 def box_summary(df: DataFrame, columns: Sequence[str], bucket: Column, name: str = "bucket") -> DataFrame:
@@ -163,23 +155,18 @@ def box_summary(df: DataFrame, columns: Sequence[str], bucket: Column, name: str
     Whiskers reach the furthest value within 1.5 interquartile ranges of the box.
     """
     tagged = df.withColumn(name, bucket).where(F.col(name).isNotNull())
-    long = melt(tagged, columns, [name])
-    q = exact_percentiles(long, "value", [0.25, 0.5, 0.75], ["column", name])
-    box = (
-        q.groupBy("column", name)
-        .pivot("p", [0.25, 0.5, 0.75])
-        .agg(F.first("value"))
-        .toDF("column", name, "q1", "median", "q3")
-    )
+    long, by = melt(tagged, columns, [name]), ["column", name]
+    q = exact_percentiles(long, "value", [0.25, 0.5, 0.75], by)
+    named = [F.max(F.when(F.col("p") == p, F.col("value"))).alias(c) for p, c in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
+    sizes = long.groupBy(*by).agg(F.count("*").alias("n"))
+    everything = F.broadcast(sizes.agg(F.sum("n").alias("all")))  # one row
+    box = _joined(q.groupBy(*by).agg(*named), sizes, by).crossJoin(everything)
+    box = box.selectExpr(*by, "q1", "median", "q3", f"n >= `all` / {GROUPS} AS large")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    lower, upper = F.col("q1") - reach, F.col("q3") + reach
-    joined = long.join(box, ["column", name])
-    fits = F.col("value").between(lower, upper)
-    return joined.groupBy("column", name).agg(
+    fits = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
+    return _beside(long, box, by, []).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        F.first("q1").alias("q1"),
-        F.first("median").alias("median"),
-        F.first("q3").alias("q3"),
+        *(F.max(c).alias(c) for c in ("q1", "median", "q3")),
         F.min(F.when(fits, F.col("value"))).alias("low_whisker"),
         F.max(F.when(fits, F.col("value"))).alias("high_whisker"),
         F.count_if(~fits).alias("outliers"),

@@ -3,21 +3,24 @@
 A row's position in the random order is the md5 of ``seed|key``. The order depends
 on nothing but the key, so a lost task recomputes the same sample, and any SQL
 engine can reproduce it. A null key is an error, and so is a doubled key where it would
-make an exact size inexact.
+make an exact size inexact; elsewhere rows of one key follow each other by their columns.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Sequence
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lagfield.operators.bounded import settle
 
 PREFIX = 3  # hex digits: 4096 slices of the hash space
-SLICE_ROWS = 4_000_000  # wanted upper limit of rows numbered in one window
 
 
 def hash_order(key, seed: int = 42) -> Column:
@@ -88,24 +91,31 @@ def sample_at_most(df: DataFrame, key: str, n: int | None, seed: int = 42) -> Da
 
 
 def ranked(df: DataFrame, key: str, by: Sequence[str] = (), seed: int = 42, name: str = "rank") -> DataFrame:
-    """Number rows 1.. in hash order within ``by``, without one task per ``by`` value.
+    """Number rows 1.. in hash order within ``by``; rows of one key by their columns in turn, nulls first.
 
-    Rows are numbered inside (by, hash slice) windows, which are even however uneven
-    ``by`` is, and shifted by the slice's running total. The number of slices grows
-    with the row count (a sixteenfold step each time), so a window stays small.
+    The rows are dealt by ranges of (by, hash, columns, number at the source) and numbered in each range;
+    ranges and groups then begin where the counts of those before them end. No window and no
+    group is involved, so a key or a group with most of the rows spreads over many ranges, rows
+    equal in all columns included. The rows are written once before, which fixes their number at the
+    source, and once with their place.
     """
-    by, digits, rows = list(by), PREFIX, df.count()
-    while rows / 16**digits > SLICE_ROWS:
-        digits += 1
-    h = df.withColumn("_h", hash_order(key, seed))
-    cut = F.substring("_h", 1, digits)
-    offsets = _slice_counts(h, [cut], by).select(*by, "_s", "_before")
-    inside = W.partitionBy(*by, "_s").orderBy("_h")
-    local = h.withColumn("_s", cut).withColumn("_r", F.row_number().over(inside))
-    # Null groups are groups of their own.
-    same = [local[c].eqNullSafe(offsets[c]) for c in [*by, "_s"]]
-    joined = local.join(offsets, functools.reduce(and_, same))
-    return joined.select(*[local[c] for c in df.columns], (F.col("_r") + F.col("_before")).cast("bigint").alias(name))
+    by = list(by)
+    ordered = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    own = settle(df.withColumns({"_h": hash_order(key, seed), "_i": F.monotonically_increasing_id()}), "ranked")
+    order = [*by, "_h", *(c for c in ordered if c not in by), "_i"]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = own.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = settle(dealt.withColumn("_p", F.monotonically_increasing_id()), "ranges")
+    part, inside = F.shiftright("_p", 33), F.col("_p").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_r")).count().orderBy("_r").collect()  # one row a range
+    ahead = list(itertools.accumulate((r[1] for r in sizes), initial=1))
+    offsets = df.sparkSession.createDataFrame([(r[0], a) for r, a in zip(sizes, ahead)], "_r long, _a long")
+    found = placed.withColumn("_r", part).join(F.broadcast(offsets), "_r").withColumn("_n", inside + F.col("_a"))
+    if not by:
+        return found.select(*df.columns, F.col("_n").alias(name))
+    begins = found.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.min("_n").alias("_b"))
+    same = functools.reduce(and_, (F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by))  # null groups are groups of their own
+    return found.join(begins, same).select(*df.columns, (F.col("_n") - F.col("_b") + 1).alias(name))
 
 
 def epoch_shuffle(df: DataFrame, key: str, epoch: int) -> DataFrame:

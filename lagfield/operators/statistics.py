@@ -12,8 +12,8 @@ from lagfield.functions.transforms import cross_entropy
 from lagfield.schema import ABSOLUTE_THRESHOLDS, RELATIVE_THRESHOLDS
 
 
-def pooled_stats(df: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
-    """(name, mean, std): mean and population std over all cells of each group.
+def moments(df: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
+    """(name, n, mean, m2) over all cells of each group: count, mean, sum of squared deviations.
 
     A group lists scalar columns, array columns, or both. Cells are unfolded inside
     the scan and aggregated at once (moments merge, so partial results combine before
@@ -28,13 +28,40 @@ def pooled_stats(df: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
         f"struct('{g}' AS name, concat({', '.join(part(c) for c in cols)}) AS cells)" for g, cols in groups.items()
     )
     cells = df.selectExpr(f"inline(array({packs}))").selectExpr("name", "explode(cells) AS v")
+    found = cells.where("v IS NOT NULL AND NOT isnan(v)").groupBy("name")
+    return found.agg(
+        F.count("v").alias("n"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count("v")).alias("m2")
+    )
+
+
+def merged_moments(parts: DataFrame) -> DataFrame:
+    """The moments (name, n, mean, m2) of all chunks together, from those of each chunk.
+
+    Exact in any order and grouping of chunks: the deviations of the chunks' means from
+    the common mean join their own squared deviations. ``parts`` has one row a chunk and name, so both
+    steps are small; no cell is read again.
+    """
+    some = parts.where("n > 0")
+    whole = some.groupBy("name").agg(F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
+    apart = F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("_mean"), 2)
     return (
-        cells.where("v IS NOT NULL AND NOT isnan(v)")
+        some.join(whole, "name")
         .groupBy("name")
-        .agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+        .agg(F.first("_n").alias("n"), F.first("_mean").alias("mean"), F.sum(apart).alias("m2"))
     )
 
 
+def stats_of(merged: DataFrame, sample: bool = False) -> DataFrame:
+    """(name, mean, std) of moments: population std, or sample std (null for a single value)."""
+    n = F.col("n") - 1 if sample else F.col("n")
+    return merged.select("name", "mean", F.sqrt(F.try_divide("m2", n)).alias("std"))
+
+
+def pooled_stats(df: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
+    """(name, mean, std): mean and population std over all cells of each group."""
+    return stats_of(moments(df, groups))
+
+
 def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(name, mean, std): mean and sample std of each column, in one pass."""
     aggs, rows = [], []

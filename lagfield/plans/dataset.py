@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +16,11 @@ from lagfield.operators.lags import (
     BROADCAST_BYTES,
     attach_lags,
     attach_lags_by_join,
-    attach_nearest_lags,
     widen,
 )
 from lagfield.operators.sampling import cut_hash, hash_order, ranked, split_exact
 from lagfield.schema import GRID_MISSING, INSTANT, INSTANT_SPEC, LAG_GROUPS, TIME
+from lagfield.sources.publish import publish
 from lagfield.sources.writers import write_chunks, write_in_files, write_split
 
 EARLIEST = "1990-01-01"
@@ -81,20 +82,15 @@ def add_index_features(
     """
     df = df.drop("AL_index", "SYM_H")
     sources = {"AL_index": series.minute, "SYM_H": series.minute, "f107_index": series.flux}
-    if method == "exact":
+    if method in ("exact", "nearest"):
         groups = [(sources[g], "ts", g, g, spec) for g, spec in LAG_GROUPS.items()]
         groups.append((series.kp, "ts", INSTANT, INSTANT, INSTANT_SPEC))
-        out = attach_lags(df, ts, groups, broadcast_bytes)
+        out = attach_lags(df, ts, groups, broadcast_bytes, ["f107_index", INSTANT] if method == "nearest" else [])
     elif method == "exact_join":
         out = df
         for g, spec in LAG_GROUPS.items():
             out = attach_lags_by_join(out, ts, sources[g], "ts", g, g, spec)
         out = attach_lags_by_join(out, ts, series.kp, "ts", INSTANT, INSTANT, INSTANT_SPEC)
-    elif method == "nearest":
-        minute = [(sources[g], "ts", g, g, LAG_GROUPS[g]) for g in ("AL_index", "SYM_H")]
-        out = attach_lags(df, ts, minute, broadcast_bytes)
-        out = attach_nearest_lags(out, ts, series.flux, "ts", "f107_index", "f107_index", LAG_GROUPS["f107_index"])
-        out = attach_nearest_lags(out, ts, series.kp, "ts", INSTANT, INSTANT, INSTANT_SPEC)
     else:
         raise ValueError(f"unknown method {method!r}")
     return out.withColumn(INSTANT, F.get(INSTANT, F.lit(0)))
@@ -139,6 +135,27 @@ def save_splits(
         write_in_files(splits["train"], path, chunk_rows)
 
 
+class Saved(NamedTuple):
+    """A saved table and the row attrition of the cleaning that led to it."""
+
+    table: DataFrame
+    audit: DataFrame
+
+
+def clean_audited(raw: DataFrame, earliest: str = EARLIEST) -> Saved:
+    """Cleaned observations with their row keys, written once, and the audit of the same pass over ``raw``.
+
+    The audit's numbers are taken on the way. They are held against the rows that were
+    written; if a lost executor made them differ, they are counted again from ``raw``.
+    """
+    steps = cleaning_steps(earliest)
+    watched, seen = V.observed_attrition(raw, steps)
+    keyed = settle(with_row_key(clean(watched, earliest)), "observations")
+    spark = raw.sparkSession
+    exact = seen.get.get(f"c{len(steps)}") == keyed.count()
+    return Saved(keyed, V.attrition_of(spark, seen, steps) if exact else audit(raw, earliest))
+
+
 def create_dataset(
     raw: DataFrame,
     series: IndexSeries,
@@ -150,22 +167,23 @@ def create_dataset(
     earliest: str = EARLIEST,
     chunk_rows: int = 250_000,
     **features,
-) -> DataFrame:
-    """Raw observations to saved feature splits under ``base``, each step once; returns the saved table.
+) -> Saved:
+    """Raw observations to saved feature splits under ``base``, each step once; the saved table and the cleaning's audit.
 
-    Rows get their key and their split while they are still narrow; features are attached to
+    Raw observations are read once. Rows get their key and their split while they are still narrow; features are attached to
     all splits in one pass and written once, in one folder for each split. The series are
-    written before that, so their files are parsed once however many lag groups read them.
+    written before that, so their files are parsed once however many lag groups read them. The
+    folder ``base`` is replaced as a whole: a job that fails leaves the old dataset.
     """
-    keyed = settle(with_row_key(clean(raw, earliest)), "observations")
+    keyed, counted = clean_audited(raw, earliest)
     rest = keyed.where(V.outside_window(TIME, start, end))
     cut = cut_hash(rest, "row_key", n_test, seed)
     normal = F.lit(True) if cut is None else hash_order("row_key", seed) <= cut
     name = F.when(V.in_window(TIME, start, end), "test-storm").when(normal, "test-normal").otherwise("train")
     ready = IndexSeries(*(settle(s, n) for s, n in ((series.minute, "minute"), (series.flux, "flux"), (series.kp, "kp"))))
     table = feature_table(keyed.withColumn("split", name), ready, **features)
-    table.write.mode("overwrite").option("maxRecordsPerFile", chunk_rows).partitionBy("split").parquet(base)
-    return raw.sparkSession.read.schema(table.schema).parquet(base)
+    publish(raw.sparkSession, base, table.write.option("maxRecordsPerFile", chunk_rows).partitionBy("split").parquet)
+    return Saved(raw.sparkSession.read.schema(table.schema).parquet(base), counted)
 
 
 def load_series(spark: SparkSession, minute: str, flux: str, kp: str, mask: bool = False) -> IndexSeries:

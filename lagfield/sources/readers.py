@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bz2
+import gzip
+import io
+import zlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +17,7 @@ from pyspark.sql import types as T
 from lagfield.functions.timeops import day_of_year_timestamp, lenient_timestamp
 from lagfield.functions.transforms import not_nan
 from lagfield.operators.cleaning import keep_existing, sentinel_to_null
+from lagfield.operators.bounded import settle
 from lagfield.operators.keyed import first_per_key
 from lagfield.schema import SCAN_MISSING, observation_schema
 
@@ -36,13 +42,18 @@ def scan_observations(
 
 
 def _lines(spark: SparkSession, paths) -> DataFrame:
-    """Whitespace tokens of each non-blank line, with its file and byte block."""
+    """Whitespace tokens of each non-blank line, with its file and byte block.
+
+    A file that breaks off gives the lines before that; ``damaged_files`` tells which do.
+    """
     meta = F.col("_metadata")
     return (
-        spark.read.text(paths)
+        spark.read.option("ignoreCorruptFiles", True)
+        .text(paths)
         .where(F.trim("value") != "")
         .select(
             F.split(F.trim("value"), r"\s+").alias("tokens"),
+            F.is_valid_utf8("value").alias("legible"),
             meta["file_path"].alias("file"),
             meta["file_block_start"].alias("block"),
         )
@@ -66,21 +77,56 @@ def split_fields(lines: DataFrame, names: Sequence[str]) -> DataFrame:
     position = F.struct(
         F.col("file").alias("f"), F.col("block").alias("b"), F.monotonically_increasing_id().alias("i")
     )
-    return lines.select("file", position.alias("position"), bad.alias("bad"), *[v.alias(n) for n, v in number.items()])
+    return lines.select("file", "legible", position.alias("position"), bad.alias("bad"), *[v.alias(n) for n, v in number.items()])
+
+
+# Bytes of a compressed file decompressed at a time.
+PIECE = 1 << 20
+_OPENERS = {".gz": gzip.open, ".bz2": bz2.open}
+
+
+def _broken_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, reason) of the compressed files that cannot be decompressed to their end."""
+    for batch in batches:
+        files, reasons = [], []
+        for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            opener = next(o for end, o in _OPENERS.items() if name.endswith(end))
+            try:
+                with opener(io.BytesIO(memoryview(content.as_buffer()))) as stream:
+                    while stream.read(PIECE):
+                        pass
+            except (OSError, EOFError, zlib.error) as e:
+                files.append(name)
+                reasons.append(f"broken archive: {e}")
+        yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(reasons, pa.string())], ["file", "reason"])
 
 
-def quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of good files, list of bad files). Fails when no file survives.
+def damaged_files(spark: SparkSession, paths: str | Sequence[str], fields: Sequence[str]) -> tuple[DataFrame, int]:
+    """((file, reason) of every file that cannot be used, number of all files); both computed once.
 
-    The bad-file list comes from a map-side-combined aggregate and is applied as an anti
-    join, a broadcast one while the list is small in bytes.
+    What is listed is held against what was read: empty files, archives (gzip, bzip2) that break off or
+    fail their checksum, files that give no line, files that are not UTF-8, and files with a line that
+    cannot be parsed. One pass over the lines, and one over the bytes of compressed files.
     """
-    flagged = parsed.groupBy("file").agg(F.bool_or("bad").alias("bad"))
-    bad = flagged.where("bad").select("file")
-    good = parsed.join(bad, "file", "left_anti")
-    if good.isEmpty():
-        raise ValueError("no input file could be parsed")
-    return good, bad
+    name = F.col("_metadata.file_path").alias("file")
+    files = spark.read.format("binaryFile").load(paths)
+    # The listing that Spark has made, named as scans name files; scans leave empty files out.
+    names = [n.replace("file:///", "file:/", 1) for n in files.inputFiles()]
+    sizes = files.select(name, "length")
+    archives = files.where(F.col("path").rlike(r"\.(gz|bz2)$") & (F.col("length") > 0)).select(name, "content")
+    broken = archives.mapInArrow(_broken_archives, "file string, reason string")
+    read = split_fields(_lines(spark, paths), fields).groupBy("file")
+    read = read.agg(F.bool_or("bad").alias("bad"), F.bool_and("legible").alias("legible"), F.lit(True).alias("seen"))
+    reason = (
+        F.when(F.coalesce("length", F.lit(0)) == 0, F.lit("empty"))
+        .when(F.col("reason").isNotNull(), F.col("reason"))
+        .when(F.col("seen").isNull(), F.lit("no line could be read"))
+        .when(~F.col("legible"), F.lit("not UTF-8"))
+        .when(F.col("bad"), F.lit("a line that cannot be parsed"))
+    )
+    listed = spark.createDataFrame([(n,) for n in names], "file string").join(sizes, "file", "left")
+    judged = listed.join(broken, "file", "left").join(read, "file", "left").select("file", reason.alias("reason"))
+    return settle(judged.where("reason IS NOT NULL"), "damaged"), len(names)
 
 
 def scan_index(
@@ -95,17 +141,28 @@ def scan_index(
     ``fields`` name the columns; those called Year, Day/DOY, Hour and Minute form
     the time, the rest are values. Rows without a complete time are dropped, listed
     placeholders become null, and the first row per instant in (file, line) order
-    is kept. With ``skip_bad_files`` a file holding an unparsable line is left out.
+    is kept. With ``skip_bad_files`` a damaged file is left out (see ``scan_index_reported``).
     """
-    return series_from_lines(_lines(spark, paths), fields, missing, skip_bad_files)
+    if skip_bad_files:
+        return scan_index_reported(spark, paths, fields, missing)[0]
+    return series_from_lines(split_fields(_lines(spark, paths), fields), fields, missing)
 
 
-def series_from_lines(
-    lines: DataFrame, fields: Sequence[str], missing: Sequence[float] = (), skip_bad_files: bool = True
-) -> DataFrame:
-    parsed = split_fields(lines, fields)
-    if skip_bad_files:
-        parsed, _ = quarantine(parsed)
+def scan_index_reported(
+    spark: SparkSession, paths: str | Sequence[str], fields: Sequence[str], missing: Sequence[float] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """(series of the files that can be used, (file, reason) of the others). Fails when none can."""
+    damaged, files = damaged_files(spark, paths, fields)
+    bad = damaged.count()
+    if bad == files:
+        found = "; ".join(f"{r.file}: {r.reason}" for r in damaged.limit(5).collect())
+        raise ValueError(f"no input file could be parsed: {found}")
+    lines = _lines(spark, paths)
+    good = lines.join(damaged.select("file"), "file", "left_anti") if bad else lines
+    return series_from_lines(split_fields(good, fields), fields, missing), damaged
+
+
+def series_from_lines(parsed: DataFrame, fields: Sequence[str], missing: Sequence[float] = ()) -> DataFrame:
     clock = [f for f in fields if f in ("Year", "Day", "DOY", "Hour", "Minute")]
     values = [f for f in fields if f not in clock]
     doy = "DOY" if "DOY" in fields else "Day"
@@ -169,17 +226,52 @@ def load_split(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return keep_existing(df, columns)[0] if columns else df
 
 
+def _unreadable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, reason) of the Parquet files of which not every column can be read."""
+    import pyarrow.parquet as pq
+
+    for batch in batches:
+        files, reasons = [], []
+        for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            try:
+                for _ in pq.ParquetFile(pa.BufferReader(content.as_buffer())).iter_batches():
+                    pass
+            except (pa.ArrowException, OSError) as e:
+                files.append(name)
+                reasons.append(f"unreadable: {str(e).splitlines()[0][:200]}")
+        yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(reasons, pa.string())], ["file", "reason"])
+
+
+def skipped_files(spark: SparkSession, base: str) -> DataFrame:
+    """(file, reason) of the Parquet files below ``base`` that ``load_all`` takes no row from though they should have some.
+
+    Files that gave a row are good; only those that did not are opened one by one.
+    """
+    seen = _all_files(spark, base).select(F.col("_metadata.file_path").alias("file")).distinct()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    name = F.col("_metadata.file_path").alias("file")
+    silent = [r.file for r in files.load(base).select(name).join(seen, "file", "left_anti").collect()]  # names only
+    if not silent:
+        return spark.createDataFrame([], "file string, reason string")
+    opened = spark.read.format("binaryFile").load(silent).select(name, "content")
+    return opened.mapInArrow(_unreadable, "file string, reason string")
+
+
 def load_all(spark: SparkSession, base: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Every Parquet file below ``base`` as one table; unreadable files are skipped,
-    columns absent from some files are null there."""
-    df = (
+    """Every Parquet file below ``base`` as one table; unreadable files are skipped (``skipped_files``
+    names them), columns absent from some files are null there."""
+    df = _all_files(spark, base)
+    return keep_existing(df, columns)[0] if columns else df
+
+
+def _all_files(spark: SparkSession, base: str) -> DataFrame:
+    return (
         spark.read.option("recursiveFileLookup", True)
         .option("mergeSchema", True)
         .option("ignoreCorruptFiles", True)
         .option("pathGlobFilter", "*.parquet")
         .parquet(base)
     )
-    return keep_existing(df, columns)[0] if columns else df
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -54,3 +54,54 @@ def test_groups_of_every_size(spark, n):
     v = np.random.default_rng(n).normal(size=n)
     got = percentiles.exact_percentiles(spark.createDataFrame(pd.DataFrame({"x": v})), "x", PROBS).collect()
     assert {r.p: r.value for r in got} == pytest.approx({p: np.percentile(v, p * 100) for p in PROBS})
+
+
+def test_bits_have_the_order_of_the_doubles(spark):
+    tiny, big = 5e-324, float(np.finfo(np.float64).max)
+    rng = np.random.default_rng(4)
+    own = np.concatenate([
+        [0.0, -0.0, tiny, 3 * tiny, 2.2250738585072014e-308, np.nextafter(2.2250738585072014e-308, 0), big, np.inf, 1.0, np.nextafter(1, 0), np.nextafter(2, 0)],
+        2.0 ** np.arange(-1074, 1024, 7), np.nextafter(2.0 ** np.arange(-1000, 1024, 11), 0),
+        rng.integers(0, 2047 << 52, 3000).view(np.float64),
+    ])
+    own = np.concatenate([own, -own])
+    got = percentiles.ordered_bits(spark.createDataFrame(pd.DataFrame({"v": own})), []).toPandas()
+    bits = np.abs(got.v.to_numpy()).view(np.int64)
+    assert (got.key.to_numpy() == np.where(got.v < 0, -bits, bits)).all()
+
+
+def test_infinite_values_null_groups_and_no_job_at_build_time(spark):
+    v = np.concatenate([np.arange(20.0), [np.inf, np.inf, -np.inf]])
+    rows = [(None, float(x)) for x in v] + [("a", 1.0), ("a", float("inf")), ("b", None), ("b", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "")
+    built = percentiles.exact_percentiles(df, "x", PROBS, ["g"])
+    box = percentiles.box_summary(df.withColumn("k", df.g), ["x"], df.g, "g2")
+    assert not tracker.getJobIdsForGroup("build")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = {(r.g, r.p): r.value for r in built.collect()}
+    finite = [p for p in PROBS if 0 < p < 0.9 and p not in (0.005, 0.01)]
+    for p in finite:
+        assert got[None, p] == pytest.approx(np.percentile(v, 100 * p))
+    assert got[None, 0.0] == -np.inf and got[None, 1.0] == np.inf and got[None, 0.01] == -np.inf
+    assert got["a", 0.0] == 1.0 and got["a", 0.5] == np.inf and {g for g, _ in got} == {None, "a"}
+    assert {r.g2: r.n for r in box.collect()} == {"a": 2}
+
+
+def test_small_groups_beside_large_ones(spark, monkeypatch):
+    """Rows of small groups take the shuffled side, those of large ones the broadcast side."""
+    monkeypatch.setattr(percentiles, "GROUPS", 4)
+    rng = np.random.default_rng(7)
+    g = np.concatenate([np.zeros(3000), rng.integers(1, 200, 4000)]).astype(int)
+    frame = pd.DataFrame({"g": g, "x": rng.normal(size=len(g)).round(2)})
+    df = spark.createDataFrame(frame)
+    got = {(r.g, r.p): r.value for r in percentiles.exact_percentiles(df, "x", [0.1, 0.5, 0.9], ["g"]).collect()}
+    want = frame.groupby("g").x.quantile([0.1, 0.5, 0.9])
+    assert got == pytest.approx({(int(a), p): x for (a, p), x in want.items()})
+    box = {r.year: r for r in percentiles.box_summary(df, ["x"], df.g, "year").collect()}
+    assert len(box) == frame.g.nunique() and sum(r.n for r in box.values()) == len(frame)
+    q1, q3 = frame.x[frame.g == 0].quantile([0.25, 0.75])
+    own = frame.x[frame.g == 0]
+    far = (own < q1 - 1.5 * (q3 - q1)) | (own > q3 + 1.5 * (q3 - q1))
+    assert box[0].outliers == far.sum() and box[0].low_whisker == own[~far].min()

@@ -234,3 +234,48 @@ def test_every_statistic_reaches_the_caller(spark):
     stats = spark.range(1500).selectExpr("concat('c', id) AS name", "id * 1D AS mean", "1D AS std")
     means, stds = stats_as_maps(stats)
     assert len(means) == len(stds) == 1500
+
+
+def test_moments_of_chunks_merge_in_any_order(spark, tmp_path):
+    import numpy as np
+
+    from lagfield.operators import statistics as S
+    from lagfield.sources import writers
+
+    rng = np.random.default_rng(3)
+    v = np.concatenate([1e9 + rng.normal(size=500), rng.normal(size=300), [np.nan] * 4])
+    rng.shuffle(v)
+    rows = [(float(x), [float(x), None, 2.0], i % 7) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "x double, a array<double>, c int")
+    groups = {"x": ["x"], "both": ["x", "a"], "none": ["n"]}
+    df = df.withColumn("n", F.lit(None).cast("double"))
+    whole = {r.name: (r.mean, r.std) for r in S.stats_of(S.moments(df, groups)).collect()}
+    path = str(tmp_path / "moments")
+    for c in (3, 0, 6, 1, 5, 2, 4, 0):
+        writers.write_moments(df.where(F.col("c") == c), groups, path, str(c))
+    got = {r.name: (r.mean, r.std) for r in writers.read_moments(spark, path).collect()}
+    good = v[~np.isnan(v)]
+    assert set(got) == set(whole) == {"x", "both"}
+    assert got["x"] == pytest.approx((good.mean(), good.std()), rel=1e-12)
+    assert got["both"] == pytest.approx(whole["both"], rel=1e-12)
+    sample = {r.name: r.std for r in writers.read_moments(spark, path, sample=True).collect()}
+    assert sample["x"] == pytest.approx(good.std(ddof=1), rel=1e-12)
+
+
+def test_dense_cells_have_their_places(spark):
+    from lagfield.operators.keyed import pivot_dense
+
+    cells = spark.createDataFrame([("a", 0, 1.0), ("a", 3, None), ("a", 4, 2.0), ("b", 2, 5.0), (None, 4, 6.0)], "r string, p int, v double")
+    got = {r.r: r.cells for r in pivot_dense(cells, "r", F.col("p"), "v", 5).collect()}
+    assert got == {"a": [1.0, None, None, None, 2.0], "b": [None, None, 5.0, None, None], None: [None] * 4 + [6.0]}
+    for bad in (("a", 3, 9.0), ("b", 5, 1.0), ("b", -1, 1.0)):
+        more = cells.union(spark.createDataFrame([bad], cells.schema))
+        with pytest.raises(Exception, match="cell"):
+            pivot_dense(more, "r", F.col("p"), "v", 5).collect()
+    # A grid as large as the published one: the plan does not grow with its columns.
+    times, heights = 1872, 701
+    grid = spark.range(times * heights).selectExpr(f"id % {times} AS t", f"id div {times} AS h", "CAST(id AS double) AS v")
+    dense = pivot_dense(grid, "h", F.col("t"), "v", times)
+    assert len(dense._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    out = dense.agg(F.count("*"), F.sum(F.size("cells")), F.sum(F.expr("aggregate(cells, 0D, (a, x) -> a + x)"))).first()
+    assert tuple(out) == (heights, times * heights, float(times * heights * (times * heights - 1) // 2))

@@ -74,3 +74,24 @@ def test_null_groups_are_ranked(spark):
 def test_drawing_from_nothing_is_refused(frame):
     with pytest.raises(ValueError, match="nothing to draw"):
         P.mixture([("a", frame), ("b", frame.where("key < 0"))], "key", [0.5, 0.5], draws=100)
+
+
+def test_doubled_keys_have_one_order_and_spread(spark):
+    rows = [(i % 3 and i, "g" if i % 2 else None, i // 7) for i in range(600)]
+    df = spark.createDataFrame(rows, "key int, grp string, x int")
+    want = {}
+    for grp in (None, "g"):
+        own = sorted((r for r in rows if r[1] == grp), key=lambda r: (hashlib.md5(f"42|{r[0]}".encode()).hexdigest(), r[0], r[2]))
+        want[grp] = own
+    for frame in (df.coalesce(1), df.repartition(5)):
+        got = P.ranked(frame, "key", ["grp"]).collect()
+        for grp, own in want.items():
+            mine = sorted((r for r in got if r.grp == grp), key=lambda r: r["rank"])
+            assert [r["rank"] for r in mine] == list(range(1, len(own) + 1))
+            assert [(r.key, r.grp, r.x) for r in mine] == own
+    same = spark.range(4000).selectExpr("1 AS key", "map('a', 1) AS m").repartition(4)
+    numbered = P.ranked(same, "key")
+    assert sorted(r["rank"] for r in numbered.collect()) == list(range(1, 4001))
+    # Equal rows lie in several files, one a range.
+    assert numbered.select(F.input_file_name()).distinct().count() > 1
+    assert P.ranked(same.where("key > 1"), "key").count() == 0

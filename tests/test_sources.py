@@ -1,9 +1,12 @@
+import bz2
 import datetime as dt
+import gzip
 import json
 
 import pytest
 
 from lagfield.plans import dataset
+from lagfield.sources import publish
 from lagfield.sources import readers as R
 from lagfield.sources import writers as S
 
@@ -50,6 +53,37 @@ def test_many_bad_files_are_left_out(spark, tmp_path):
     assert len(rows(R.scan_kp(spark, f"{base}/*.lst"))) == 1
 
 
+def test_damaged_files_are_left_out_and_named(spark, tmp_path):
+    base = tmp_path / "d"
+    put(base, "good.lst", "1991 1 0 10\n")
+    lines = "".join(f"1991 {1 + i // 24} {i % 24} {i}\n" for i in range(5000)).encode()
+    whole = gzip.compress(b"".join(lines.splitlines(True)[:20])) + gzip.compress(b"1991 300 1 7\n")  # two members
+    files = {
+        "cut.gz": gzip.compress(lines)[:-400],
+        "flipped.gz": gzip.compress(lines)[:-8] + b"\0" * 8,
+        "cut.bz2": bz2.compress(lines)[:-50],
+        "whole.gz": whole,
+        "nothing.lst": b"",
+        "blank.lst": b"\n \n",
+        "wide.lst": "1991 1 0 10\n".encode("utf-16"),
+        "word.lst": b"1991 one 0 10\n",
+    }
+    for name, data in files.items():
+        (base / name).write_bytes(data)
+    series, damaged = R.scan_index_reported(spark, f"{base}/*", ("Year", "DOY", "Hour", "Kp_index"))
+    got = {r.file.rsplit("/", 1)[1]: r.reason for r in damaged.collect()}
+    assert set(got) == set(files) - {"whole.gz"}
+    assert got["nothing.lst"] == "empty" and got["blank.lst"] == "no line could be read" and got["wide.lst"] == "not UTF-8"
+    assert got["word.lst"] == "a line that cannot be parsed" and all(got[n].startswith("broken archive") for n in ("cut.gz", "flipped.gz", "cut.bz2"))
+    want = {}
+    for x in [b"1991 1 0 10", *gzip.decompress(whole).splitlines()]:
+        year, day, hour, kp = map(int, x.split())
+        want.setdefault(dt.datetime(year, 1, 1) + dt.timedelta(days=day - 1, hours=hour), float(kp))
+    assert {r.ts: r.Kp_index for r in series.collect()} == want
+    with pytest.raises(ValueError, match="broken archive"):
+        R.scan_kp(spark, f"{base}/cut.gz")
+
+
 def test_inventory(spark, tmp_path):
     base = put(tmp_path / "i", "a.lst", "1")
     put(tmp_path / "i", "b.lst", "22")
@@ -99,13 +133,41 @@ def test_unreadable_split_files_are_skipped(spark, tmp_path):
     (tmp_path / "two").mkdir()
     (tmp_path / "two" / "broken.parquet").write_bytes(b"not parquet")
     assert R.load_all(spark, str(tmp_path)).count() == 3
+    S.write_split(spark.range(0).toDF("x"), str(tmp_path), "none")
+    named = R.skipped_files(spark, str(tmp_path)).collect()
+    assert [r.file.rsplit("/", 1)[1] for r in named] == ["broken.parquet"] and named[0].reason.startswith("unreadable")
+
+
+def test_a_failed_replacement_leaves_the_old_folder(spark, tmp_path):
+    S.write_split(spark.range(3).toDF("x"), str(tmp_path), "one")
+    broken = spark.range(5).selectExpr("CASE WHEN id = 4 THEN raise_error('stop') ELSE id END AS x")
+    with pytest.raises(Exception, match="stop"):
+        S.write_split(broken, str(tmp_path), "one")
+    path = str(tmp_path / "one")
+    assert spark.read.parquet(path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["one"]
+    assert publish.missing_files(spark, path).count() == 0
+    # A replacement that died between its two renames is put back.
+    (tmp_path / "one").rename(tmp_path / ("one" + publish.REPLACED))
+    publish.restore(spark, path)
+    assert spark.read.parquet(path).count() == 3
+    S.write_split(spark.range(7).toDF("x"), str(tmp_path), "one")
+    assert spark.read.parquet(path).count() == 7 and [p.name for p in tmp_path.iterdir()] == ["one"]
+    next((tmp_path / "one").glob("*.parquet")).unlink()
+    assert publish.missing_files(spark, path).count() == 1
+
+
+def test_a_batch_written_twice_counts_once(spark, tmp_path):
+    schema, path = spark.range(1).toDF("x").schema, str(tmp_path / "b")
+    for batch, n in (("a", 3), ("b", 4), ("a", 3), ("b", 2)):
+        S.append_frozen(spark.range(n).toDF("x"), path, schema, batch)
+    assert {r.batch: r["count"] for r in spark.read.parquet(path).groupBy("batch").count().collect()} == {"a": 3, "b": 2}
 
 
 def test_frozen_schema_rejects_missing_columns(spark, tmp_path):
     schema = spark.range(1).toDF("x").schema
-    S.append_frozen(spark.range(1).selectExpr("CAST(id AS int) AS x"), str(tmp_path / "f"), schema)
+    S.append_frozen(spark.range(1).selectExpr("CAST(id AS int) AS x"), str(tmp_path / "f"), schema, "one")
     with pytest.raises(Exception):
-        S.append_frozen(spark.range(1).selectExpr("'text' AS x"), str(tmp_path / "f"), schema)
+        S.append_frozen(spark.range(1).selectExpr("'text' AS x"), str(tmp_path / "f"), schema, "one")
 
 
 def test_row_keys_do_not_depend_on_the_layout(spark):
@@ -117,6 +179,17 @@ def test_row_keys_do_not_depend_on_the_layout(spark):
     assert one == many and len({r[3] for r in one}) == len(one) == 8
 
 
+def test_many_equal_rows_unfold_in_blocks(spark):
+    from lagfield.operators.keyed import with_row_key
+
+    df = spark.range(1000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS x", "CAST(NULL AS string) AS y")
+    keyed = with_row_key(df, block=5)
+    got = keyed.collect()
+    assert len(got) == 1000 and len({r.row_key for r in got}) == 1000
+    assert {int(r.row_key.split("-")[1]) for r in got if r.x == 0} == set(range(1, 335))
+    assert sorted(r.row_key for r in got) == sorted(r.row_key for r in with_row_key(df).collect())
+
+
 def test_files_to_splits(spark, tmp_path):
     lines = ["\t".join(["Te1", "DateFormatted", "TimeFormatted", "Altitude", "XXLAT", "XXLON", "ILAT", "GLAT"])]
     for i in range(60):
@@ -129,7 +202,8 @@ def test_files_to_splits(spark, tmp_path):
         put(tmp_path / "k", f"{day}.lst", "".join(f"1991 {day} {h} {h}\n" for h in range(24)))
     raw = R.scan_observations(spark, f"{base}/obs.tsv")
     series = dataset.load_series(spark, *(f"{tmp_path / d}/*.lst" for d in "mxk"))
-    saved = dataset.create_dataset(raw, series, str(tmp_path / "out"), "1991-01-31", "1991-02-07", n_test=7)
+    saved, audit = dataset.create_dataset(raw, series, str(tmp_path / "out"), "1991-01-31", "1991-02-07", n_test=7)
+    assert [tuple(r) for r in audit.collect()] == [tuple(r) for r in dataset.audit(raw).collect()]
     counts = {r.split: r["count"] for r in saved.groupBy("split").count().collect()}
     assert counts == {"test-storm": 10, "test-normal": 7, "train": 45}
     assert saved.select("row_key").distinct().count() == 62
@@ -137,7 +211,27 @@ def test_files_to_splits(spark, tmp_path):
     r = got[2008.0]  # 08:08 on day 41
     assert (r.AL_index_0, r.SYM_H_0, r.Kp_index, r.f107_index_0) == (-16.0, 8.0, 8.0, 78.0)
     assert R.load_split(spark, str(tmp_path / "out" / "split=train")).count() == 45
-    again = dataset.create_dataset(raw.repartition(5), series, str(tmp_path / "two"), "1991-01-31", "1991-02-07", n_test=7)
+    assert publish.missing_files(spark, str(tmp_path / "out")).count() == 0
+    again, _ = dataset.create_dataset(raw.repartition(5), series, str(tmp_path / "two"), "1991-01-31", "1991-02-07", n_test=7)
     assert {r.row_key for r in again.where("split = 'test-normal'").collect()} == {
         r.row_key for r in saved.where("split = 'test-normal'").collect()
     }
+
+
+def test_the_audit_rides_on_the_one_scan_of_the_raw_rows(spark, tmp_path):
+    """Every raw row passes a counter; the cleaning, its row keys and the audit take each of them once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    text = "Te1\tDateFormatted\tTimeFormatted\tAltitude\tXXLAT\tXXLON\tILAT\tGLAT\n"
+    text += "".join(f"{2000 + i}\t1991-01-31\t00:10:20\t{900 + 10 * i}\t{999 if i % 9 == 0 else 1}\t10\t45\t40\n" for i in range(90))
+    raw = R.scan_observations(spark, f"{put(tmp_path / 'o', 'obs.tsv', text)}/obs.tsv")
+    counted = raw.mapInArrow(passed, raw.schema)
+    table, audit = dataset.clean_audited(counted)
+    assert seen.value == 90
+    assert [tuple(r) for r in audit.collect()] == [tuple(r) for r in dataset.audit(raw).collect()]
+    assert table.count() == audit.collect()[-1].remaining

@@ -26,6 +26,7 @@ execution splits the other side of a hot digest.
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,7 +103,7 @@ def _record(id_col: str, file: str, row: str) -> Column:
 
 def _reread(spark: SparkSession, places: DataFrame, text_col: str) -> DataFrame:
     """(digest, record, body) of the rows of ``places`` (digest, record), read where they were stored."""
-    files = [r.file for r in places.select("record.file").distinct().collect()]  # names of files only
+    files = [unquote(r.file) for r in places.select("record.file").distinct().collect()]  # names of files only
     own = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     stored = spark.read.parquet(*files).select(normal(F.col(text_col)).alias("body"), own.alias("at"))
     found = stored.join(places, (F.col("at.file") == F.col("record.file")) & (F.col("at.row") == F.col("record.row")))

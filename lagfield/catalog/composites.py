@@ -526,7 +526,7 @@ EXPLORE = ["o_custkey", "o_totalprice"]
     + ") b JOIN (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS rows_in_year FROM orders GROUP BY 1) y USING (year)",
 )
 def _(t):
-    tables = reports.exploration(t.orders, "o_orderdate", "o_totalprice", EXPLORE, BUCKET)
+    tables = reports.exploration(t.orders, "o_orderdate", "o_totalprice", EXPLORE, BUCKET, ["per_year", "box_by_year"])
     years = tables["per_year"].withColumnRenamed("n", "rows_in_year")
     return round_box(tables["box_by_year"]).join(years, "year")
 
@@ -538,7 +538,7 @@ def _(t):
     + ") b",
 )
 def _(t):
-    tables = reports.exploration(t.orders, "o_orderdate", "o_totalprice", EXPLORE, BUCKET)
+    tables = reports.exploration(t.orders, "o_orderdate", "o_totalprice", EXPLORE, BUCKET, ["per_bucket", "box_by_bucket"])
     labels = tables["per_bucket"].select("bucket", "label")
     return round_box(tables["box_by_bucket"]).join(labels, "bucket")
 

@@ -7,8 +7,8 @@ value. So a percentile costs three scans of one column whatever its values are,
 written or run when the plan is built, and what is shuffled are counts: a value that a third of
 all rows share is one number a task. Windows run over counted bins, 2^22 a group at most.
 
-Rows meet the bins of their group in ``_beside``: those of large groups by a broadcast that is
-bounded by the share of the rows a large group has, those of all other groups by shuffle.
+Rows meet the bins of their group by a broadcast of a few rows a group. That is for up to
+``GROUPS`` groups, which the plan itself checks; with ``many_groups`` the two are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 # Bits counted by the second and the third aggregate.
 MIDDLE, LAST = 21, 22
-# Groups with at least 1/GROUPS of all rows are large; there are GROUPS of them at most.
+# Most groups whose bins are broadcast.
 GROUPS = 10_000
 
 
@@ -49,49 +49,33 @@ def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in keys])
 
 
-def _beside(rows: DataFrame, table: DataFrame, by: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """``rows`` with the columns of their one row in ``table`` (by…, keys…, …, large).
-
-    ``large`` marks the table rows of large groups. They are broadcast, GROUPS times the rows a
-    group has in the table at most; rows of other groups are shuffled, if there are any.
-    """
-    large = F.broadcast(table.where("large").drop("large"))
-    if not by:
-        return _joined(rows, large, keys)
-    small = table.where("NOT large").drop("large")
-    # One row if any group is not large. Being broadcast it is known before the rows are read,
-    # and without it adaptive execution leaves out this whole side.
-    any_small = F.broadcast(small.agg(F.count("*").alias("_n")).where("_n > 0").select(F.lit(1).alias("_any")))
-    others = _joined(rows.crossJoin(any_small).drop("_any"), F.broadcast(table.where("large").select(*by).distinct()), by, "left_anti")
-    return _joined(rows, large, [*by, *keys]).unionByName(_joined(others, small, [*by, *keys]))
-
-
 def _values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     data = df.select(*by, F.col(value).cast("double").alias("v"))
     return data.where("v IS NOT NULL AND NOT isnan(v)")
 
 
-def _bins(counts: DataFrame, group: Sequence[str], digit: str) -> DataFrame:
-    """``counts`` with the number of rows of the group's smaller bins (``start``) and of all its bins (``total``)."""
-    whole = W.partitionBy(*group)
-    before = whole.orderBy(digit).rowsBetween(W.unboundedPreceding, -1)
-    return counts.withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0))).withColumn("total", F.sum("c").over(whole))
-
+def _hits(counts: DataFrame, group: Sequence[str], digit: str, by: Sequence[str]) -> DataFrame:
+    """The bins that hold wanted ranks: (by…, digit, n, wanted), ranks now counted from the bin's first row.
 
-def _hits(bins: DataFrame, group: Sequence[str], digit: str) -> DataFrame:
-    """The bins that hold wanted ranks: (group…, digit, n, large, wanted), ranks now counted from the bin's first row."""
+    ``counts`` are (group…, digit, c, n, wanted); n and wanted depend on the group alone.
+    """
+    before = W.partitionBy(*group).orderBy(digit).rowsBetween(W.unboundedPreceding, -1)
+    bins = counts.withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0)))
     inside = "filter(wanted, t -> t.k >= start AND t.k < start + c)"
     moved = "transform(own, t -> named_struct('p', t.p, 'upper', t.upper, 'k', t.k - start)) AS wanted"
-    found = bins.selectExpr(*group, digit, "n", "large", "start", f"{inside} AS own").where("size(own) > 0")
-    return found.selectExpr(*group, digit, "n", "large", moved)
+    found = bins.selectExpr(*by, digit, "n", "start", f"{inside} AS own").where("size(own) > 0")
+    return found.selectExpr(*by, digit, "n", moved)
 
 
-def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def exact_percentiles(
+    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), many_groups: bool = False
+) -> DataFrame:
     """(by…, p, value): percentiles with linear interpolation between order statistics.
 
     Nulls and NaN are left out, infinite values are values (between minus infinity and a larger one lies
     minus infinity, between a smaller one and infinity infinity); null group keys are a group of their
-    own; a group without values has no row. ``by`` columns must not be called v, key, p, c or n.
+    own; a group without values has no row. More than ``GROUPS`` groups are an error unless
+    ``many_groups`` is set. ``by`` columns must not be called v, key, c, n or wanted.
     """
     by, probs = list(by), sorted({float(p) for p in probs})
     keyed = ordered_bits(_values(df, value, by), by)
@@ -99,30 +83,35 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Seq
     middle = f"shiftright(key, {LAST}) AS d2"
 
     counts = keyed.selectExpr(*by, first).groupBy(*by, "d1").agg(F.count("*").alias("c"))
-    everything = F.broadcast(counts.agg(F.sum("c").alias("all")))  # one row
+    counts = counts.withColumn("n", F.sum("c").over(W.partitionBy(*by)))
     ranks = ", ".join(
-        f"named_struct('p', {p!r}D, 'upper', {u}, 'k', CAST({f}({p!r}D * (total - 1)) AS bigint))"
+        f"named_struct('p', {p!r}D, 'upper', {u}, 'k', CAST({f}({p!r}D * (n - 1)) AS bigint))"
         for p in probs
         for u, f in (("false", "floor"), ("true", "ceil"))
     )
-    bins = _bins(counts, by, "d1").crossJoin(everything)
-    bins = bins.selectExpr("*", "total AS n", f"total >= `all` / {GROUPS} AS large", f"array({ranks}) AS wanted")
-    hits = _hits(bins, by, "d1")
-
-    keys = [*by, "d1"]
-    rows = _beside(keyed.selectExpr(*by, first, middle), hits.select(*keys, "large"), by, ["d1"])
-    counts = rows.groupBy(*keys, "d2").agg(F.count("*").alias("c"))
-    hits = _hits(_bins(_joined(counts, hits, keys), keys, "d2"), by, "d2")
-
-    keys = [*by, "d2"]
-    rows = _beside(keyed.selectExpr(*by, middle, "v"), hits.select(*keys, "large"), by, ["d2"])
-    counts = rows.groupBy(*keys, "v").agg(F.count("*").alias("c"))
-    hits = _hits(_bins(_joined(counts, hits, keys), keys, "v"), by, "v")
+    hits = _hits(counts.selectExpr("*", f"array({ranks}) AS wanted"), by, "d1", by)
+    few = not by or not many_groups
+    if few:
+        hits = _at_most(hits, 2 * len(probs) * GROUPS)
+    for digits, digit, known in ((f"{first}; {middle}", "d2", "d1"), (f"{middle}; v", "v", "d2")):
+        rows = keyed.selectExpr(*by, *digits.split("; "))
+        rows = _joined(rows, F.broadcast(hits) if few else hits, [*by, known])
+        counts = rows.groupBy(*by, known, digit, "n", "wanted").agg(F.count("*").alias("c"))
+        hits = _hits(counts, [*by, known], digit, by)
 
     found = hits.selectExpr(*by, "v", "n", "inline(wanted)").groupBy(*by, "p", "n")
     ends = found.agg(F.max(F.expr("IF(upper, NULL, v)")).alias("lo"), F.max(F.expr("IF(upper, v, NULL)")).alias("hi"))
     share = "(p * (n - 1) - floor(p * (n - 1)))"
-    return ends.selectExpr(*by, "p", f"CASE WHEN lo = hi OR {share} = 0 OR lo = -double('inf') THEN lo ELSE lo + {share} * (hi - lo) END AS value")
+    return ends.selectExpr(
+        *by, "p", f"CASE WHEN lo = hi OR {share} = 0 OR lo = -double('inf') THEN lo ELSE lo + {share} * (hi - lo) END AS value"
+    )
+
+
+def _at_most(hits: DataFrame, most: int) -> DataFrame:
+    """``hits``, failing where there are more than ``most`` rows; no task sees more than one row beyond that."""
+    refused = F.raise_error(F.lit(f"more than {GROUPS} groups: set many_groups")).cast("bigint")
+    checked = F.when(F.count("*").over(W.partitionBy()) <= most, F.col("n")).otherwise(refused)
+    return hits.limit(most + 1).withColumn("n", checked)
 
 
 def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -149,22 +138,21 @@ def describe(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> D
     return present.unionByName(points)
 
 
-def box_summary(df: DataFrame, columns: Sequence[str], bucket: Column, name: str = "bucket") -> DataFrame:
+def box_summary(
+    df: DataFrame, columns: Sequence[str], bucket: Column, name: str = "bucket", many_groups: bool = False
+) -> DataFrame:
     """(column, bucket, n, q1, median, q3, low_whisker, high_whisker, outliers).
 
     Whiskers reach the furthest value within 1.5 interquartile ranges of the box.
     """
     tagged = df.withColumn(name, bucket).where(F.col(name).isNotNull())
     long, by = melt(tagged, columns, [name]), ["column", name]
-    q = exact_percentiles(long, "value", [0.25, 0.5, 0.75], by)
+    q = exact_percentiles(long, "value", [0.25, 0.5, 0.75], by, many_groups)
     named = [F.max(F.when(F.col("p") == p, F.col("value"))).alias(c) for p, c in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
-    sizes = long.groupBy(*by).agg(F.count("*").alias("n"))
-    everything = F.broadcast(sizes.agg(F.sum("n").alias("all")))  # one row
-    box = _joined(q.groupBy(*by).agg(*named), sizes, by).crossJoin(everything)
-    box = box.selectExpr(*by, "q1", "median", "q3", f"n >= `all` / {GROUPS} AS large")
+    box = q.groupBy(*by).agg(*named)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     fits = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
-    return _beside(long, box, by, []).groupBy(*by).agg(
+    return _joined(long, box if many_groups else F.broadcast(box), by).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         *(F.max(c).alias(c) for c in ("q1", "median", "q3")),
         F.min(F.when(fits, F.col("value"))).alias("low_whisker"),

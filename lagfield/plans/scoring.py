@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,10 @@ from pyspark.sql import types as T
 from lagfield.functions import transforms as M
 from lagfield.operators.cleaning import fill_zero, numeric_columns, to_number
 from lagfield.schema import BIN_COUNT, BIN_WIDTH
+from lagfield.session import scratch
+
+# Bytes of a model that are shipped to executors without asking.
+MODEL_BYTES = 2 << 30
 
 
 def _group(name: str) -> str:
@@ -89,6 +94,52 @@ def class_outputs(df: DataFrame, scores: str, width: int = BIN_WIDTH) -> DataFra
     ).drop("_p")
 
 
+def _ship(spark, layers: Sequence[dict], precision: str, most_bytes: int) -> tuple[str, list[dict]]:
+    """(file name, for each layer the place and shape of its parts): all weights in one file at every executor.
+
+    The file is written to the shared folder, and each executor fetches it once.
+    """
+    import numpy as np
+
+    sized, at, item = [], 0, np.dtype(precision).itemsize
+    for layer in layers:
+        shapes = {name: np.shape(part) for name, part in layer.items()}
+        own = {}
+        for name, shape in shapes.items():
+            own[name] = (at, shape)
+            at += item * int(np.prod(shape))
+        sized.append(own)
+    if at > most_bytes:
+        raise ValueError(f"the model takes {at} bytes in {precision}; raise most_bytes from {most_bytes} to ship it")
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark, "weights"))
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    for layer in layers:
+        for part in layer.values():
+            flat = memoryview(np.ascontiguousarray(part, dtype=precision)).cast("B")
+            for begin in range(0, len(flat), 1 << 24):
+                out.write(bytearray(flat[begin : begin + (1 << 24)]))
+    out.close()
+    spark.sparkContext.addFile(str(path))
+    return path.getName(), sized
+
+
+@functools.cache
+def _mapped(path: str):
+    import numpy as np
+
+    return np.memmap(path, mode="r")
+
+
+def _network(name: str, sized: list[dict], precision: str) -> list[dict]:
+    """The layers as views of the mapped file: pages that all workers of a host share, and no copy of a worker's own."""
+    import numpy as np
+    from pyspark import SparkFiles
+
+    whole, item = _mapped(SparkFiles.get(name)), np.dtype(precision).itemsize
+    part = lambda at, shape: whole[at : at + item * int(np.prod(shape))].view(precision).reshape(shape)
+    return [{n: part(*place) for n, place in layer.items()} for layer in sized]
+
+
 def score_network(
     df: DataFrame,
     features: str,
@@ -98,23 +149,24 @@ def score_network(
     with_scores: bool = False,
     precision: str = "float32",
     slice_rows: int = 512,
+    most_bytes: int = MODEL_BYTES,
 ) -> DataFrame:
     """Score rows with a feed-forward network, ``slice_rows`` rows at a time.
 
     ``layers`` is a list of dicts with ``weight`` (out x in), ``bias`` and, for all
     but the last layer, ``gamma`` and ``beta`` of the layer normalisation that comes
-    before the rectifier. They become arrays of ``precision`` once, on the driver, and are
-    broadcast. Memory: every Python worker holds one copy of the model (4 bytes a
-    parameter in float32: 339 MB for 84 million, so two workers an executor need some 0.7 GB
-    beside the heap) and two activations of ``slice_rows`` x the widest layer (32 MB for 512 x 8192).
+    before the rectifier. They become one file of ``precision`` (4 bytes a parameter in float32: 339 MB
+    for 84 million; more than ``most_bytes`` is refused) that executors fetch once and all their
+    Python workers map, so the model is in memory once a host. Beside it a worker holds
+    two activations of ``slice_rows`` x the widest layer (32 MB for 512 x 8192).
     Filter rows first: predicates do not pass through a Python stage. Adds class, decoded
-    value, confidence and entropy (and scores).
+    value, confidence and entropy (and scores); they are null where the features are null or one of them is
+    null or NaN.
     """
     import numpy as np
 
     keep = list(keep if keep is not None else [c for c in df.columns if c != features])
-    ready = [{name: np.ascontiguousarray(part, dtype=precision) for name, part in layer.items()} for layer in layers]
-    shared = df.sparkSession.sparkContext.broadcast(ready)
+    name, sized = _ship(df.sparkSession, layers, precision, most_bytes)
     source = df.select(*keep, F.col(features).alias("_x"))
     fields = [df.schema[c] for c in keep] + [
         T.StructField("predicted_class", T.IntegerType()),
@@ -136,21 +188,32 @@ def score_network(
         return x @ net[-1]["weight"].T + net[-1]["bias"]
 
     def run(batches: Iterator):
-        net = shared.value
+        import pandas as pd
+
+        net = _network(name, sized, precision)
+        inputs = sized[0]["weight"][1][1]
         for whole in batches:
             for begin in range(0, len(whole), slice_rows):
                 pdf = whole.iloc[begin : begin + slice_rows]
                 out = pdf[keep].copy()
-                z = logits(np.stack(pdf["_x"].to_numpy()).astype(precision), net).astype("float64")
+                x = np.stack([np.full(inputs, np.nan) if v is None else np.asarray(v, float) for v in pdf["_x"]])
+                known = ~np.isnan(x).any(axis=1)
+                z = logits(np.where(known[:, None], x, 0).astype(precision), net).astype("float64")
                 e = np.exp(z - z.max(axis=1, keepdims=True))
                 p = e / e.sum(axis=1, keepdims=True)
                 best = z.argmax(axis=1)
-                out["predicted_class"] = best.astype("int32")
-                out["predicted"] = best * float(width) + width // 2
-                out["confidence"] = p.max(axis=1) * 100.0
-                out["entropy"] = -(p * np.log(p + 1e-10)).sum(axis=1)
+                found = {
+                    "predicted_class": best.astype("int32"),
+                    "predicted": best * float(width) + width // 2,
+                    "confidence": p.max(axis=1) * 100.0,
+                    "entropy": -(p * np.log(p + 1e-10)).sum(axis=1),
+                }
+                for column, values in found.items():
+                    out[column] = pd.arrays.IntegerArray(values, ~known) if values.dtype.kind == "i" else pd.Series(
+                        values, out.index, dtype="Float64"
+                    ).mask(~known)
                 if with_scores:
-                    out["scores"] = list(z)
+                    out["scores"] = [row if ok else None for row, ok in zip(z, known)]
                 yield out
 
     return source.mapInPandas(run, T.StructType(fields))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -45,6 +48,26 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+_scope: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch_scope", default=None)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new, not yet existing path below the shared folder."""
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    """A new, not yet existing path below the shared folder, or below the innermost ``job_tables``."""
+    return os.path.join(_scope.get() or shared_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+@contextlib.contextmanager
+def job_tables(spark: SparkSession, name: str = "job") -> Iterator[str]:
+    """Tables that operators write inside this block are removed when it ends, however it ends.
+
+    Results must be written, collected or counted inside the block: what is still lazy afterwards
+    has lost the tables it reads.
+    """
+    path = scratch(spark, name)
+    token = _scope.set(path)
+    try:
+        yield path
+    finally:
+        _scope.reset(token)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

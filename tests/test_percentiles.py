@@ -89,19 +89,26 @@ def test_infinite_values_null_groups_and_no_job_at_build_time(spark):
     assert {r.g2: r.n for r in box.collect()} == {"a": 2}
 
 
-def test_small_groups_beside_large_ones(spark, monkeypatch):
-    """Rows of small groups take the shuffled side, those of large ones the broadcast side."""
-    monkeypatch.setattr(percentiles, "GROUPS", 4)
+def test_many_groups_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(percentiles, "GROUPS", 50)
     rng = np.random.default_rng(7)
     g = np.concatenate([np.zeros(3000), rng.integers(1, 200, 4000)]).astype(int)
     frame = pd.DataFrame({"g": g, "x": rng.normal(size=len(g)).round(2)})
     df = spark.createDataFrame(frame)
-    got = {(r.g, r.p): r.value for r in percentiles.exact_percentiles(df, "x", [0.1, 0.5, 0.9], ["g"]).collect()}
+    with pytest.raises(Exception, match="many_groups"):
+        percentiles.exact_percentiles(df, "x", [0.5], ["g"]).collect()
+    got = {(r.g, r.p): r.value for r in percentiles.exact_percentiles(df, "x", [0.1, 0.5, 0.9], ["g"], many_groups=True).collect()}
     want = frame.groupby("g").x.quantile([0.1, 0.5, 0.9])
     assert got == pytest.approx({(int(a), p): x for (a, p), x in want.items()})
-    box = {r.year: r for r in percentiles.box_summary(df, ["x"], df.g, "year").collect()}
+    box = {r.year: r for r in percentiles.box_summary(df, ["x"], df.g, "year", many_groups=True).collect()}
     assert len(box) == frame.g.nunique() and sum(r.n for r in box.values()) == len(frame)
     q1, q3 = frame.x[frame.g == 0].quantile([0.25, 0.75])
     own = frame.x[frame.g == 0]
     far = (own < q1 - 1.5 * (q3 - q1)) | (own > q3 + 1.5 * (q3 - q1))
     assert box[0].outliers == far.sum() and box[0].low_whisker == own[~far].min()
+
+
+def test_the_plan_reads_its_input_three_times(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS g", "CAST(id AS double) AS x")
+    plan = percentiles.exact_percentiles(df, "x", PROBS, ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 1000") == 3

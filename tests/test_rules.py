@@ -163,6 +163,17 @@ def test_network_scoring_equals_numpy(spark):
         assert np.allclose(single[i].scores, z[i], rtol=1e-4, atol=1e-4)
 
 
+def test_rows_without_features_have_no_class(spark):
+    net = small_network()
+    n = len(net[0]["weight"][0])
+    rows = [(0, [0.5] * n), (1, None), (2, [0.5] * (n - 1) + [None]), (3, [float("nan")] * n)]
+    df = spark.createDataFrame(rows, "id long, x array<double>")
+    got = {r.id: tuple(r)[1:] for r in scoring.score_network(df, "x", net, with_scores=True).collect()}
+    assert all(v is not None for v in got[0]) and all(got[i] == (None,) * 5 for i in (1, 2, 3))
+    with pytest.raises(ValueError, match="most_bytes"):
+        scoring.score_network(df, "x", net, most_bytes=1000)
+
+
 def test_logistic_family_learns(spark):
     rows = [(float(i % 3) + (i % 7) / 100, float(i % 3) * 100 + 10) for i in range(300)]
     df = spark.createDataFrame(rows, "x double, te double")

@@ -56,18 +56,36 @@ def test_groups_of_every_size(spark, n):
     assert {r.p: r.value for r in got} == pytest.approx({p: np.percentile(v, p * 100) for p in PROBS})
 
 
-def test_bits_have_the_order_of_the_doubles(spark):
+def all_kinds():
     tiny, big = 5e-324, float(np.finfo(np.float64).max)
     rng = np.random.default_rng(4)
     own = np.concatenate([
         [0.0, -0.0, tiny, 3 * tiny, 2.2250738585072014e-308, np.nextafter(2.2250738585072014e-308, 0), big, np.inf, 1.0, np.nextafter(1, 0), np.nextafter(2, 0)],
         2.0 ** np.arange(-1074, 1024, 7), np.nextafter(2.0 ** np.arange(-1000, 1024, 11), 0),
+        np.e ** (np.arange(-700, 700) / 1.024), 1 + np.arange(2000) * 2.0**-52,
         rng.integers(0, 2047 << 52, 3000).view(np.float64),
     ])
-    own = np.concatenate([own, -own])
-    got = percentiles.ordered_bits(spark.createDataFrame(pd.DataFrame({"v": own})), []).toPandas()
-    bits = np.abs(got.v.to_numpy()).view(np.int64)
-    assert (got.key.to_numpy() == np.where(got.v < 0, -bits, bits)).all()
+    return np.sort(np.concatenate([own, -own]))
+
+
+def test_no_bin_is_out_of_order(spark):
+    v = all_kinds()
+    got = spark.createDataFrame(pd.DataFrame({"v": v})).selectExpr("v", f"{percentiles.MAGNITUDE} AS d1").toPandas()
+    got = got.sort_values("v", kind="stable")
+    assert (np.diff(got.d1.to_numpy()) >= 0).all() and got.d1.abs().max() == 10_000_000
+    parts = got.groupby("d1").v.agg(["min", "max"])
+    assert (parts["max"][np.isfinite(parts["max"]) & (parts["min"].abs() > 1e-300)] / parts["min"]).max() < 2
+
+
+def test_values_of_every_magnitude(spark):
+    v = all_kinds()
+    v = v[np.isfinite(v)]
+    probs = [0.0, 0.1, 0.3, 0.49, 0.5, 0.55, 0.7, 0.95, 1.0]
+    got = {r.p: r.value for r in percentiles.exact_percentiles(spark.createDataFrame(pd.DataFrame({"x": v})), "x", probs).collect()}
+    for p in probs:
+        at = p * (len(v) - 1)
+        lo, hi = v[int(np.floor(at))], v[int(np.ceil(at))]
+        assert got[p] == (lo if lo == hi else pytest.approx(lo + (at - np.floor(at)) * (hi - lo), rel=1e-9))
 
 
 def test_infinite_values_null_groups_and_no_job_at_build_time(spark):

@@ -2,45 +2,43 @@
 
 The large-star and small-star steps of Kiveris et al. (2014): each step is one
 aggregation and one join on the links, the number of rounds grows with the logarithm
-of the longest chain, and no group of links is ever gathered in one place: the smallest
-neighbours of nodes with many links, of which there are ``CENTRES`` at most, are broadcast,
-and their links stay where they are.
+of the longest chain, and no group of links is ever gathered in one place: the links of
+a node are dealt out in ``SHARES`` shares, each share learns its smallest neighbour, and the
+shares' few rows tell each other the node's.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagfield.llm.common import discard, settle
 
 
-# Nodes whose links are not dealt out by the node: at most so many, and each with so many links at least.
-CENTRES = 10_000
-CROWDED = 100
+# Shares into which the links of every node are dealt.
+SHARES = 64
 
 
-def _with_least(links: DataFrame, crowded: int) -> DataFrame:
-    """``links`` (a, b) with ``m``, the smallest b of each a."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    centres = F.broadcast(least.where(F.col("n") > crowded).select("a", F.col("m").alias("of_centre")))
-    marked = links.join(centres, "a", "left")
-    rest = marked.where("of_centre IS NULL").select("a", "b").join(least.select("a", "m"), "a")
-    return rest.union(marked.where("of_centre IS NOT NULL").select("a", "b", "of_centre"))
+def _with_least(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``links`` (a, b) with ``m``, the smallest b of each a; (a, m), at most ``SHARES`` times a node)."""
+    dealt = links.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SHARES)).alias("share"))
+    shares = dealt.groupBy("a", "share").agg(F.min("b").alias("own"))
+    shares = shares.select("a", "share", F.min("own").over(W.partitionBy("a")).alias("m"))
+    return dealt.join(shares, ["a", "share"]).select("a", "b", "m"), shares.select("a", "m")
 
 
-def _large_star(links: DataFrame, crowded: int) -> DataFrame:
+def _large_star(links: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the smallest of itself and its neighbours."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = F.least("m", "a")
-    return _with_least(both, crowded).where("b > a").select(F.col("b").alias("a"), least.alias("b"))
+    return _with_least(both)[0].where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
 
 
-def _small_star(links: DataFrame, crowded: int) -> DataFrame:
+def _small_star(links: DataFrame) -> DataFrame:
     """Each node links itself and its smaller neighbours to the smallest of them."""
-    least = _with_least(links, crowded)
-    moved = least.select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    near, ends = _with_least(links)
+    moved = near.select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(ends.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -54,8 +52,7 @@ def components(links: DataFrame) -> DataFrame:
     )
     state = _state(now)
     while True:
-        crowded = max(CROWDED, 2 * state[0] // CENTRES)  # both ends of all links make at most CENTRES such nodes
-        after = settle(_small_star(_large_star(now, crowded), crowded), "links")
+        after = settle(_small_star(_large_star(now)), "links")
         discard(now)
         now, before, state = after, state, _state(after)
         if state == before:

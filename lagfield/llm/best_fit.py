@@ -7,7 +7,7 @@ open bin that it fills best, found in a bitset keyed by free space. At most
 Defined results: a null text counts as empty and is a document of the end id alone;
 repeated rows are packed each for itself; a null id stays null; an empty table gives
 no rows; columns other than the id and the text are not read. Only documents longer
-than ``size`` are cut.
+than ``size`` are cut, however long they are, and none of their ids is lost.
 
 Scale: ids are made where the text is read. Rows that describe pieces are dealt to
 groups by a running number, so no key, source or copy makes a group large, and one

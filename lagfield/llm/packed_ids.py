@@ -8,7 +8,8 @@ the vocabulary or the end id needs them, padded with the end id, with the cumula
 start again.
 
 Defined results: a null or empty text is a document of the end id alone; repeated rows are packed each for itself;
-a null id stays null; an empty table gives no rows; other columns are not read.
+a null id stays null; an empty table gives no rows; other columns are not read; a text of any length is
+split into pieces, and nothing of it is lost.
 
 Scale: as for operator 3, pieces are dealt to groups by a running number and a group holds about
 ``group_bytes`` of text whatever the data. A packing task holds the ids of one group.

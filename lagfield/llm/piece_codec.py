@@ -12,7 +12,8 @@ A vocabulary without that property is segmented as a whole.
 
 Ties take the longest last piece. Defined results: a null or empty text has no ids and
 decodes to the empty text; repeated rows get a row each; a null id stays null; an empty
-table gives no rows; other columns are not read. Decoding restores a text exactly, except
+table gives no rows; other columns are not read. Texts are segmented whole, however long, in memory of a
+text's size. Decoding restores a text exactly, except
 that the mark itself (U+2581) comes back as a space.
 """
 

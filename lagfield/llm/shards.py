@@ -6,11 +6,11 @@ shard takes rows into itself alone, and a changed weight moves the share it has
 
 Defined results: a null key is a key like any other; a null text has no bytes;
 repeated rows go to the same shard and get slots of their own; an empty table gives no
-rows; other columns are not read.
+rows; other columns are not read; sizes and checksums are of whole texts, however long.
 
 Scale: shards are found row by row in the scan. Slots are numbered inside blocks that
 are dealt at random, whatever the keys are, and shifted by running sums over the blocks, so no
-window holds a shard. The rows numbered are written once, since both passes must see
+window holds a shard's rows (one sums over its blocks: a row for each 20,000). The rows numbered are written once, since both passes must see
 the same deal.
 """
 

@@ -13,7 +13,8 @@ and no link between different fingerprints is lost from the components.
 
 Defined results: null and blank texts have fingerprint zero and are linked like any
 other; a null id stays null and is never a component's id unless all ids are null;
-repeated rows get a row each; an empty table gives no rows; other columns are not read.
+repeated rows get a row each; an empty table gives no rows; other columns are not read; texts are
+read whole, however long, their shingle hashes counted in slices.
 """
 
 from __future__ import annotations

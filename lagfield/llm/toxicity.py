@@ -13,8 +13,8 @@ row and whole texts; only the text enters a score.
 
 Defined results: a null or blank text scores by the bias alone; with no labelled row to
 learn from every score is 0; an id labelled twice counts as toxic if any label says so;
-null labels and null ids are left out of learning; repeated rows get a row each; extra
-columns are not read.
+null labels and null ids are left out of learning; repeated rows get a row each; an empty table gives
+no rows; extra columns are not read; a text of any length is scored whole.
 """
 
 from __future__ import annotations

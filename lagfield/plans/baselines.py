@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,11 @@ from lagfield.schema import TIME
 # Heights of the fitted profile (km) and the searched gradients.
 PROFILE_HEIGHTS = tuple(range(400, 2001, 100))
 GRADIENT_FIRST, GRADIENT_LAST, GRADIENT_COUNT = -20.0, 50.0, 701
+POWER = 2.0 / 7.0
+# Candidates from one that is always tried to the next, and rows searched together (their errors stay in cache).
+GRADIENT_STEP, SEARCH_ROWS = 25, 256
+TASKS_A_CORE = 3
+ENDS = (slice(None, -1), slice(1, None))
 
 
 def polynomial_model(df: DataFrame, ts: str = TIME) -> DataFrame:
@@ -30,45 +39,87 @@ def fit_gradient(profile: str, ilat: str) -> Column:
     squared error over the profile heights; the first such on ties, to one decimal.
 
     The geometry factor of each height is a Spark expression. Only the search itself
-    (701 candidates x 17 powers a row) runs on Arrow batches in NumPy: as nested
-    lambdas it took about 8 ms a row, and exploding candidates would multiply the
-    rows by 701. No cross join and no shuffle either way.
+    runs on Arrow batches in NumPy: as nested lambdas it took about 8 ms a row, and
+    exploding candidates would multiply the rows by 701. It is heavy for a row's size:
+    deal rows out first, as ``fitted_model`` does.
     """
     terms = F.array(*[H.line_term(F.lit(float(h)), G.l_shell(ilat)) for h in PROFILE_HEIGHTS])
-    return F.round(_search()(F.col(profile), terms), 1)
+    return F.round(_search()(F.col(profile).cast("array<double>"), terms), 1)
 
 
-def _search():
-    first, last, count = GRADIENT_FIRST, GRADIENT_LAST, GRADIENT_COUNT
+def best_candidates(y: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Place in the grid of the first candidate with the least finite error for each profile, or -1.
+
+    Every ``GRADIENT_STEP``-th candidate is tried. Between two of them each residual and each
+    slope of the curve is monotone, so their products at the two ends bound the slope of the error.
+    Where that keeps its sign by more than rounding, or the bracket is negative throughout, none in
+    between is the best; all candidates of the other intervals are tried.
+    """
+    grid = np.linspace(GRADIENT_FIRST, GRADIENT_LAST, GRADIENT_COUNT)
+    nodes = np.unique(np.append(np.arange(0, GRADIENT_COUNT, GRADIENT_STEP), GRADIENT_COUNT - 1))
+    with np.errstate(all="ignore"):
+        x = grid[nodes] / y[:, :1]
+        tried, scale = np.zeros_like(x), np.zeros_like(x)
+        low, high = np.zeros_like(x[:, 1:]), np.zeros_like(x[:, 1:])
+        undefined = np.zeros(low.shape, bool)
+        for k in range(y.shape[1]):
+            bracket = 1.0 + x * c[:, k, None]
+            curve = y[:, :1] * bracket**POWER
+            off = y[:, k, None] - curve
+            tried += off**2
+            scale += (np.abs(y[:, k, None]) + np.abs(curve)) ** 2
+            slope = c[:, k, None] * curve / bracket  # times POWER / y[0]
+            ends = [off[:, i] * slope[:, j] for i in ENDS for j in ENDS]
+            low += functools.reduce(np.minimum, ends)
+            high += functools.reduce(np.maximum, ends)
+            undefined |= (bracket[:, :-1] < 0) & (bracket[:, 1:] < 0)
+        rounding = 1e-12 * np.maximum(scale[:, :-1], scale[:, 1:]) * np.abs(y[:, :1])
+        # Comparisons with NaN are false: such intervals are tried.
+        row, interval = np.nonzero(~((low > rounding) | (high < -rounding) | undefined))
+        error = np.full((len(y), GRADIENT_COUNT), np.inf)
+        error[:, nodes] = tried
+        for begin in range(0, len(row), SEARCH_ROWS):
+            own = row[begin : begin + SEARCH_ROWS]
+            at = np.minimum(nodes[interval[begin : begin + SEARCH_ROWS], None] + np.arange(1, GRADIENT_STEP), GRADIENT_COUNT - 1)
+            x, inner = grid[at] / y[own, :1], np.zeros(at.shape)
+            for k in range(y.shape[1]):
+                inner += (y[own, k, None] - y[own, :1] * (1.0 + x * c[own, k, None]) ** POWER) ** 2
+            error[own[:, None], at] = inner
+    error[~np.isfinite(error)] = np.inf
+    return np.where(np.isfinite(error).any(axis=1), error.argmin(axis=1), -1)
 
-    @F.pandas_udf("double")
-    def search(profile: pd.Series, terms: pd.Series) -> pd.Series:
-        import numpy as np
-        import pandas as pd
 
-        grid = np.linspace(first, last, count)
+def _search():
+    @F.arrow_udf("double")
+    def search(profile: pa.Array, terms: pa.Array) -> pa.Array:
+        grid = np.linspace(GRADIENT_FIRST, GRADIENT_LAST, GRADIENT_COUNT)
         out = np.full(len(profile), np.nan)
-        usable = np.flatnonzero((profile.notna() & terms.notna()).to_numpy())
-        for start in range(0, len(usable), 256):  # 256 x 701 errors stay in cache
-            rows = usable[start : start + 256]
-            y = np.stack([np.asarray(profile.iloc[i], dtype=float) for i in rows])
-            c = np.stack([np.asarray(terms.iloc[i], dtype=float) for i in rows])
-            with np.errstate(all="ignore"):
-                x = grid[None, :] / y[:, :1]
-                error = np.zeros_like(x)
-                for k in range(y.shape[1]):
-                    error += (y[:, k, None] - y[:, :1] * (1.0 + x * c[:, k, None]) ** (2.0 / 7.0)) ** 2
-            error[~np.isfinite(error)] = np.inf
-            found = np.isfinite(error).any(axis=1)
-            out[rows[found]] = grid[error.argmin(axis=1)[found]]
-        return pd.Series(out).where(~np.isnan(out), None).astype("float64")
+        lengths = pc.fill_null(pc.list_value_length(profile), 0).to_numpy(zero_copy_only=False)
+        lengths = np.where(terms.is_valid().to_numpy(zero_copy_only=False), lengths, 0)
+        for length in set(lengths.tolist()) - {0}:
+            rows = np.flatnonzero(lengths == length)
+            y, c = (
+                pc.list_flatten(a.take(pa.array(rows))).to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+                for a in (profile, terms)
+            )
+            usable = np.flatnonzero(np.isfinite(y).all(axis=1) & np.isfinite(c[:, :length]).all(axis=1))
+            for begin in range(0, len(usable), SEARCH_ROWS):
+                own = usable[begin : begin + SEARCH_ROWS]
+                best = best_candidates(y[own], c[own])
+                out[rows[own[best >= 0]]] = grid[best[best >= 0]]
+        return pa.array(out, pa.float64(), mask=np.isnan(out))
 
     return search
 
 
 def fitted_model(df: DataFrame, profile: str = "profile") -> DataFrame:
-    """Per-row fit: reference temperature, best gradient and temperature at the row's altitude."""
-    fitted = df.withColumns({"T_ref": F.get(profile, F.lit(0)), "best_G0": fit_gradient(profile, "ILAT")})
+    """Per-row fit: reference temperature, best gradient and temperature at the row's altitude.
+
+    Rows are few bytes and much work, so a file that one task reads is dealt out to all
+    cores, some tasks each.
+    """
+    dealt = df.repartition(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    fitted = dealt.withColumns({"T_ref": F.get(profile, F.lit(0)), "best_G0": fit_gradient(profile, "ILAT")})
     return fitted.withColumn("Te_model", H.temperature_at("Altitude", "T_ref", "best_G0", "ILAT")).drop(profile)
 
 

@@ -144,6 +144,54 @@ def test_gradient_fit_equals_brute_force(spark):
     assert df.where("profile IS NULL").select(baselines.fit_gradient("profile", "ILAT")).first()[0] is None
 
 
+def every_candidate(y, c):
+    """Place of the first least finite error among all candidates, or -1."""
+    grid = np.linspace(-20, 50, 701)
+    with np.errstate(all="ignore"):
+        x = grid[None, :] / y[:, :1]
+        error = sum((y[:, k, None] - y[:, :1] * (1.0 + x * c[:, k, None]) ** (2.0 / 7.0)) ** 2 for k in range(y.shape[1]))
+    error = np.where(np.isfinite(error), error, np.inf)
+    return np.where(np.isfinite(error).any(axis=1), error.argmin(axis=1), -1)
+
+
+def test_candidates_left_out_are_never_the_best():
+    rng = np.random.default_rng(3)
+    n, k = 600, np.arange(17)
+    y = np.concatenate([
+        rng.uniform(700, 3000, (n, 1)) + k * rng.uniform(-40, 150, (n, 1)) + rng.normal(0, 20, (n, 17)),
+        rng.uniform(-4000, 4000, (n, 17)),  # no curve fits, errors may have several minima
+        rng.choice([0.0, 1e-300, 1e300, 5.0], (n, 17)),
+    ])
+    c = np.cumsum(rng.uniform(0, 300, (3 * n, 17)), axis=1) * rng.choice([1, 1, 1, 0, -1], (3 * n, 1))
+    c[:, 0] = 0
+    got = baselines.best_candidates(y, c)
+    assert (got == every_candidate(y, c)).all() and (got == -1).any() and len(set(got)) > 100
+    # Profiles on the curve of one candidate, each of them in turn, those at the ends and beside tried ones too.
+    c = np.repeat(c[:1], 701, axis=0)
+    y = 2000 * (1 + np.linspace(-20, 50, 701)[:, None] / 2000 * np.minimum(c, 90)) ** (2 / 7)
+    assert (baselines.best_candidates(y, np.minimum(c, 90)) == np.arange(701)).all()
+
+
+def test_profiles_without_a_fit_and_of_several_lengths(spark):
+    y = [900 + 40.0 * k for k in range(17)]
+    odd = [None, [], [None, *y[1:]], [*y[:16], None], [float("nan"), *y[1:]], [0.0, *y[1:]], [float("inf"), *y[1:]]]
+    df = spark.createDataFrame([(45.0, p) for p in odd], "ILAT double, profile array<double>")
+    assert {r[0] for r in df.select(baselines.fit_gradient("profile", "ILAT")).collect()} == {None}
+    df = spark.createDataFrame([(45.0, y), (45.0, y[:9]), (90.0, y), (None, y)], "ILAT double, profile array<double>").coalesce(1)
+    whole, short, *none = [r[0] for r in df.select(baselines.fit_gradient("profile", "ILAT")).collect()]
+    assert whole is not None and short is not None and none == [None, None]
+
+
+def test_fits_are_dealt_to_all_cores(spark):
+    rows = spark.range(64).coalesce(1).selectExpr(
+        "id", "45D AS ILAT", "2000D AS Altitude", "transform(sequence(0, 16), k -> 900D + k * (id % 50)) AS profile"
+    )
+    fitted = baselines.fitted_model(rows).withColumn("task", F.spark_partition_id())
+    got = fitted.collect()
+    assert sorted(r.id for r in got) == list(range(64)) and fitted.columns[:3] == ["id", "ILAT", "Altitude"]
+    assert len({r.task for r in got}) >= spark.sparkContext.defaultParallelism
+
+
 def test_network_scoring_equals_numpy(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(40, 64))

@@ -82,11 +82,20 @@ class Remembered(dict):
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
+        self._room()
+        self[key] = value
+        return value
+
+    def _room(self) -> None:
         if len(self) >= self.size:
             self.older = dict(self)
             self.clear()
-        self[key] = value
-        return value
+
+    def remember(self, keys: list, values: list, step: int = 4096) -> None:
+        """Many values at once; a generation grows by less than ``step`` beyond its size."""
+        for begin in range(0, len(keys), step):
+            self._room()
+            self.update(zip(keys[begin : begin + step], values[begin : begin + step]))
 
 
 class Encoder:

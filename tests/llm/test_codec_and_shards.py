@@ -6,6 +6,8 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -56,6 +58,63 @@ def test_words_and_whole_texts_agree():
         assert codec.encode(text)[0] == whole
 
 
+def plain(codec, text):
+    """Ids and score of a text, word by word."""
+    words = piece_codec._WORD.findall(piece_codec.MARK + text.replace(" ", piece_codec.MARK)) if text else []
+    done = [codec._segment(w) for w in words]
+    return b"".join([i for i, _ in done]), float(sum([x for _, x in done]))
+
+
+ODD = ["", " ", "  ", "a ", "a  ", "  a", " ▁ the▁▁", "the\n\nthe. \x00\x7f", "漢🙂é\u0301 ﷺ🙂", "▁", "the " * 90, "x" * 65, "ab" * 500 + " ab"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.sampled_from(ODD), st.text(max_size=30), st.text(alphabet="theanr ing 漢🙂▁\n\t.Z", max_size=60)), max_size=12))
+def test_batches_equal_single_words(texts):
+    codec = piece_codec.Codec(PATH) if not texts else piece_codec.codec(PATH)
+    ids, n_ids, score = codec.encode_texts(pa.array(["left out", *texts], pa.string())[1:])
+    ends = 4 * np.append(0, np.cumsum(n_ids))
+    cut = [bytes(ids)[a:b] for a, b in zip(ends, ends[1:])]
+    assert list(zip(cut, map(float, score))) == [plain(codec, t) for t in texts]
+    back = codec.decode_texts(pa.array([b"1234", None, *cut], pa.binary())[1:]).to_pylist()
+    assert back == ["", *[(t or "").replace(piece_codec.MARK, " ") for t in texts]]
+
+
+def test_words_of_a_batch_go_through_the_automaton_together(monkeypatch):
+    rng = np.random.default_rng(0)
+    texts = [" ".join("".join(rng.choice([*"etaoinshr.\né漢"], rng.integers(1, 12))) for _ in range(40)) for _ in range(500)]
+    want = [plain(piece_codec.codec(PATH), t) for t in texts]
+    codec = piece_codec.Codec(PATH)
+    runs = []
+    monkeypatch.setattr(codec, "_segment", None)
+    joined = codec._segment_joined
+    monkeypatch.setattr(codec, "_segment_joined", lambda words: runs.append(len(words)) or joined(words))
+    for _ in range(2):  # the second time all words are remembered
+        ids, n_ids, score = codec.encode_texts(pa.array(texts))
+        assert bytes(ids) == b"".join([i for i, _ in want]) and score == [x for _, x in want]
+    assert len(runs) < 10 and sum(runs) == len({w for t in texts for w in t.split(" ")})
+
+
+def test_ids_that_are_no_text():
+    codec = piece_codec.codec(PATH)
+    the = np.frombuffer(codec.encode("the")[0], "<u4").tolist()
+    rows = [[*the, codec.byte[0xE2]], [codec.byte[0x96], *the], [codec.byte[b] for b in b"x\xe2\x96\x81y"], the]
+    ids = pa.array([np.array(r, "<u4").tobytes() for r in rows], pa.binary())
+    assert codec.decode_texts(ids).to_pylist() == [codec.decode(i) for i in ids.to_pylist()] == ["the\ufffd", " the", " y", "the"]
+    assert codec.decode_texts(ids[2:]).to_pylist() == [" y", "the"]
+    with pytest.raises(ValueError):
+        codec.decode_texts(pa.array([b"123"]))
+    with pytest.raises(IndexError):
+        codec.decode_texts(pa.array([b"\xff\xff\xff\x7f"]))
+
+
+def test_a_long_batch_is_cut_between_rows(monkeypatch):
+    monkeypatch.setattr(piece_codec, "BATCH_CHARS", 10)
+    batch = pa.record_batch([pa.array(range(7)), pa.array(["a" * 4, "b" * 6, None, "c" * 30, "", "d", "e" * 10])], ["doc_id", "text"])
+    cut = [b.column(0).to_pylist() for b in piece_codec._pieces_of(batch)]
+    assert cut == [[0, 1, 2], [3], [4, 5], [6]]
+
+
 def test_documents_come_back_exactly(spark):
     got = piece_codec.encode_documents(awkward(spark)).withColumn("back", piece_codec.decode_column(F.col("ids")))
     want = collections.Counter((i, (t or "").replace(piece_codec.MARK, " ")) for i, t, *_ in rows())

@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import sys
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
@@ -21,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Words a worker remembers in one generation (it keeps two), about 200 bytes each.
-WORDS = 60_000
+# Words a worker remembers in one generation (it keeps two), about 200 bytes each; longer ones are not remembered.
+WORDS, LONGEST = 240_000, 32
 # Code points of text that are numbered together.
 BATCH_CHARS = 2_000_000
 
@@ -73,12 +74,17 @@ _UNEVEN_SPACE = re.compile(r" \s|\s |^ | $")
 
 
 class Remembered(dict):
-    """Values computed on demand; those not asked for through a whole generation are forgotten."""
+    """Values computed on demand; those not asked for through a whole generation are forgotten.
 
-    def __init__(self, size: int, compute: Callable):
-        self.size, self.older, self.compute = size, {}, compute
+    Keys longer than ``longest`` are computed whenever they are asked for, so entries stay small.
+    """
+
+    def __init__(self, size: int, compute: Callable, longest: int = sys.maxsize):
+        self.size, self.older, self.compute, self.longest = size, {}, compute, longest
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.compute(key)
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
@@ -110,7 +116,7 @@ class Encoder:
         self.split = re.compile(BYTE_PATTERN if self.keeps_space else WORD_PATTERN).findall
         self.letters = byte_letters()
         self.merge = self.tokenizer.model.tokenize
-        self.words = Remembered(WORDS, self._word)
+        self.words = Remembered(WORDS, self._word, LONGEST)
 
     def _word(self, word: str) -> bytes:
         spelled = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(self.letters)
@@ -150,7 +156,7 @@ class Encoder:
         parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         begins = parts.offsets.to_numpy()
         coded = parts.values.dictionary_encode()
-        codes, chunks = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        codes, chunks = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.keeps_space:
             # The first chunk of a text has no space before it; a text left out above has one here, empty.
             firsts = [whole.get(i) for i in range(len(texts))]

@@ -38,6 +38,24 @@ def test_ids_of_random_texts(texts):
         assert [x.tolist() for x in tokens.encoder(path).encode_each(texts)] == [plain_ids(path, t) for t in texts]
 
 
+def test_words_are_merged_once_while_they_are_remembered():
+    encoder, asked = tokens.Encoder(PATH), collections.Counter()
+
+    def merged(word):
+        asked[word] += 1
+        return encoder._word(word)
+
+    encoder.words.compute = merged
+    letters, long = "abcdefghijklmnopqrstuvwxyz", "x" * 100_000
+    texts = [" ".join(f"{a}{b}{c}{d}" for c in letters for d in letters[:10]) for a in letters for b in letters]
+    first = [ids.tolist() for ids in encoder.encode_each(texts + [long])]
+    assert [ids.tolist() for ids in encoder.encode_each(texts + [long])] == first
+    assert first[5] == plain_ids(PATH, texts[5]) and first[-1] == plain_ids(PATH, long)
+    # 175,760 words, each merged once; one that is long takes no room.
+    assert asked.pop(long) == 2 and len(asked) == 175_760 and set(asked.values()) == {1}
+    assert long not in encoder.words and len(encoder.words) + len(encoder.words.older) <= 2 * tokens.WORDS
+
+
 def naive_best_fit(lengths, size, limit):
     free, out = {}, []
     for n in lengths:

@@ -90,6 +90,56 @@ def test_bounds_hold_and_stop_the_search():
         assert (best == want).all() and seen < 1000
 
 
+def test_search_has_no_side_that_spark_could_broadcast(spark):
+    # Spark takes a side's size from before its blocks are repeated for those of the other.
+    plan = pivot_search.search(table(spark, some_rows()), block=50, queries=2)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+
+
+def test_top_k_over_many_shares_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(pivot_search, "PART", 1)
+    monkeypatch.setattr(pivot_search, "SHARE", 1)
+    rows = some_rows()
+    rows += [rows[100], rows[100], (200, rows[4][1], 1), (None, rows[3][1], 1)]
+    assert pivot_search._grid(len(rows), 10, 20, 2) == (36, 5)
+    got = pivot_search.search(table(spark, rows), block=20, queries=2)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows)
+
+
+def test_grid_follows_the_table():
+    for n in (1, 50_000, 600_000, 2_500_000, 15_000_000, 75_000_000):
+        asked = -(-n // 100)
+        shares, parts = pivot_search._grid(n, asked, pivot_search.BLOCK, pivot_search.QUERIES)
+        assert asked <= parts * pivot_search.PART * pivot_search.QUERIES
+        # Queries go to each share of the table; with the rows they give they are no more than the table is.
+        assert shares == 1 or shares * asked * pivot_search.QUERY_COST <= parts * n
+        assert shares * parts <= 12 + n / 10_000
+
+
+@pytest.mark.parametrize(
+    ("centres", "spread", "size", "ways"),
+    [(1, 1.0, 900, {"product"}), (150, 0.01, 900, {"product", "ordered"}), (1, 1.0, 2.0**20, {"product"})],
+)
+def test_both_ways_of_evaluation(monkeypatch, centres, spread, size, ways):
+    seen = set()
+    for way in ("product", "ordered"):
+        f = getattr(pivot_search.Cell, way)
+        monkeypatch.setattr(pivot_search.Cell, way, lambda *a, f=f, way=way: (seen.add(way), f(*a)))
+    draw = np.random.default_rng(6)
+    middle = draw.normal(size=(centres, 8))
+    rows = np.floor(size * (middle[np.arange(6000) % centres] + spread * draw.normal(size=(6000, 8)))).astype(np.int32)
+    rows = np.clip(rows, 1 - vectors.MOST, vectors.MOST - 1)
+    ids = np.arange(6000) // 2
+    cell = pivot_search.Cell(ids[:200], rows[:200], ids[::47], rows[::47].astype(np.float64), 10, 64)
+    for i in range(0, 6000, 700):
+        cell.meet(ids[i : i + 700], rows[i : i + 700])
+    assert seen == ways
+    for i in range(200):
+        scores = rows.astype(np.int64) @ rows[i].astype(np.int64)
+        want = [j for j in np.lexsort((ids, -scores)) if ids[j] != ids[i]][:10]
+        assert (cell.best_ids[i] == ids[want]).all() and (cell.best[i] == scores[want]).all()
+
+
 def brute_codes(rows, parts=4, entries=256, rounds=4):
     keep, m = whole(rows)
     order = sorted(range(len(keep)), key=lambda i: (keep[i][0] is None, keep[i][0] or 0, m[i].tolist()))
